@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import current_keys, table
-from . import confusables, encoding, knn, mixing, neardup, splitting
+from . import confusables, encoding, garble, knn, mixing, neardup, splitting
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,8 +59,18 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(mixing.measured(table(spark, folder, "documents")), table(spark, folder, "mix_targets"))[1]
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that went through a wrong decoding."""
+    return garble.garbled(table(spark, folder, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Those documents with their text restored where it can be had."""
+    return garble.garbled(table(spark, folder, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p4_found, p4_pieces, p5_found, p6_ids, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p4_found, p4_pieces, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
