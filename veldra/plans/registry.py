@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import orphan_queries
+from . import lexical_queries, orphan_queries
 
-MODULES = (orphan_queries,)
+MODULES = (orphan_queries, lexical_queries)
 
 
 def queries() -> dict:
