@@ -32,9 +32,9 @@ class CurveOptions:
 
     k: int = 5
     dimensions: int = 64
-    curves: int = 6
-    directions: int = 8
-    bits: int = 6
+    curves: int = 8
+    directions: int = 12
+    bits: int = 5
     window: int = 1024
     block: int = 512
     seed: int = 11
