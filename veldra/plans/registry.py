@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lexical_queries, orphan_queries
+from . import access_queries, ingest_queries, lexical_queries, orphan_queries
 
-MODULES = (orphan_queries, lexical_queries)
+MODULES = (orphan_queries, lexical_queries, access_queries, ingest_queries)
 
 
 def queries() -> dict:
