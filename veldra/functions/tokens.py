@@ -7,6 +7,7 @@ else nothing.  A null text has a null estimate, an empty one 0.
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,3 +25,30 @@ def may_exceed(text: Column, limit: int) -> Column:
     """False only where the estimate cannot exceed the limit: a character adds at
     most 3 per 2 characters (a lone letter beside CJK), so short texts need no scan."""
     return F.length(text) * 3 + 1 > 2 * limit
+
+
+RUN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]|[[\p{L}\p{Nd}]--[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]]+", regex.V1)
+ONE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
+
+
+def estimate(text: str) -> int:
+    """The estimate of a text in Python."""
+    total = 0
+    for run in RUN.findall(text):
+        total += 1 if len(run) == 1 and ONE.match(run) else (len(run) + 3) // 4 + 1
+    return total
+
+
+def fit(text: str, start: int, end: int, budget: int) -> int:
+    """The greatest stop for which ``text[start:stop]`` stays within the budget;
+    ``start`` itself where not even one character does."""
+    low, high = start, min(end, start + 4 * budget + 4)
+    while high < end and estimate(text[start:high]) <= budget:
+        high = min(end, start + 2 * (high - start))
+    while low < high:  # the estimate grows with the stop
+        middle = (low + high + 1) // 2
+        if estimate(text[start:middle]) <= budget:
+            low = middle
+        else:
+            high = middle - 1
+    return low
