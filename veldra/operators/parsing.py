@@ -81,3 +81,16 @@ def links(documents: DataFrame) -> DataFrame:
                 yield path, kind, n, destination
 
     return _rows(documents, LINKS, make)
+
+
+def titles(documents: DataFrame) -> DataFrame:
+    """``path, title, raw_links`` of ``path, text``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pages = [page(path, text) for path, text in zip(batch.path, batch.text)]
+            yield pd.DataFrame({"path": batch.path, "title": [title(p, x) for p, x in zip(batch.path, pages)], "paths": [x.links for x in pages], "wiki": [x.wikis for x in pages]})
+
+    schema = "path string, title string, paths array<string>, wiki array<string>"
+    parsed = documents.filter(F.col("path").isNotNull() & F.col("text").isNotNull()).select("path", "text").mapInPandas(run, schema)
+    return parsed.select("path", "title", F.struct("paths", "wiki").alias("raw_links"))
