@@ -86,6 +86,8 @@ def kind(char: str) -> tuple[str, float]:
         return ("d", 0.0) if char.isdigit() else ("p", 0.0) if code >= 32 or char in "\t\n\r\f" else ("n", 0.5)
     if code < 0xA0 or code == 0xFFFD or 0xE000 <= code < 0xF900:
         return "x", 6.0
+    if char in "ªº":
+        return "s", 0.8
     category = unicodedata.category(char)
     if category == "Cn":
         return "x", 8.0
@@ -107,7 +109,7 @@ def kind(char: str) -> tuple[str, float]:
             return "c", LETTER_COST.get(char, 1.5 if char in ALIKE else 4.0)
         if name.startswith("GREEK"):
             return "g", 1.0
-        return "n", 0.5 if code > 0x1D000 or char in "ªº" else 3.0
+        return "n", 0.5 if code > 0x1D000 else 3.0
     if category[0] == "M":
         return "n", 0.4 if code in MARKS else 4.0
     if code in (0x200B, 0x200C, 0x200D, 0x200E, 0x2060, 0xFEFF, 0x2007, 0x202F) or code > 0x1F000 or 0x2600 <= code < 0x27C0:
@@ -149,10 +151,10 @@ def cost(text: str) -> float:
             lower = small
         elif now == "s":
             if before in "alcg":
-                total += 1.5 if char in "°²³»" else 2.5
+                total += 1.5 if char in "°²³»ªº" else 2.5
             elif before in "sxh":
                 total += -1.0 if 0x2500 <= ord(char) < 0x25A0 and 0x2500 <= ord(last) < 0x25A0 else 0.0 if char in "¿¡" else 1.5
-            if char not in "°²³¹§¿¡«»·±÷×©®™£¥¢" and not 0x2500 <= ord(char) < 0x25A0:
+            if char not in "°²³¹§¿¡«»·±÷×©®™£¥¢ªº" and not 0x2500 <= ord(char) < 0x25A0:
                 total += 0.5
         elif now == "q":
             if before == "q" and char != last:
@@ -233,9 +235,6 @@ def search(text: str, codecs: tuple[str, ...] = READ_AS) -> tuple[str, float]:
     """The cheapest text within reach, and its cost."""
     start = cost(text)
     best, best_cost = text, start
-    # bytes of Han characters read one by one show symbols among the letters
-    kinds = [kind(c)[0] for c in text]
-    han = "c" not in kinds and (sum(k in "sbx" for k in kinds) >= 2 or len(text) >= 16)
     drawn = len(BOX.findall(text))
     seen: set[str] = {text}
     queue: list[tuple[float, int, str]] = [(start, 0, text)]
@@ -244,6 +243,9 @@ def search(text: str, codecs: tuple[str, ...] = READ_AS) -> tuple[str, float]:
         if depth == 3:
             continue
         steps = [(unescaped(here), 0.0, True)] if "&" in here or "\\u" in here or "=" in here else []
+        # bytes of Han characters read one by one show symbols among the letters
+        kinds = [kind(c)[0] for c in here]
+        han = "c" not in kinds and (sum(k in "sbx" for k in kinds) >= 2 or len(here) >= 16)
         read = [data for codec in codecs if (data := _encode(here, codec)) is not None]
         sure = any(map(_is_utf8, read))
         for data in dict.fromkeys(read):
@@ -252,7 +254,7 @@ def search(text: str, codecs: tuple[str, ...] = READ_AS) -> tuple[str, float]:
                     continue
                 there = _decode(data, true)
                 if there is not None:
-                    steps.append((there, 0.0 if true == "utf-8" else 1.5 if true in HAN else 0.8, true == "utf-8"))
+                    steps.append((there, 0.0 if true == "utf-8" else 3.0 * (depth > 0) + (1.5 if true in HAN else 0.8), true == "utf-8"))
         for there, extra, follow in steps:
             if there in seen:
                 continue

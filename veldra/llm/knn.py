@@ -101,7 +101,7 @@ def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
 
 def _lists(values: np.ndarray) -> pa.Array:
     n, width = values.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(values.reshape(-1)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width, pa.int32()), pa.array(values.reshape(-1)))
 
 
 def placed(points: DataFrame, o: CurveOptions) -> DataFrame:
