@@ -6,19 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.analyzer import terms
-from ..operators import access, answers, evaluation
+from ..operators import access, answers, evaluation, lexical
 from ..sources.tables import current_rows, table
 from .common import PRINCIPALS, READABLE, current_sql, principals, readable_documents, terms_cte, title_of
-from .lexical_queries import CHANNEL, HITS, POSTED, _channel, _hits
-from ..operators import lexical
+from .lexical_queries import CHANNEL, HITS, _channel, _hits, _postings
 
 
 def recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
-    """Recall and reciprocal rank of the title queries, expecting the documents that share
-    the query document's collection and source."""
-    own = table(spark, folder, "documents").select("doc_id", "collection", "source")
-    asked = own.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "collection", "source")
-    expected = asked.join(own, ["collection", "source"]).select("qid", "doc_id")
+    """Recall and reciprocal rank of the title queries, expecting the documents of that title."""
+    own = table(spark, folder, "documents").select("doc_id", title_of(F.col("text")).alias("title")).filter("title <> ''")
+    asked = own.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "title")
+    expected = asked.join(own, "title").select("qid", "doc_id")
     found = evaluation.metrics(_hits(spark, folder, 50), expected, "doc_id")
     return found.select("qid", *[F.round(c, 6).alias(c) for c in found.columns if c != "qid"])
 
@@ -51,7 +49,7 @@ def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
 def term_probe(spark: SparkSession, folder: str) -> DataFrame:
     """Exact-term probe: for the rarer terms of titles, precision and recall at 10 of the
     ranked documents against those that hold the term."""
-    posted = lexical.postings(table(spark, folder, "documents"), "doc_id", "text")
+    posted = _postings(spark, folder)
     titles = table(spark, folder, "documents").filter("doc_id % 50 = 0").select(F.explode(terms(title_of(F.col("text")))).alias("term")).distinct()
     asked = titles.select(F.col("term").alias("qid"), "term")
     ranked = lexical.top(lexical.scores(posted, "doc_id", asked), "doc_id", 10)
@@ -127,7 +125,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     title_terms = f"titles0 as (select doc_id, collection, regexp_extract(text, '(?m)^#+[ \\t]+([^\\r\\n]+)', 1) title from documents), {terms_cte('tocc', 'titles0', 'doc_id', 'title')}, own as (select distinct t.doc_id, d.collection, t.term from tocc t join titles0 d using (doc_id))"
     return {
-        "recall_mrr": f"with {HITS}, e as (select q.doc_id qid, d.doc_id from documents q join documents d on d.collection = q.collection and d.source = q.source where q.doc_id % 50 = 0), m as (select e.qid, r.rank from e left join (select * from ranked where rank <= 50) r on r.qid = e.qid and r.doc_id = e.doc_id) select qid, round(count(*) filter (rank <= 5) / count(*), 6) as recall_5, round(count(*) filter (rank <= 10) / count(*), 6) as recall_10, round(coalesce(1 / min(rank) filter (rank <= 10), 0), 6) as mrr_10 from m group by 1",
+        "recall_mrr": f"with {HITS}, tt as (select doc_id, regexp_extract(text, '(?m)^#+[ \\t]+([^\\r\\n]+)', 1) title from documents), e as (select q.doc_id qid, d.doc_id from tt q join tt d using (title) where q.doc_id % 50 = 0 and title <> ''), m as (select e.qid, r.rank from e left join (select * from ranked where rank <= 50) r on r.qid = e.qid and r.doc_id = e.doc_id) select qid, round(count(*) filter (rank <= 5) / count(*), 6) as recall_5, round(count(*) filter (rank <= 10) / count(*), 6) as recall_10, round(coalesce(1 / min(rank) filter (rank <= 10), 0), 6) as mrr_10 from m group by 1",
         "leak_count": f"with {CHANNEL}, seen as (select qid, principal, doc_id from kept join principals p using (principal) where not p.admin qualify row_number() over (partition by qid, principal order by rank) <= 50) select s.principal, count(*) as hits, count(*) filter (a.doc_id is null) as leaks from seen s left join access a on a.principal = s.principal and a.doc_id = s.doc_id group by 1",
         "eval_summary": "select event_type, count(*) as n, round(avg(value), 6) as mean_value, list_sort(list(value))[least(count(value), floor(0.5 * count(value))::bigint + 1)] as p50, list_sort(list(value))[least(count(value), floor(0.95 * count(value))::bigint + 1)] as p95 from events group by 1",
         "threshold_sweep": f"with {HITS}, s as (select r.qid, r.score, coalesce(d.lang = q.lang, false) expected from ranked r join documents d using (doc_id) join documents q on q.doc_id = r.qid where rank <= 10), p as (select threshold, qid, count(*) filter (score >= threshold) kept, count(*) filter (expected) wanted, count(*) filter (expected and score >= threshold) found from s, (select unnest([0, 2, 4, 8, 16, 32])::double threshold) group by 1, 2) select threshold, count(*) filter (wanted > 0 and found = 0) as lost, count(*) filter (kept = 0) as empty, round(avg(kept), 6) as mean_kept from p group by 1",

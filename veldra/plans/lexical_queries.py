@@ -8,25 +8,31 @@ from pyspark.sql import functions as F
 from ..functions.analyzer import terms
 from ..functions.tokens import estimated_tokens
 from ..operators import access, lexical
-from ..sources.tables import table
+from ..sources.tables import kept, spread, table
 from .common import PRINCIPALS, READABLE, principals, readable_documents, terms_cte, title_of
 
 
+def _postings(spark: SparkSession, folder: str) -> DataFrame:
+    """Postings of all documents, kept as an index would keep them."""
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept(lexical.postings(documents, "doc_id", "text"), "postings")
+
+
 def analyze_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Terms of every document with their frequency."""
-    return lexical.postings(table(spark, folder, "documents"), "doc_id", "text")
+    return lexical.postings(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def token_estimate(spark: SparkSession, folder: str) -> DataFrame:
     """Estimated tokens of every document and of every stored chunk version."""
-    docs = table(spark, folder, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("item"), estimated_tokens(F.col("text")).alias("tokens"))
-    chunks = table(spark, folder, "chunks").select(F.lit("chunks").alias("src"), F.col("chunk_id").alias("item"), estimated_tokens(F.col("index_text")).alias("tokens"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text")).select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("item"), estimated_tokens(F.col("text")).alias("tokens"))
+    chunks = spread(table(spark, folder, "chunks").select("chunk_id", "index_text")).select(F.lit("chunks").alias("src"), F.col("chunk_id").alias("item"), estimated_tokens(F.col("index_text")).alias("tokens"))
     return docs.unionByName(chunks)
 
 
 def postings_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Document frequency and idf of every term."""
-    posted = lexical.postings(table(spark, folder, "documents"), "doc_id", "text")
+    posted = _postings(spark, folder)
     collection = posted.agg(F.count_distinct("doc_id").alias("n"))
     return lexical.term_statistics(posted).crossJoin(collection).select("term", "df", "occurrences", F.round(F.log(F.col("n") / F.col("df")), 6).alias("idf"))
 
@@ -37,7 +43,7 @@ def _asked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    posted = lexical.postings(table(spark, folder, "documents"), "doc_id", "text")
+    posted = _postings(spark, folder)
     return lexical.top(lexical.scores(posted, "doc_id", _asked(spark, folder)), "doc_id", n)
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import parsing
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("path", "text")
+    return spread(table(spark, folder, "documents").select("path", "text"))
 
 
 def parse_sections(spark: SparkSession, folder: str) -> DataFrame:
