@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import current_keys, table
+from ..sources.tables import current_keys, spread, table
 from . import confusables, encoding, garble, knn, mixing, neardup, splitting
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks that look the same and differ in their characters."""
-    formed = confusables.with_forms(table(spark, folder, "chunks"), "index_text")
+    formed = confusables.with_forms(spread(table(spark, folder, "chunks").select("chunk_id", "index_text", "ingested_at")), "index_text")
     current = current_keys(formed.filter(F.col("index_text").isNotNull()), "chunk_id", ["t1", "t2", "f1", "f2"])
     return confusables.look_alikes(current, "chunk_id", "index_text").toDF("chunk_a", "chunk_b")
 
@@ -36,7 +36,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of every oversized item."""
-    return splitting.split_oversized(table(spark, folder, "chunks"), table(spark, folder, "sections"))
+    return splitting.split_oversized(spread(table(spark, folder, "chunks").select("chunk_id", "index_text", "ingested_at")), spread(table(spark, folder, "sections").select("section_id", "trail", "ingested_at")))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,32 +46,46 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of every document's text."""
-    return encoding.with_ids(table(spark, folder, "documents"), "doc_id", "text")
+    return encoding.with_ids(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The chosen documents of each mix with their repeats."""
-    return mixing.mixed(mixing.measured(table(spark, folder, "documents")), table(spark, folder, "mix_targets"))[0]
+    return mixing.mixed(mixing.measured(spread(table(spark, folder, "documents").select("doc_id", "source", "text"))), table(spark, folder, "mix_targets"))[0]
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share of each source of each mix."""
-    return mixing.mixed(mixing.measured(table(spark, folder, "documents")), table(spark, folder, "mix_targets"))[1]
+    return mixing.mixed(mixing.measured(spread(table(spark, folder, "documents").select("doc_id", "source", "text"))), table(spark, folder, "mix_targets"))[1]
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that went through a wrong decoding."""
-    return garble.garbled(table(spark, folder, "documents")).select("doc_id")
+    return garble.garbled(spread(table(spark, folder, "documents").select("doc_id", "text"))).select("doc_id")
 
 
 def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     """Those documents with their text restored where it can be had."""
-    return garble.garbled(table(spark, folder, "documents"))
+    return garble.garbled(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p4_found, p4_pieces, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_restored)}
 
 
+_CJK = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
+
+
+def _estimate(text: str) -> str:
+    bare = f"regexp_replace({text}, '{_CJK}', ' ', 'g')"
+    return f"(len(regexp_extract_all({text}, '{_CJK}')) + len(regexp_extract_all({bare}, '[\\p{{L}}\\p{{Nd}}]{{1,4}}')) + len(regexp_extract_all({bare}, '[\\p{{L}}\\p{{Nd}}]+')))"
+
+
+def _current(name: str, key: str) -> str:
+    return f"(select * from {name} where {key} is not null qualify row_number() over (partition by {key} order by ingested_at desc) = 1)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": f"select 'chunks' as src_table, chunk_id as src_key from {_current('chunks', 'chunk_id')} where {_estimate('index_text')} > 500 union all select 'sections', section_id from {_current('sections', 'section_id')} where {_estimate('trail')} > 60",
+    }
