@@ -77,8 +77,8 @@ def passage_islands(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pack_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of every document that a budget of 1,000 tokens keeps."""
-    pool = _selected_chunks(spark, folder).withColumnRenamed("doc_path", "qid")
+    """Chunks of every section that a budget of 1,000 tokens keeps."""
+    pool = _selected_chunks(spark, folder).filter("section_id is not null").withColumnRenamed("section_id", "qid")
     return context.packed(pool, 1000).select("qid", "chunk_id", "running")
 
 
@@ -114,5 +114,5 @@ def oracle_sql() -> dict[str, str]:
         "neighbours": f"with c as {current_sql('chunks', 'chunk_id')} select a.chunk_id, b.chunk_id as neighbour_id from c a join c b on a.section_id = b.section_id and abs(a.ordinal - b.ordinal) <= 1 and a.chunk_id <> b.chunk_id",
         "graph_expand": f"with recursive {PRINCIPALS}, {DOCUMENT_GROUPS}, {LINKS}, seen as (select distinct principal, path from (select path, unnest(groups) grp from document_groups) join (select principal, unnest(groups) grp from principals where not admin) using (grp)), dl as (select distinct path src, target dst from resolved where target is not null and target <> path), both_ways as (select src, dst from dl union select dst, src from dl) select s.principal || '|' || s.path as qid, b.dst as path, s.path as via from seen s join both_ways b on b.src = s.path join seen t on t.principal = s.principal and t.path = b.dst",
         "passage_islands": f"with {POOL}, i as (select *, ordinal - row_number() over (partition by doc_path, section_id order by ordinal) island, lag(char_end) over (partition by doc_path, section_id order by ordinal) before from pool), r as (select doc_path, section_id, island, min(ordinal) first_ordinal, count(*) chunks, min_by(char_start, ordinal) char_start, max(char_end) char_end, min(ordinal) filter (selected) priority, bool_or(selected) s from i group by 1, 2, 3), t as (select doc_path, section_id, island, ordinal, text, char_start, char_end, row_number() over (partition by doc_path, section_id, island order by ordinal) k, max(char_end) over (partition by doc_path, section_id, island order by ordinal rows between unbounded preceding and 1 preceding) e from i), l as (select doc_path, section_id, island, sum(case when k = 1 then length(text) when char_start > e then 2 + length(text) else greatest(0, length(text) - greatest(0, e - char_start)) end)::int characters from t group by 1, 2, 3) select r.doc_path, r.section_id, first_ordinal, chunks, char_start, char_end, priority, characters from r join l on l.doc_path = r.doc_path and l.section_id is not distinct from r.section_id and l.island = r.island where s",
-        "pack_budget": f"with {POOL}, w as (select doc_path qid, chunk_id, (sum(coalesce(tokens, 0)) over (partition by doc_path order by selected desc, ordinal, chunk_id rows unbounded preceding))::bigint running from pool) select qid, chunk_id, running from w where running <= 1000",
+        "pack_budget": f"with {POOL}, w as (select section_id qid, chunk_id, (sum(coalesce(tokens, 0)) over (partition by section_id order by selected desc, ordinal, chunk_id rows unbounded preceding))::bigint running from pool where section_id is not null) select qid, chunk_id, running from w where running <= 1000",
     }
