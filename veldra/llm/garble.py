@@ -36,7 +36,7 @@ RUSSIAN = "о109 е84 а80 и74 н67 т63 с55 р47 в45 л43 к35 м32 д30 п2
 #: Accented letters that are common in some Western language.
 COMMON = "àáâãäçèéêëíîïñóôõöùúûüßœåøæ"
 #: Letters that pass for those of another script.
-ALIKE = frozenset("aeopcyxijsABEKMHOPCTXYIаеорсухіјѕһӏԁԛԝАВЕЅІЈКМНОРСТУХЗΑΒΕΖΗΙΚΜΝΟΡΤΥΧονι")
+ALIKE = frozenset("aeopcyxijsABEKMHOPCTXYIаеорсухіјѕһӏԁԛԝАВЕЅІЈКМНОРСТУХΑΒΕΖΗΙΚΜΝΟΡΤΥΧονι")
 #: Marks that are combined with Western letters or emoji, here and there.
 MARKS = frozenset((*range(0x300, 0x305), 0x306, 0x307, 0x308, 0x30A, 0x30B, 0x30C, 0x327, 0x328, 0x20E3, 0xFE0E, 0xFE0F))
 MARGIN = 2.5
@@ -45,7 +45,14 @@ MOST_STATES = 400
 CJK = "ᄀ-ᇿ⺀-〿぀-鿿ꥠ-꥿가-퟿豈-﫿︰-﹏＀-￯\U00020000-\U0003ffff"
 WORD = re.compile("[^ \t\n\r\f\v]+")
 PART = re.compile(f"[{CJK}]+|[^{CJK}]+")
+HAN_LETTER = re.compile("[㐀-鿿]")
 OTHER = re.compile(f"[^\x00-\x7f{CJK}]")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: What a dash or a euro sign that stands alone becomes.
+STRAYS = frozenset("ûùñÇÄЦЧЂ")
+#: Apostrophes and dashes that were read as a letter, or as the bytes of a Han character.
+NOT = re.compile(r"nít\b")
+STRAY = re.compile(r"[¡¨][A-Zª]")
 BOX = re.compile("[\u2500-\u259f]")
 QUOTED = re.compile(r"(?<!`)`[^`\n]+`(?!`)")
 LOST = re.compile(r"(?:(?<=[.!?。！] )|(?<=^))\?{1,4}(?=\s|$)|(?<= )\?(?= \d+,\d)", re.M)
@@ -57,15 +64,18 @@ def _misread_han() -> re.Pattern:
     found = []
     for lead in range(0x81, 0xFF):
         for trail in range(0x40, 0xFF):
-            if (0x80 <= lead <= 0xBF and (0x80 <= trail <= 0xBF or 0xE3 <= trail <= 0xEF)) or (0xE3 <= lead <= 0xEF and 0x80 <= trail <= 0xBF):
+            if (0x80 <= lead <= 0xBF and (0x80 <= trail <= 0xBF or 0xE2 <= trail <= 0xF0)) or (0xE2 <= lead <= 0xF0 and 0x80 <= trail <= 0xBF):
                 try:
                     found.append(bytes((lead, trail)).decode("gbk"))
                 except UnicodeDecodeError:
                     pass
-    return re.compile("[" + "".join(sorted(set(found))) + "�€]{3,}")
+    return re.compile("[" + "".join(sorted(set(found))) + "�€]{3,}|馃[㐀-鿿]+")
 
 
 MISREAD_HAN = _misread_han()
+#: The same for Russian letters, and Western letters within a word of ASCII ones.
+MISREAD_RUSSIAN = re.compile("[" + "".join(bytes((a, b)).decode("gbk") for a in (0xD0, 0xD1) for b in range(0x80, 0xC0)) + "]{3,}")
+WITHIN = re.compile("[a-zA-Z][一-龥]|[一-龥][a-z]")
 LETTER_COST = {}
 for _entry in RUSSIAN.split():
     _bits = 10 - __import__("math").log2(float(_entry[1:]))
@@ -127,6 +137,15 @@ def cost(text: str) -> float:
     """How implausible a text is: 0 for ASCII, more for every odd character in its place."""
     total, before, last = 0.0, "p", ""
     lower, inner = False, ""
+    for run in LETTERS.findall(text):
+        kinds = [kind(c)[0] for c in run]
+        if "c" in kinds or "g" in kinds:  # two scripts in a word, but for letters that pass for the other's
+            strange = [c not in ALIKE for c, k in zip(run, kinds) if k in "cg"], [c not in ALIKE for c, k in zip(run, kinds) if k in "al"]
+            total += 4.0 * min(map(sum, strange))
+        if run in STRAYS:
+            total += 3.5
+    if "í" in text and NOT.search(text) or STRAY.fullmatch(text):
+        total += 4.0
     for char in text:
         now, own = kind(char)
         total += own if now not in "cg" or before not in "al" or own > 1.5 else 1.5
@@ -135,13 +154,9 @@ def cost(text: str) -> float:
             small = char.islower()
             if before in "alcg":
                 if lower and not small and char.isupper() and (now in "lc" or before in "lc"):
-                    total += 3.0  # a capital after a small letter
+                    total += 3.5  # a capital after a small letter
                 if now == "l" and before == "l":
                     total += 0.6 if not small and last.isupper() or last.lower() in "çõ" or char.lower() in "çß" else 2.0
-                if (now in "cg") != (before in "cg") and not (char in ALIKE or last in ALIKE):
-                    total += 4.0  # two scripts in a word
-                elif now != before and now in "cg" and before in "cg":
-                    total += 3.0
             elif before == "s":
                 total += 0.5 if last in "°²³¹½¼¾§¿¡«»" and last != "¼" else 1.5
             elif before == "x":
@@ -151,10 +166,10 @@ def cost(text: str) -> float:
             lower = small
         elif now == "s":
             if before in "alcg":
-                total += 1.5 if char in "°²³»ªº" else 2.5
+                total += 1.5 if char in "°²³»ªº´" else 2.5
             elif before in "sxh":
                 total += -1.0 if 0x2500 <= ord(char) < 0x25A0 and 0x2500 <= ord(last) < 0x25A0 else 0.0 if char in "¿¡" else 1.5
-            if char not in "°²³¹§¿¡«»·±÷×©®™£¥¢ªº" and not 0x2500 <= ord(char) < 0x25A0:
+            if char not in "°²³¹§¿¡«»·±÷×©®™£¥¢ªº´" and not 0x2500 <= ord(char) < 0x25A0:
                 total += 0.5
         elif now == "q":
             if before == "q" and char != last:
@@ -245,7 +260,7 @@ def search(text: str, codecs: tuple[str, ...] = READ_AS) -> tuple[str, float]:
         steps = [(unescaped(here), 0.0, True)] if "&" in here or "\\u" in here or "=" in here else []
         # bytes of Han characters read one by one show symbols among the letters
         kinds = [kind(c)[0] for c in here]
-        han = "c" not in kinds and (sum(k in "sbx" for k in kinds) >= 2 or len(here) >= 16)
+        han = "c" not in kinds and (sum(k in "sbx" for k in kinds) >= 2 or len(here) >= 16 or STRAY.fullmatch(here) is not None)
         read = [data for codec in codecs if (data := _encode(here, codec)) is not None]
         sure = any(map(_is_utf8, read))
         for data in dict.fromkeys(read):
@@ -254,7 +269,7 @@ def search(text: str, codecs: tuple[str, ...] = READ_AS) -> tuple[str, float]:
                     continue
                 there = _decode(data, true)
                 if there is not None:
-                    steps.append((there, 0.0 if true == "utf-8" else 3.0 * (depth > 0) + (1.5 if true in HAN else 0.8), true == "utf-8"))
+                    steps.append((there, 0.0 if true == "utf-8" else 3.0 * (depth > 0) + (1.5 if true in HAN else 0.6), true == "utf-8"))
         for there, extra, follow in steps:
             if there in seen:
                 continue
@@ -275,8 +290,11 @@ def restored_part(part: str) -> str:
     if start < MARGIN:
         return part
     best, best_cost = search(part)
-    if best_cost > 0.7 * start:
+    if best_cost > 0.8 * start:
         return part
+    letters = "".join(LETTERS.findall(part))
+    if (letters.istitle() or letters.islower()) and all(kind(c)[0] == "c" for c in letters) and best_cost > 0.6 * start:
+        return part  # a Russian word with its capitals in their place
     # bytes that happen to be UTF-8 are strong evidence by themselves
     utf8 = any((data := _encode(part, codec)) is not None and _is_utf8(data) for codec in READ_AS)
     return best if start - best_cost >= (MARGIN / 2 if utf8 else MARGIN) else part
@@ -286,13 +304,26 @@ def restored_han(run: str) -> str:
     """A run of Han characters read back as the UTF-8 bytes that GBK may have misread."""
     data = run.replace("�", "").encode("gb18030", "ignore")
     text = data.decode("utf-8", "replace")
-    good = sum(kind(c)[0] == "h" and kind(c)[1] < 2 for c in text)
-    return text if good >= 2 and good >= 0.75 * len(text) else run
+    han = sum(kind(c)[0] == "h" for c in text)
+    good = sum(kind(c) == ("h", 0.7) or kind(c)[1] <= 0.4 and c > "\x7f" for c in text)
+    return text if good >= 0.7 * len(text) and (han >= 2 or not han and good) else run
+
+
+def _from_gbk(text: str) -> str:
+    """A text read back as the UTF-8 bytes that GBK may have misread; itself where they are none."""
+    try:
+        return text.encode("gb18030").decode("utf-8")
+    except UnicodeError:
+        return text
 
 
 def restored_word(word: str) -> str:
     """A word (no ASCII white space) with every damaged part restored."""
-    if word.isascii() or not (OTHER.search(word) or MISREAD_HAN.search(word)):
+    if WITHIN.search(word) and not HAN_LETTER.search(other := _from_gbk(word)) and cost(other) <= 1.5 * sum(c > "\x7f" for c in other):
+        return other
+    word = MISREAD_RUSSIAN.sub(lambda m: _from_gbk(m.group()), word)
+    word = MISREAD_HAN.sub(lambda m: restored_han(m.group()), word)
+    if not OTHER.search(word):
         return word
     out = []
     for match in PART.finditer(word):
@@ -300,7 +331,7 @@ def restored_word(word: str) -> str:
         if part.isascii():
             out.append(part)
         elif re.match(f"[{CJK}]", part):
-            out.append(MISREAD_HAN.sub(lambda m: restored_han(m.group()), part))
+            out.append(part)
         else:
             out.append(restored_part(part))
     return "".join(out)
