@@ -34,6 +34,8 @@ aаα cс. dԁ. eе. hһ. iіι jј. oоο pрρ qԛ. sѕ. v.ν wԝ. xхχ yу.
 """
 #: Further letters of the shape of a Latin one.
 FURTHER = "ıi ɡg ɑa ҮY үy ӏl ӀI ϲc ϹC ϳj"
+#: Letters of Russian that look like Latin ones.
+RUSSIAN = frozenset("АВСЕНКМОРТХУасеорху")
 SCRIPTS = ("Latin", "Cyrillic", "Greek")
 
 
@@ -82,6 +84,10 @@ def resolved(token: str) -> frozenset[str] | None:
         own = scripts(letter)
         if own is not None:
             left = own if left is None else left & own
+    if left and len(left) > 1:
+        # codes with digits are Latin, and letters that Russian lacks do not make a Russian word
+        rare = any(CLASSES[c].get("Cyrillic", "о") not in RUSSIAN for c in token if c in CLASSES)
+        left = left - {"Cyrillic", "Greek"} if any(map(str.isdigit, token)) else left - {"Cyrillic"} if rare else left
     return left
 
 
