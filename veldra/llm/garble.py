@@ -44,7 +44,10 @@ MOST_STATES = 400
 
 CJK = "ᄀ-ᇿ⺀-〿぀-鿿ꥠ-꥿가-퟿豈-﫿︰-﹏＀-￯\U00020000-\U0003ffff"
 WORD = re.compile("[^ \t\n\r\f\v]+")
-PART = re.compile(f"[{CJK}]+|[^{CJK}]+")
+#: Characters that continue a UTF-8 sequence read as Latin-1 or Windows-1252.
+CONTINUED = "\x80-\xbf" + bytes(b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)).decode("cp1252")
+#: Parts of a word; a very long one is cut in front of an ASCII character, else of one that starts a sequence.
+PART = re.compile(f"[{CJK}]+|[^{CJK}]{{1,4000}}(?![^\x00-\x7f{CJK}])|[^{CJK}]{{1,4000}}(?![{CONTINUED}])|[^{CJK}]{{1,4000}}")
 HAN_LETTER = re.compile("[㐀-鿿]")
 OTHER = re.compile(f"[^\x00-\x7f{CJK}]")
 LETTERS = re.compile(r"[^\W\d_]+")
