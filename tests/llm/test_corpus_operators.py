@@ -291,6 +291,28 @@ def test_other_damage():
     assert garble.restored(part) == "All is well here. für die Küche and on."
 
 
+EAST_ASIAN = ["会议室预订请提前两天提交", "请在系统中提交报销单据", "財務部門在三個工作日內完成", "サーバーは夜間に起動", "総務部に提出してください", "시스템에서직접신청", "Сверка остатков трёх складов", "Die Übergröße für die Küche", "L’équipe répare l’entrepôt"]
+
+
+@pytest.mark.parametrize("text", EAST_ASIAN)
+def test_utf8_read_as_gbk(text):
+    words = [word.encode().decode("gb18030", "replace") for word in text.split()]
+    for bad, word in zip(words, text.split()):
+        if "\ufffd" not in bad and bad != word:  # no byte was lost
+            assert garble.damaged(bad) and garble.restored(bad) == word
+    bad = " ".join(words)
+    assert not garble.damaged(text) and garble.damaged(bad)
+    kept = sum(c in garble.restored(bad) for c in text)
+    assert kept >= 0.8 * len(text)
+
+
+@pytest.mark.parametrize("text", ["預約系統會在三天內回覆", "值班組長撤回到職資料袋，並由倉管窗口覆核"])
+def test_big5_read_as_gbk(text):
+    bad = text.encode("big5").decode("gb18030")
+    assert garble.damaged(bad) and garble.restored(bad) == text
+    assert garble.search(bad, tuple(garble.READ_AS_HAN))[0] == text
+
+
 def test_garbled_rows(spark):
     rows = spark.createDataFrame([(1, "fÃ¼r", "a"), (1, "fÃ¼r", "a"), (2, None, "b"), (3, "", "c"), (4, "plain", "d"), (5, "x " * 50_000 + "fÃ¼r", "e")], "doc_id long, text string, restored_text string")
     got = garble.garbled(rows).collect()

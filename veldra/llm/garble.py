@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from codecs import getincrementaldecoder
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -28,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Encodings that text was read with by mistake, and that it was really in.
-READ_AS = ("sloppy-1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866")
+READ_AS = ("sloppy-1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866", "sloppy-gbk", "gb18030", "big5")
 WRITTEN_IN = ("utf-8", "sloppy-1252", "cp1251", "koi8_r", "cp866", "big5", "gb18030")
 HAN = ("big5", "gb18030")
+#: Encodings of READ_AS that make Han characters, with those that such a text was really in.
+READ_AS_HAN = {"sloppy-gbk": ("utf-8", "big5"), "gb18030": ("utf-8", "big5"), "big5": ("utf-8", "gb18030")}
 #: Russian letters with their share in running text, per mille.
 RUSSIAN = "о109 е84 а80 и74 н67 т63 с55 р47 в45 л43 к35 м32 д30 п28 у26 я20 ы19 ь17 г17 з16 б16 ч15 й12 х10 ж9 ш7 ю6 ц5 щ4 э3 ф3 ъ0.4 ё20"
 #: Accented letters that are common in some Western language.
@@ -49,6 +52,7 @@ CONTINUED = "\x80-\xbf" + bytes(b for b in range(0x80, 0xA0) if b not in (0x81,
 #: Parts of a word; a very long one is cut in front of an ASCII character, else of one that starts a sequence.
 PART = re.compile(f"[{CJK}]+|[^{CJK}]{{1,4000}}(?![^\x00-\x7f{CJK}])|[^{CJK}]{{1,4000}}(?![{CONTINUED}])|[^{CJK}]{{1,4000}}")
 HAN_LETTER = re.compile("[㐀-鿿]")
+CJK_LETTER = re.compile(f"[{CJK}]")
 OTHER = re.compile(f"[^\x00-\x7f{CJK}]")
 LETTERS = re.compile(r"[^\W\d_]+")
 #: What a dash or a euro sign that stands alone becomes.
@@ -68,16 +72,21 @@ def _misread_han() -> re.Pattern:
     for lead in range(0x81, 0xFF):
         for trail in range(0x40, 0xFF):
             if (0x80 <= lead <= 0xBF and (0x80 <= trail <= 0xBF or 0xE2 <= trail <= 0xF0)) or (0xE2 <= lead <= 0xF0 and 0x80 <= trail <= 0xBF):
-                try:
-                    found.append(bytes((lead, trail)).decode("gbk"))
-                except UnicodeDecodeError:
-                    pass
+                for codec in ("gbk", "gb18030"):  # the latter has private characters where the former has none
+                    try:
+                        found.append(bytes((lead, trail)).decode(codec))
+                    except UnicodeDecodeError:
+                        pass
     return re.compile("[" + "".join(sorted(set(found))) + "�€]{3,}|馃[㐀-鿿]+")
 
 
 MISREAD_HAN = _misread_han()
 #: The same for Russian letters, and Western letters within a word of ASCII ones.
 MISREAD_RUSSIAN = re.compile("[" + "".join(bytes((a, b)).decode("gbk") for a in (0xD0, 0xD1) for b in range(0x80, 0xC0)) + "]{3,}")
+MISREAD_EMOJI = re.compile("馃[㐀-鿿]")
+MISREAD_LETTERS = frozenset(bytes((a, b)).decode("gbk") for a in (0xC3, 0xC4, 0xC5) for b in range(0x80, 0xC0))
+#: Runs that may be the bytes of another East Asian encoding, with the ASCII ones and marks that those make.
+RARE_HAN = re.compile(f"[{CJK}-][{CJK}-\x21-\x7e€°±·×÷§¨Ͱ-ӿ‐-♯]{{3,4000}}")
 WITHIN = re.compile("[a-zA-Z][一-龥]|[一-龥][a-z]")
 LETTER_COST = {}
 for _entry in RUSSIAN.split():
@@ -85,6 +94,24 @@ for _entry in RUSSIAN.split():
     LETTER_COST[_entry[0]] = LETTER_COST[_entry[0].upper()] = max(0.4, (_bits - 2) / 2)
 
 
+def _east_asian_cost(char: str) -> float:
+    """Cost by the rank of a character in the national sets, whose first levels hold the frequent ones."""
+    code = ord(char)
+    lead = {}
+    for codec in ("big5", "gb2312", "euc_kr", "euc_jp"):
+        try:
+            lead[codec] = char.encode(codec)[0]
+        except UnicodeEncodeError:
+            pass
+    if 0xAC00 <= code < 0xD800 or 0x1100 <= code < 0x1200:
+        return 0.9 if "euc_kr" in lead else 3.0
+    if 0xA4 <= lead.get("big5", 0) <= 0xC6 or 0xB0 <= lead.get("gb2312", 0) <= 0xD7:
+        return 0.7
+    if "big5" in lead:
+        return 0.7 if code < 0x3040 or code > 0xFF00 else 1.1
+    return 1.1 if 0xB0 <= lead.get("euc_jp", 0) <= 0xCF else 1.6
+
+
 @lru_cache(maxsize=100_000)
 def kind(char: str) -> tuple[str, float]:
     """Class of a character and what it costs on its own.
@@ -105,14 +132,11 @@ def kind(char: str) -> tuple[str, float]:
     if category == "Cn":
         return "x", 8.0
     if re.match(f"[{CJK}]", char):
-        if 0xAC00 <= code < 0xD800 or 0x1100 <= code < 0x1200:
-            return "h", 3.0
         if 0xFF61 <= code <= 0xFF9F or 0x3100 <= code <= 0x312F:
             return "h", 3.0
-        try:
-            return "h", 0.7 if 0xA4 <= char.encode("big5")[0] <= 0xC6 or code < 0x3040 or code > 0xFF00 else 1.1
-        except UnicodeEncodeError:
-            return "h", 1.6
+        if 0x3041 <= code <= 0x30FE:
+            return "h", 0.7
+        return "h", _east_asian_cost(char)
     if category[0] == "L":
         name = unicodedata.name(char, "")
         if name.startswith("LATIN"):
@@ -147,6 +171,9 @@ def cost(text: str) -> float:
             total += 4.0 * min(map(sum, strange))
         if run in STRAYS:
             total += 3.5
+    for run in MISREAD_RUSSIAN.findall(text):  # what Russian letters and emoji become
+        total += 1.0 * len(run)
+    total += 2.0 * len(MISREAD_EMOJI.findall(text))
     if "í" in text and NOT.search(text) or STRAY.fullmatch(text):
         total += 4.0
     for char in text:
@@ -187,6 +214,8 @@ def cost(text: str) -> float:
             total += 2.0 if before in "ls" or char == "\xad" and before != "a" else 0.6
         elif now == "h" and before in "lcgsx":
             total += 1.0
+        if now == "h" and before == "a" and last.islower() and char in MISREAD_LETTERS or before == "h" and now == "a" and char.islower() and last in MISREAD_LETTERS:
+            total += 2.5  # a small Latin letter beside what an accented one becomes
         if now != "q":
             inner = ""
         before, last = now, char
@@ -194,7 +223,13 @@ def cost(text: str) -> float:
 
 
 def _encode(text: str, codec: str) -> bytes | None:
-    """Bytes of a text; Windows-1252 lets the controls that it does not define pass."""
+    """Bytes of a text; Windows-1252 lets the controls that it does not define pass,
+    GBK has the euro sign as one byte and leaves out the marks of lost ones."""
+    if codec == "sloppy-gbk":
+        try:
+            return b"\x80".join(part.encode("gb18030") for part in text.replace("�", "").split("€"))
+        except UnicodeEncodeError:
+            return None
     if codec != "sloppy-1252":
         try:
             return text.encode(codec)
@@ -214,7 +249,7 @@ def _encode(text: str, codec: str) -> bytes | None:
         return bytes(out)
 
 
-def _decode(data: bytes, codec: str) -> str | None:
+def _decode(data: bytes, codec: str, least: int = 7, share: int = 8) -> str | None:
     try:
         return data.decode("cp1252" if codec == "sloppy-1252" else codec)
     except UnicodeDecodeError:
@@ -222,7 +257,7 @@ def _decode(data: bytes, codec: str) -> str | None:
             return "".join(_decode_one(b) for b in data)
         if codec == "utf-8":  # a character that was cut at the end of the damage
             text = data.decode("utf-8", "replace")
-            return text if len(text) > 6 and text.count("�") * 8 <= len(text) else None
+            return text if len(text) >= least and text.count("�") * share <= len(text) else None
         return None
 
 
@@ -249,9 +284,15 @@ def unescaped(text: str) -> str:
     return re.sub(r"(?:=[89A-F][0-9A-F])+", lambda m: bytes.fromhex(m[0].replace("=", "")).decode("utf-8", "replace"), text)
 
 
-def search(text: str, codecs: tuple[str, ...] = READ_AS) -> tuple[str, float]:
-    """The cheapest text within reach, and its cost."""
-    start = cost(text)
+def _price(text: str, han: bool) -> float:
+    """Cost of a state; among Han characters a lost one is no news, it only is not had again."""
+    return cost(text.replace("�", "")) + 1.5 * text.count("�") if han else cost(text)
+
+
+def search(text: str, codecs: tuple[str, ...] = READ_AS, cross: bool = True) -> tuple[str, float]:
+    """The cheapest text within reach, and its cost; ``cross``: also by the other Han encoding."""
+    only_han = codecs == tuple(READ_AS_HAN)
+    start = _price(text, only_han)
     best, best_cost = text, start
     drawn = len(BOX.findall(text))
     seen: set[str] = {text}
@@ -264,7 +305,16 @@ def search(text: str, codecs: tuple[str, ...] = READ_AS) -> tuple[str, float]:
         # bytes of Han characters read one by one show symbols among the letters
         kinds = [kind(c)[0] for c in here]
         han = "c" not in kinds and (sum(k in "sbx" for k in kinds) >= 2 or len(here) >= 16 or STRAY.fullmatch(here) is not None)
-        read = [data for codec in codecs if (data := _encode(here, codec)) is not None]
+        # whatever is encoded as GBK can be, so only what holds Han characters may come from there
+        if "h" in kinds:
+            for codec, trues in READ_AS_HAN.items():
+                if codec not in codecs or "�" in here and not (only_han and codec == "sloppy-gbk") or (data := _encode(here, codec)) is None:
+                    continue
+                for true in trues:
+                    there = _decode(data, true, 2, 4) if true == "utf-8" or cross and not _is_utf8(data) else None
+                    if there:
+                        steps.append((there, 0.0 if true == "utf-8" else 3.0 * (depth > 0) + 1.5, true == "utf-8"))
+        read = [data for codec in codecs if codec not in READ_AS_HAN and (data := _encode(here, codec)) is not None]
         sure = any(map(_is_utf8, read))
         for data in dict.fromkeys(read):
             for true in WRITTEN_IN:
@@ -277,7 +327,7 @@ def search(text: str, codecs: tuple[str, ...] = READ_AS) -> tuple[str, float]:
             if there in seen:
                 continue
             seen.add(there)
-            there_cost = cost(there) + extra + (20.0 if len(BOX.findall(there)) > drawn else 0.0)
+            there_cost = _price(there, only_han) + extra + (20.0 if len(BOX.findall(there)) > drawn else 0.0)
             if there_cost < best_cost:
                 best, best_cost = there, there_cost
             # damage upon damage is always a misreading of UTF-8, so only what such a step gave is followed
@@ -299,33 +349,49 @@ def restored_part(part: str) -> str:
     if (letters.istitle() or letters.islower()) and all(kind(c)[0] == "c" for c in letters) and best_cost > 0.6 * start:
         return part  # a Russian word with its capitals in their place
     # bytes that happen to be UTF-8 are strong evidence by themselves
-    utf8 = any((data := _encode(part, codec)) is not None and _is_utf8(data) for codec in READ_AS)
+    utf8 = any((data := _encode(part, codec)) is not None and _is_utf8(data) for codec in READ_AS if codec not in READ_AS_HAN)
     return best if start - best_cost >= (MARGIN / 2 if utf8 else MARGIN) else part
 
 
-def restored_han(run: str) -> str:
-    """A run of Han characters read back as the UTF-8 bytes that GBK may have misread."""
-    data = run.replace("�", "").encode("gb18030", "ignore")
-    text = data.decode("utf-8", "replace")
-    han = sum(kind(c)[0] == "h" for c in text)
-    good = sum(kind(c) == ("h", 0.7) or kind(c)[1] <= 0.4 and c > "\x7f" for c in text)
-    return text if good >= 0.7 * len(text) and (han >= 2 or not han and good) else run
+@lru_cache(maxsize=200_000)
+def restored_han(run: str, cross: bool = False) -> str:
+    """A run with Han characters as it was meant, by a search that starts from the Han encodings."""
+    if not CJK_LETTER.search(run):
+        return run
+    start = _price(run, True)
+    if start < MARGIN:
+        return run
+    best, best_cost = search(run, tuple(READ_AS_HAN), cross)
+    if best == run or best_cost > 0.8 * start:
+        return run
+    data = [d for codec in READ_AS_HAN if (d := _encode(run, codec)) is not None]
+    utf8 = any(_starts_utf8(d) for d in data)
+    return best if start - best_cost >= (MARGIN / 2 if utf8 else MARGIN) else run
 
 
-def _from_gbk(text: str) -> str:
-    """A text read back as the UTF-8 bytes that GBK may have misread; itself where they are none."""
+def _starts_utf8(data: bytes) -> bool:
+    """Whether bytes are UTF-8 but for a character that was cut at their end."""
     try:
-        return text.encode("gb18030").decode("utf-8")
-    except UnicodeError:
-        return text
+        getincrementaldecoder("utf-8")().decode(data)
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
+def _rare(run: str) -> bool:
+    """Whether a run holds clearly more rare characters than a sound text does."""
+    han = [kind(c)[1] for c in run if c > "\x7f"]
+    return len(han) >= 4 and sum(c > 0.7 for c in han) * 4 >= len(han)
 
 
 def restored_word(word: str) -> str:
     """A word (no ASCII white space) with every damaged part restored."""
-    if WITHIN.search(word) and not HAN_LETTER.search(other := _from_gbk(word)) and cost(other) <= 1.5 * sum(c > "\x7f" for c in other):
+    # the patterns only tell which runs are worth a search of their own
+    if WITHIN.search(word) and len(word) <= 4000 and not HAN_LETTER.search(other := restored_han(word)) and "�" not in other:
         return other
-    word = MISREAD_RUSSIAN.sub(lambda m: _from_gbk(m.group()), word)
+    word = MISREAD_RUSSIAN.sub(lambda m: restored_han(m.group()), word)
     word = MISREAD_HAN.sub(lambda m: restored_han(m.group()), word)
+    word = RARE_HAN.sub(lambda m: restored_han(m.group(), True) if _rare(m.group()) else m.group(), word)
     if not OTHER.search(word):
         return word
     out = []
