@@ -21,26 +21,23 @@ def passages(chunks: DataFrame, *keys: str) -> DataFrame:
     """One row per run that holds a selected chunk: ids, range and merged text.
 
     The overlap of consecutive chunks is dropped by their offsets; a gap becomes a
-    blank line.  Runs come with the best priority of their selected chunks.
+    blank line; the pieces are cut by a window and joined once, so that a long run
+    costs no more per chunk than a short one.  Runs come with the best priority of their selected chunks.
     """
-    entry = F.struct("ordinal", "chunk_id", "char_start", "char_end", "text", "selected")
-    runs = islands(chunks, *keys).groupBy(*keys, "island").agg(
+    earlier = Window.partitionBy(*keys, "island").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.max("char_end").over(earlier)
+    fresh = F.greatest(F.lit(0), end - F.col("char_start"))
+    piece = (
+        F.when(end.isNull(), F.col("text"))
+        .when(F.col("char_start") > end, F.concat(F.lit("\n\n"), F.col("text")))
+        .otherwise(F.substring("text", (fresh + 1).cast("int"), F.length("text")))
+    )
+    entry = F.struct("ordinal", "chunk_id", "char_start", "char_end", "piece", "selected")
+    runs = islands(chunks, *keys).withColumn("piece", piece).groupBy(*keys, "island").agg(
         F.array_sort(F.collect_list(entry)).alias("parts"),
         F.min(F.when(F.col("selected"), F.col("priority"))).alias("priority"),
         F.bool_or("selected").alias("any_selected"),
     )
-    start = F.struct(F.lit("").alias("text"), F.lit(None).cast("long").alias("end"))
-
-    def add(done, part):
-        fresh = F.greatest(F.lit(0), done["end"] - part["char_start"])
-        piece = (
-            F.when(done["end"].isNull(), part["text"])
-            .when(part["char_start"] > done["end"], F.concat(F.lit("\n\n"), part["text"]))
-            .otherwise(F.substring(part["text"], (fresh + 1).cast("int"), F.length(part["text"])))
-        )
-        return F.struct(F.concat(done["text"], piece).alias("text"), F.greatest(done["end"], part["char_end"]).alias("end"))
-
-    merged = F.aggregate("parts", start, add)
     return runs.filter("any_selected").select(
         *keys,
         F.element_at("parts", 1)["ordinal"].alias("first_ordinal"),
@@ -48,7 +45,7 @@ def passages(chunks: DataFrame, *keys: str) -> DataFrame:
         F.element_at("parts", 1)["char_start"].alias("char_start"),
         F.array_max(F.transform("parts", lambda p: p["char_end"])).alias("char_end"),
         "priority",
-        merged["text"].alias("text"),
+        F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("text"),
     )
 
 

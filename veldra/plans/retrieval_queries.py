@@ -64,9 +64,9 @@ def graph_expand(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _selected_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Current chunks but every third; those of 150 tokens or more count as selected."""
+    """All current chunks of documents; those of 150 tokens or more count as selected."""
     columns = ["chunk_id", "doc_path", "section_id", "ordinal", "text", "tokens", "char_start", "char_end", "ingested_at"]
-    rows = current_rows(table(spark, folder, "chunks").select(*columns), "chunk_id").filter("ordinal % 3 <> 2 and doc_path is not null")
+    rows = current_rows(table(spark, folder, "chunks").select(*columns), "chunk_id").filter("doc_path is not null")
     return rows.withColumn("selected", F.coalesce(F.col("tokens") >= 150, F.lit(False))).withColumn("priority", F.col("ordinal"))
 
 
