@@ -27,3 +27,21 @@ def test_long_runs_and_gaps(spark):
     got = context.passages(chunks, "doc_path", "section_id").collect()
     assert [(r.first_ordinal, r.chunks, r.char_start, r.char_end, r.priority) for r in got] == [(0, 9, 0, 92, 4)]
     assert got[0].text == "".join(f"{i:02d}" + "x" * 8 for i in range(9)) + "09"
+
+
+def test_every_chunk_is_in_a_block(spark, con, folder):
+    from veldra.plans import evaluation_queries
+    from veldra.plans.common import current_sql
+
+    sql = f"""
+    with c as (select *, coalesce(sum(tokens) over (partition by doc_path, section_id order by ordinal, chunk_id rows between unbounded preceding and 1 preceding), 0) before
+      from {current_sql('chunks', 'chunk_id')} where doc_path is not null),
+    b as (select *, (before // {evaluation_queries.BLOCK_TOKENS})::int block from c),
+    p as (select *, row_number() over (partition by doc_path, section_id, block order by ordinal, chunk_id) n from b),
+    f as (select p.doc_path, p.section_id, block, n, d.title, s.trail, regexp_replace(p.text, '(?i)<(\\s*/?\\s*sources\\s*)>', '＜\\1＞', 'g') t
+      from p left join {current_sql('sections', 'section_id')} s using (section_id) left join {current_sql('docs', 'path')} d on d.path = p.doc_path)
+    select doc_path, section_id, block, count(*)::int as chunks, md5('<sources>' || chr(10) || string_agg('[' || n || '] ' || coalesce(title, '') || '｜' || coalesce(trail, '') || chr(10) || t, chr(10) || chr(10) order by n) || chr(10) || '</sources>') as prompt_hash
+    from f group by 1, 2, 3"""
+    same(spark, con, folder, QUERIES["prompt_blocks"], sql)
+    whole = con.execute(f"select count(*) from {current_sql('chunks', 'chunk_id')} where doc_path is not null").fetchone()[0]
+    assert sum(r.chunks for r in QUERIES["prompt_blocks"](spark, folder).select("chunks").collect()) == whole

@@ -106,16 +106,26 @@ def neutralize_sources(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select("doc_id", F.md5(F.encode(answers.neutral_sources(F.col("text")), "UTF-8")).alias("text_hash"))
 
 
+#: Tokens within which the chunks of a block begin.
+BLOCK_TOKENS = 6000
+
+
 def prompt_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources block of the first 8 chunks of every document, as a model would get it."""
-    chunks = current_rows(table(spark, folder, "chunks").select("chunk_id", "doc_path", "section_id", "ordinal", "text", "ingested_at"), "chunk_id").filter("doc_path is not null")
+    """Sources blocks of all chunks of every document's sections, as a model would get them.
+
+    A section whose chunks exceed a token budget has several blocks: each takes the
+    chunks that begin within its share of the running total.
+    """
+    chunks = current_rows(table(spark, folder, "chunks").select("chunk_id", "doc_path", "section_id", "ordinal", "text", "tokens", "ingested_at"), "chunk_id").filter("doc_path is not null")
     sections = current_rows(table(spark, folder, "sections").select("section_id", "trail", "ingested_at"), "section_id").select("section_id", "trail")
     docs = current_rows(table(spark, folder, "docs").select("path", "title", "ingested_at"), "path").select(F.col("path").alias("doc_path"), "title")
-    order = Window.partitionBy("doc_path").orderBy("ordinal", "chunk_id")
-    first = chunks.withColumn("n", F.row_number().over(order)).filter("n <= 8")
-    full = first.join(sections, "section_id", "left").join(docs, "doc_path", "left")
-    grouped = full.groupBy("doc_path").agg(F.array_sort(F.collect_list(F.struct("n", "title", "trail", "text"))).alias("passages"))
-    return grouped.select("doc_path", F.md5(F.encode(answers.sources_block(F.col("passages")), "UTF-8")).alias("prompt_hash"))
+    order = Window.partitionBy("doc_path", "section_id").orderBy("ordinal", "chunk_id")
+    before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = chunks.withColumn("block", F.floor(before / BLOCK_TOKENS).cast("int"))
+    placed = cut.withColumn("n", F.row_number().over(Window.partitionBy("doc_path", "section_id", "block").orderBy("ordinal", "chunk_id")))
+    full = placed.join(sections, "section_id", "left").join(docs, "doc_path", "left")
+    grouped = full.groupBy("doc_path", "section_id", "block").agg(F.array_sort(F.collect_list(F.struct("n", "title", "trail", "text"))).alias("passages"))
+    return grouped.select("doc_path", "section_id", "block", F.size("passages").alias("chunks"), F.md5(F.encode(answers.sources_block(F.col("passages")), "UTF-8")).alias("prompt_hash"))
 
 
 def queries() -> dict:
