@@ -45,3 +45,11 @@ def test_every_chunk_is_in_a_block(spark, con, folder):
     same(spark, con, folder, QUERIES["prompt_blocks"], sql)
     whole = con.execute(f"select count(*) from {current_sql('chunks', 'chunk_id')} where doc_path is not null").fetchone()[0]
     assert sum(r.chunks for r in QUERIES["prompt_blocks"](spark, folder).select("chunks").collect()) == whole
+
+
+def test_administrators_expand_too(spark, con, folder):
+    users = "where not admin) using (grp))"
+    assert users in SQL["graph_expand"]
+    sql = SQL["graph_expand"].replace(users, users[:-1] + " union select principal, path from document_groups, principals where admin)")
+    same(spark, con, folder, QUERIES["graph_expand"], sql)
+    assert QUERIES["graph_expand"](spark, folder).filter("qid like 'admin|%'").count() > 0
