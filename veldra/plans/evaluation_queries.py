@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analyzer import terms
 from ..operators import access, answers, evaluation, lexical
-from ..sources.tables import current_rows, table
+from ..sources.tables import current_rows, spread, table
 from .common import PRINCIPALS, READABLE, current_sql, principals, readable_documents, terms_cte, title_of
 from .lexical_queries import CHANNEL, HITS, _channel, _hits, _postings
 
@@ -47,24 +47,51 @@ def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def term_probe(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact-term probe: for the rarer terms of titles, precision and recall at 10 of the
-    ranked documents against those that hold the term."""
+    """Exact-term probe: for the terms of titles, precision and recall (capped by 10) of
+    the 10 best documents against those whose text contains the term.
+
+    A term stands within one run of its text, which is posted whole (a CJK run in
+    pairs), so the terms that contain it tell the texts that do.
+    """
     posted = _postings(spark, folder)
-    titles = table(spark, folder, "documents").filter("doc_id % 50 = 0").select(F.explode(terms(title_of(F.col("text")))).alias("term")).distinct()
-    asked = titles.select(F.col("term").alias("qid"), "term")
-    ranked = lexical.top(lexical.scores(posted, "doc_id", asked), "doc_id", 10)
-    held = posted.join(titles, "term", "left_semi").groupBy(F.col("term").alias("qid")).agg(F.count(F.lit(1)).alias("relevant"))
-    got = ranked.groupBy("qid").agg(F.count(F.lit(1)).alias("found"))
-    return held.join(got, "qid").select(F.col("qid").alias("term"), "relevant", "found", F.round(F.col("found") / F.col("relevant"), 6).alias("recall_10"))
+    asked = table(spark, folder, "documents").filter("doc_id % 50 = 0").select(F.explode(terms(title_of(F.col("text")))).alias("qid")).distinct()
+    ranked = lexical.top(lexical.scores(posted, "doc_id", asked.select("qid", F.col("qid").alias("term"))), "doc_id", 10).select("qid", "doc_id")
+    within = posted.select("term").distinct().join(F.broadcast(asked), F.contains("term", "qid"))  # title terms: a bounded vocabulary
+    holding = posted.join(within, "term").select("qid", "doc_id").distinct()
+    relevant = holding.groupBy("qid").agg(F.count(F.lit(1)).alias("relevant"))
+    good = ranked.join(holding.withColumn("good", F.lit(1)), ["qid", "doc_id"], "left").groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.count("good").alias("good"))
+    met = asked.join(relevant, "qid", "left").join(good, "qid", "left").na.fill(0, ["relevant", "hits", "good"])
+    precision = F.when(F.col("hits") > 0, F.col("good") / F.col("hits")).otherwise(0.0)
+    recall = F.when(F.col("relevant") > 0, F.col("good") / F.least(F.lit(10), "relevant")).otherwise(1.0)
+    return met.select(F.col("qid").alias("term"), "relevant", "hits", "good", F.round(precision, 6).alias("precision_10"), F.round(recall, 6).alias("recall_10"))
+
+
+#: Pairs of CJK letters, and the heading that a question is made of.
+PAIR = r"^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]{2}$"
+FIRST_HEADING = r"(?sm)\A(.*?)^#+[ \t]+[^\r\n]+"
 
 
 def bias_check(spark: SparkSession, folder: str) -> DataFrame:
-    """Share of a document title's distinct terms that its collection's other titles hold."""
-    titled = table(spark, folder, "documents").select("doc_id", "collection", F.array_distinct(terms(title_of(F.col("text")))).alias("title_terms"))
-    own = titled.select("doc_id", "collection", F.explode("title_terms").alias("term"))
-    users = own.groupBy("collection", "term").agg(F.count(F.lit(1)).alias("users"))
-    met = own.join(users, ["collection", "term"])
-    return met.groupBy("doc_id").agg(F.round(F.count_if(F.col("users") > 1) / F.count(F.lit(1)), 6).alias("shared"))
+    """Share of a title question's distinct CJK pairs that texts hold: the documents of
+    that title (mean, best) against all documents (mean) and the best other one.
+
+    The heading that gives the question is left out of the texts.
+    """
+    documents = table(spark, folder, "documents").select("doc_id", "text", title_of(F.col("text")).alias("title"))
+    questions = documents.filter("doc_id % 50 = 0 and title <> ''").select(F.col("doc_id").alias("qid"), "title")
+    titles = questions.select("title").distinct()
+    grams = titles.select("title", F.explode(F.array_distinct(F.filter(terms(F.col("title")), lambda t: t.rlike(PAIR)))).alias("term"))
+    sizes = grams.groupBy("title").agg(F.count(F.lit(1)).alias("pairs"))
+    bodies = spread(documents.select("doc_id", F.regexp_replace("text", FIRST_HEADING, "$1").alias("text")))
+    held = lexical.postings(bodies, "doc_id", "text").select("doc_id", "term").join(grams, "term").groupBy("title", "doc_id").agg(F.count(F.lit(1)).alias("found"))
+    own = titles.join(documents.select("title", "doc_id"), "title").withColumn("own", F.lit(True))
+    share = F.col("found") / F.col("pairs")
+    met = held.join(own, ["title", "doc_id"], "left").join(sizes, "title")
+    sums = met.groupBy("title").agg(F.sum(share).alias("total"), F.sum(F.when(F.col("own"), share)).alias("own_total"), F.max(F.when(F.col("own"), share)).alias("own_best"), F.max(F.when(F.col("own").isNull(), share)).alias("other_best"))
+    answers_of = own.groupBy("title").agg(F.count(F.lit(1)).alias("answers"))
+    full = questions.join(answers_of, "title").join(sizes, "title", "left").join(sums, "title", "left").crossJoin(documents.agg(F.count(F.lit(1)).alias("n")))
+    part = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return full.select("qid", F.coalesce("pairs", F.lit(0)).alias("pairs"), part(F.col("own_total") / F.col("answers")).alias("answer_mean"), part(F.col("own_best")).alias("answer_best"), part(F.col("total") / F.col("n")).alias("all_mean"), part(F.col("other_best")).alias("other_best"))
 
 
 def trace_recent(spark: SparkSession, folder: str) -> DataFrame:
