@@ -58,9 +58,9 @@ def term_probe(spark: SparkSession, folder: str) -> DataFrame:
     ranked = lexical.top(lexical.scores(posted, "doc_id", asked.select("qid", F.col("qid").alias("term"))), "doc_id", 10).select("qid", "doc_id")
     within = posted.select("term").distinct().join(F.broadcast(asked), F.contains("term", "qid"))  # title terms: a bounded vocabulary
     holding = posted.join(within, "term").select("qid", "doc_id").distinct()
-    relevant = holding.groupBy("qid").agg(F.count(F.lit(1)).alias("relevant"))
-    good = ranked.join(holding.withColumn("good", F.lit(1)), ["qid", "doc_id"], "left").groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.count("good").alias("good"))
-    met = asked.join(relevant, "qid", "left").join(good, "qid", "left").na.fill(0, ["relevant", "hits", "good"])
+    held = holding.withColumn("held", F.lit(1)).join(ranked.withColumn("hit", F.lit(1)), ["qid", "doc_id"], "full_outer")
+    counts = held.groupBy("qid").agg(F.count("held").alias("relevant"), F.count("hit").alias("hits"), F.count_if(F.col("held").isNotNull() & F.col("hit").isNotNull()).alias("good"))
+    met = asked.join(counts, "qid", "left").na.fill(0, ["relevant", "hits", "good"])
     precision = F.when(F.col("hits") > 0, F.col("good") / F.col("hits")).otherwise(0.0)
     recall = F.when(F.col("relevant") > 0, F.col("good") / F.least(F.lit(10), "relevant")).otherwise(1.0)
     return met.select(F.col("qid").alias("term"), "relevant", "hits", "good", F.round(precision, 6).alias("precision_10"), F.round(recall, 6).alias("recall_10"))
