@@ -7,6 +7,10 @@ else nothing.  A null text has a null estimate, an empty one 0.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +43,51 @@ def estimate(text: str) -> int:
     return total
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """For every code point: 1 CJK letter, 2 other letter or digit, 0 all else."""
+    every = "".join(map(chr, range(0x110000)))
+    kinds = np.zeros(0x110000, np.uint8)
+    for pattern, kind in ((r"[\p{L}\p{Nd}]+", 2), (r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]+", 1)):
+        for match in regex.finditer(pattern, every):
+            kinds[match.start() : match.end()] = kind
+    return kinds
+
+
+def part_estimates(text: str, edges: np.ndarray) -> np.ndarray:
+    """The estimates of the parts of a text between consecutive edges, each by itself."""
+    kinds = _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    letters = kinds == 2
+    first, last = letters.copy(), letters.copy()
+    first[1:] &= ~letters[:-1]
+    last[:-1] &= ~letters[1:]
+    inner = edges[(edges > 0) & (edges < len(text))]
+    first[inner] |= letters[inner]
+    last[inner - 1] |= letters[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+    worth = (kinds == 1).astype(np.int64)
+    worth[starts] += (ends - starts + 4) // 4 + 1
+    upto = np.concatenate([[0], np.cumsum(worth)])
+    return upto[edges[1:]] - upto[edges[:-1]]
+
+
+def estimates(texts: list[str]) -> np.ndarray:
+    """The estimates of many texts in one pass."""
+    return part_estimates("".join(texts), np.cumsum([0, *map(len, texts)]))
+
+
+def batched_estimate(text: Column) -> Column:
+    """The estimate over Arrow batches, several times as fast as the expression on long
+    texts, since it looks at each character once; null is null."""
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        counts = estimates(texts.fillna("").tolist())
+        return pd.Series(counts, index=texts.index, dtype="Int64").mask(texts.isna())
+
+    return count(text)
+
+
 def fit(text: str, start: int, end: int, budget: int) -> int:
     """The greatest stop for which ``text[start:stop]`` stays within the budget;
     ``start`` itself where not even one character does."""

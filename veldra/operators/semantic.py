@@ -1,8 +1,9 @@
 """Semantic channel: exact nearest vectors of a stated query set, in blocks.
 
-Rows and queries are packed into blocks; every block of queries meets every
-block of rows in one matrix product that keeps the best ``k`` per query, so what
-is shuffled is ``k`` rows per query and block of rows.  Null vectors, vectors of
+Rows and queries are packed into blocks; every block of queries goes to every
+partition of the blocks of rows (an equi-join on a partition number, nothing is
+broadcast), where each pair of blocks is one matrix product that keeps the best
+``k`` per query, so what is shuffled is ``k`` rows per query and block of rows.  Null vectors, vectors of
 another length and zero vectors take no part.
 """
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import every_salt, salt
+
 
 def blocks(rows: DataFrame, key: str, vector: str, dimensions: int, size: int, prefix: str) -> DataFrame:
     """Rows packed into unit-length matrices of at most ``size`` rows."""
@@ -42,13 +45,18 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
                 cosines = np.frombuffer(q_vectors).reshape(-1, dimensions) @ np.frombuffer(r_vectors).reshape(-1, dimensions).T
                 cosines = np.round(cosines, 6)
                 cosines[asked[:, None] == held[None, :]] = -2
-                best = np.lexsort((np.broadcast_to(held, cosines.shape), -cosines), axis=1)[:, :k]
-                out = [np.repeat(asked, best.shape[1]), held[best].ravel(), np.take_along_axis(cosines, best, 1).ravel()]
-                keep = out[2] > -2
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in out], ["qid", "key", "score"])
-
-    asked = blocks(queries, key, vector, dimensions, 1024, "q")
-    held = blocks(rows, key, vector, dimensions, 8192, "r")
-    found = asked.crossJoin(held).mapInArrow(compare, "qid long, key long, score double")  # blocks, not rows
+                least = np.partition(cosines, -k, axis=1)[:, -k] if k < len(held) else np.full(len(asked), -1.5)
+                row, column = np.nonzero(cosines >= np.maximum(least, -1.5)[:, None])
+                order = np.lexsort((held[column], -cosines[row, column], row))  # the best, and what ties with the last of them
+                row, column = row[order], column[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, column = row[place < k], column[place < k]
+                yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(held[column]), pa.array(cosines[row, column])], ["qid", "key", "score"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = blocks(queries, key, vector, dimensions, 1024, "q").withColumn("part", every_salt(parts))
+    held = blocks(rows, key, vector, dimensions, 4096, "r").withColumn("part", salt(parts, "rids"))
+    met = asked.join(held.hint("merge"), "part").drop("part")
+    found = met.mapInArrow(compare, "qid long, key long, score double")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("key", key)
