@@ -4,6 +4,7 @@ import base64
 import datetime as dt
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -26,7 +27,7 @@ def versioned(spark, rows, kind):
 
 # --- look-alikes
 
-SAME = [("data", "dаta"), ("INC-12", "ＩＮＣ-12"), ("é", "é"), ("a b", "a b"), ("word", "wo​rd"), ("file", "ﬁle"), ("cop", "сор"), ("TEE", "ΤΕΕ"), ("料", "料"), ("ёж", "ёж")]
+SAME = [("one", "օne"), ("Water", "Ꮃater"), ("ABC", "ꓮꓐꓚ"), ("Code", "Ⲥode"), ("data", "dаta"), ("INC-12", "ＩＮＣ-12"), ("é", "é"), ("a b", "a b"), ("word", "wo​rd"), ("file", "ﬁle"), ("cop", "сор"), ("TEE", "ΤΕΕ"), ("料", "料"), ("ёж", "ёж")]
 APART = [("data", "Data"), ("resume", "résumé"), ("a 1", "a 2"), ("a.", "a,"), ("a\nb", "a b"), ("l", "1"), ("I", "l"), ("–", "-"), ("👨‍🔧", "👨🔧")]
 
 
@@ -66,6 +67,26 @@ def test_look_alike_pairs(spark):
     assert confusables.look_alikes(current.limit(0), "key", "value").count() == 0
 
 
+def test_look_alikes_of_many_copies(spark):
+    from veldra.sources.tables import current_keys
+
+    rows = versioned(spark, [(f"c{i:02}", "the code" if i % 3 else "thе code") for i in range(60)], "string")
+    current = current_keys(confusables.with_forms(rows, "value").filter("value is not null"), "key", ["t1", "t2", "f1", "f2"], "at")
+    got = [(r.a, r.b) for r in confusables.look_alikes(current, "key", "value").collect()]
+    want = {(f"c{a:02}", f"c{b:02}") for a in range(60) for b in range(a + 1, 60) if (a % 3 == 0) != (b % 3 == 0)}
+    assert set(got) == want and len(got) == len(want)
+    few = {(r.a, r.b) for r in confusables.look_alikes(current, "key", "value", expand=25).collect()}
+    assert few == {tuple(sorted((f"c{a:02}", "c01"))) for a in range(0, 60, 3)}
+
+
+def test_forms_keep_chunks_without_time(spark, tmp_path):
+    from veldra.llm import queries
+
+    rows = spark.createDataFrame([("a", NOW, "thе"), ("a", NOW, "thе"), ("a", None, "old"), ("b", None, "ﬁle"), ("c", NOW, None)], "chunk_id string, ingested_at timestamp_ntz, index_text string")
+    rows.write.parquet(str(tmp_path / "chunks.parquet"))
+    assert sorted((r.chunk_id, r.consistent_text) for r in queries.p2_forms(spark, str(tmp_path)).collect()) == [("a", "the"), ("b", "file"), ("c", None)]
+
+
 # --- nearest vectors
 
 
@@ -102,6 +123,39 @@ def test_nearest_equal_brute_force(spark):
     assert knn.similar_pairs(df.filter("key = 'k001'"), "key", "value", "at").count() == 0
 
 
+def test_nearest_under_any_partitions(spark, folder):
+    """Many small ranges, so that most windows reach over bounds; brute force within the window."""
+    rows = spark.read.parquet(f"{folder}/chunks.parquet")
+    o = knn.CurveOptions(window=16, range_rows=64, range_sample=4, block=8)
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in (2, 37):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found.append({(r.a, r.b) for r in knn.similar_pairs(rows, "chunk_id", "vec", "ingested_at", o).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and found[0]
+    _, points = knn.distinct_points(rows, "chunk_id", "vec", "ingested_at", o)
+    held = {r.id: np.asarray(r.vec, float) for r in points.collect()}
+    ids = np.array(sorted(held))
+    units = np.array([held[i] / np.linalg.norm(held[i]) for i in ids])
+    positions = knn.curve_positions(units.astype(np.float32), o)
+    cosines, near = units @ units.T, {i: set() for i in ids}
+    for curve in range(o.curves):
+        order = np.lexsort((ids, positions[:, curve]))
+        for at, i in enumerate(order):
+            near[ids[i]].update(ids[order[max(0, at - o.window) : at + o.window + 1]].tolist())
+    got = {r.id: [n.id for n in r.nearest] for r in knn.nearest(points, o).collect()}
+    place = {i: n for n, i in enumerate(ids)}
+    for i in ids:  # at least as near as the best within the window of any curve
+        best = sorted((cosines[place[i], place[j]] for j in near[i] if j != i), reverse=True)[:5]
+        assert np.all(np.array([cosines[place[i], place[j]] for j in got[i]]) >= np.array(best) - 1e-4)
+
+
+def test_window_and_bounds():
+    assert knn.widened(knn.CurveOptions(), 1000).window == 1024 and knn.widened(knn.CurveOptions(), 4 * 262_144).window == 2048
+    bounds = (np.array([5, 5, 9]), np.array([10, 20, 1]))
+    assert knn.range_numbers(np.array([4, 5, 5, 5, 9, 9]), np.array([99, 9, 10, 25, 0, 1]), bounds).tolist() == [0, 0, 1, 2, 2, 3]
+
+
 def test_copies_take_the_smallest_keys(spark):
     rows = [(f"k{i:02}", [1.0] * 64) for i in range(30)]
     df = spark.createDataFrame([(k, v, NOW) for k, v in rows], "key string, value array<float>, at timestamp_ntz")
@@ -132,6 +186,23 @@ def test_an_edit_moves_few_cuts():
     assert len(parts(text) - parts(other)) <= 4 < len(parts(text)) // 3
 
 
+def test_an_edit_without_boundaries_moves_few_cuts():
+    rng = random.Random(5)
+    for letters in ("abcdefghij", "天地玄黃宇宙洪荒日月"):
+        text = "".join(rng.choice(letters) for _ in range(20_000))
+        other = text[:1000] + "q" + text[1000:]
+        parts = lambda t: {t[f:e] for _, f, e, _ in splitting.split(t, splitting.INDEX_TEXT)}
+        pieces = splitting.split(text, splitting.INDEX_TEXT)
+        assert len(parts(text) - parts(other)) <= 2 < len(pieces) // 4
+        assert sum(start < fresh for start, fresh, _, _ in pieces) > len(pieces) // 2
+
+
+def test_splitting_is_linear():
+    text = "A sentence of some plain words is here number. " * 213_000
+    start = time.time()
+    assert len(splitting.split(text, splitting.INDEX_TEXT)) > 10_000 and time.time() - start < 10
+
+
 def test_overlap_is_whole_sentences():
     text = " ".join(f"Sentence number {i} is here for the test." for i in range(200))
     pieces = splitting.split(text, splitting.INDEX_TEXT)
@@ -179,6 +250,30 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.near_duplicates(rows.limit(0), "key", "value", "at").count() == 0
 
 
+def test_hot_bands_and_colliding_ids(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(500)]
+    base = rng.choices(words, k=80)
+    texts = {f"h{i:03}": " ".join([*base, rng.choice(words)]) for i in range(90)} | {f"o{i}": " ".join(rng.choices(words, k=60)) for i in range(10)}
+    rows = versioned(spark, list(texts.items()), "string")
+    shingles = {k: {t[i : i + 5] for i in range(len(t) - 4)} for k, t in texts.items()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(shingles), 2) if len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) >= 0.7}
+    o = neardup.MinMaxOptions(hot_sample=1)
+    _, held = neardup.prepared(rows, "key", "value", "at", o)
+    assert neardup.hot_bands(held, o).count() > 0
+    got = [(r.a, r.b) for r in neardup.near_duplicates(rows, "key", "value", "at", o).collect()]
+    assert set(got) == want and len(got) == len(want) > 3000
+    fewer = neardup.near_duplicates(rows.filter("key < 'h003' or key like 'o%'"), "key", "value", "at")
+    assert {(r.a, r.b) for r in fewer.collect()} == {p for p in want if max(p) < "h003"}
+
+
+def test_copy_groups(spark):
+    rows = versioned(spark, [("a", "same text"), ("b", "same text"), ("c", "same text"), ("d", "other text"), ("e", "abc"), ("f", "abc"), ("g", None)], "string")
+    got = {tuple(r) for r in neardup.copy_groups(rows, "key", "value", "at", neardup.MinMaxOptions(expand=2)).collect()}
+    assert got == {("a", "b", 3, False), ("a", "c", 3, False)}
+    assert neardup.copy_groups(rows.limit(0), "key", "value", "at").count() == 0
+
+
 # --- encoding
 
 
@@ -261,6 +356,24 @@ def test_mix_meets_its_shares(spark):
     assert empty.count() == 0 and {r.actual_tokens for r in none.collect()} == {0}
 
 
+def test_shares_are_within_a_block(spark, folder):
+    """Actual and target tokens of the given mixes, where no source is capped, and added weights."""
+    sizes = mixing.measured(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text"))
+    targets = spark.read.parquet(f"{folder}/mix_targets.parquet")
+    _, shares = mixing.mixed(sizes, targets)
+    longest = sizes.agg(F.max("tokens")).first()[0]
+    rows = shares.collect()
+    capped = {r.mix_id for r in rows if r.capped and r.weight > 0}
+    free = [r for r in rows if r.mix_id not in capped and r.weight > 0]
+    for r in free:
+        assert abs(r.actual_tokens - r.target_tokens) <= max(r.block, longest)
+    for r in rows:
+        assert r.actual_tokens <= r.max_repeats * r.source_tokens
+    twice = spark.createDataFrame([("m", "A", 1.0, 2), ("m", " a ", 2.0, 1), ("m", "b", 3.0, 2), ("m", "b", 3.0, 2)], "mix_id string, source string, weight double, max_repeats int")
+    got = {r.source: (r.weight, r.max_repeats) for r in mixing.mixed(sizes, twice)[1].collect()}
+    assert got == {"a": (3.0, 2), "b": (3.0, 2)}
+
+
 # --- garbled text
 
 SOUND = ["Die Gebäudeplanung übergibt den Dienstplan nach der jährlichen Übung.", "¿Ñandú? ÁÉÍÓÚÜ º ª", "Þórður Ð ð Æ Ø å", "├── a\n│   └── b\n╔══╗ ÷ ± § © ® ™ £ ¥", "Сверка остатков трёх складов — в начале квартала.", "銘昀專案：值班組長撤回到職資料袋，並由倉管窗口覆核！", "Ａｌｌ ｗｉｄｅ", "e´ café", "shows `â€™` and `Ã¼` and `�`", "manutenção FUNÇÕES EXCEÇÕES", "prіnt lοok", "", "25 °C, 3 m², № 5, “quoted” 🧯"]
@@ -286,11 +399,44 @@ def test_other_damage():
     assert garble.restored(twice) == "Übergröße für die Küche"
     assert garble.restored("Сверка остатков".encode("koi8_r").decode("cp1251")) == "Сверка остатков"
     assert garble.restored("每月第一個週二，夜班同仁分批歸檔".encode("big5").decode("latin-1")).startswith("每月第一個週二")
-    assert garble.damaged("r�f�rent") and garble.damaged("It is done. ??\n") and not garble.damaged("Why? Who?")
+    assert garble.damaged("r�f�rent") and not garble.damaged("It is done. ??\n") and not garble.damaged("Why? Who?")
     part = "All is well here. " + "für die Küche".encode().decode("latin-1") + " and on."
     assert garble.restored(part) == "All is well here. für die Küche and on."
 
 
+ESCAPED = [("Caf&eacute; and Gar&ccedil;on", "Café and Garçon"), ("Caf=C3=A9 menu =C3=A9t=C3=A9", "Café menu été"), ("na\\u00efve", "naïve"), ("caf&Atilde;&copy;", "café"), ("F&#252;r &#x4e2d;&#x6587;", "Für 中文")]
+
+
+@pytest.mark.parametrize("bad, text", ESCAPED)
+def test_escapes(bad, text):
+    assert garble.damaged(bad) and garble.restored(bad) == text
+    assert not garble.damaged(f"`{bad}`")
+
+
+@pytest.mark.parametrize("text", ["AT&amp;T and Q&amp;A and R&amp;D", "Use &lt;div&gt; in the template.", "a &nbsp; b &mdash; c &copy; 2020", "x=10 a=BB c==D &c; \\user"])
+def test_sound_escapes(text):
+    assert not garble.damaged(text) and garble.restored(text) == text
+
+
+def test_planted_damage_comes_back(folder):
+    """Whole documents and single sentences, over pairs of encodings."""
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table(f"{folder}/documents.parquet", columns=["text"]).column(0).to_pylist() if t and not t.isascii() and not garble.damaged(t) and "`" not in t]
+    tried = found = back = 0
+    for text in texts:
+        for true, read in (("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp437"), ("utf-8", "mac_roman"), ("utf-8", "cp1251"), ("cp1252", "cp437"), ("cp1252", "cp1251")):
+            try:
+                bad = text.encode(true).decode(read)
+            except UnicodeError:
+                continue
+            if bad != text:
+                tried, found = tried + 1, found + garble.damaged(bad)
+                got = garble.restored(bad)
+                back += sum(a == b for a, b in zip(got.split(), text.split())) >= 0.98 * len(text.split())
+    assert tried > 100 and found >= 0.97 * tried and back >= 0.9 * tried, (tried, found, back)
+
+
 EAST_ASIAN = ["会议室预订请提前两天提交", "请在系统中提交报销单据", "財務部門在三個工作日內完成", "サーバーは夜間に起動", "総務部に提出してください", "시스템에서직접신청", "Сверка остатков трёх складов", "Die Übergröße für die Küche", "L’équipe répare l’entrepôt"]
 
 

@@ -25,20 +25,20 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import split_join, split_pairs
 from ..sources.tables import fingerprint
 
-#: Letters that share one shape, as Latin, Cyrillic, Greek (dot: none).
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Lisu", "Coptic")
+#: Letters that share one shape, by script in the order of ``SCRIPTS`` (dot: none).
 SHAPES = """
-AАΑ BВΒ CС. EЕΕ GԌ. HНΗ IІΙ JЈ. KКΚ MМΜ N.Ν OОΟ PРΡ QԚ. SЅ. TТΤ VѴ. WԜ. XХΧ YУΥ Z.Ζ
-aаα cс. dԁ. eе. hһ. iіι jј. oоο pрρ qԛ. sѕ. v.ν wԝ. xхχ yу.
+AАΑ.ᎪꓮⲀ BВΒ.ᏴꓐⲂ CС..ᏟꓚⲤ D...Ꭰꓓ. EЕΕ.Ꭼꓰ. F....ꓝ. GԌ..Ꮐꓖ. HНΗ.ᎻꓧⲎ IІΙ..ꓲⲒ JЈ..Ꭻꓙ. KКΚ.ᏦꓗⲔ L...Ꮮꓡ. MМΜ.ᎷꓟⲘ
+N.Ν..ꓠⲚ OОΟՕ.ꓳⲞ PРΡ.ᏢꓑⲢ QԚ..... R...Ꭱꓣ. SЅ.ՏᏚꓢ. TТΤ.ᎢꓔⲦ U..Ս.ꓴ. VѴ..Ꮩꓦ. WԜ..Ꮃꓪ. XХΧ..ꓫⲬ YУΥ.ᎩꓬⲨ Z.Ζ.ᏃꓜⲌ
+aаα.... cс....ⲥ dԁ..... eе..... g..ց... hһ.հ... iіι.... jј.յ... n..ո... oоοօ..ⲟ pрρ...ⲣ qԛ.զ... sѕ..... u.υս... v.ν.... wԝ..... xхχ.... yу.....
 """
 #: Further letters of the shape of a Latin one.
 FURTHER = "ıi ɡg ɑa ҮY үy ӏl ӀI ϲc ϹC ϳj"
 #: Letters of Russian that look like Latin ones.
 RUSSIAN = frozenset("АВСЕНКМОРТХУасеорху")
-SCRIPTS = ("Latin", "Cyrillic", "Greek")
-
-
 def _classes() -> dict[str, dict[str, str]]:
     """For each letter that has look-alikes: script -> letter of that script."""
     found = {}
@@ -61,8 +61,8 @@ SPACE = re.compile("[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
 #: Whether a text can hold any of the two above.
 ODD = re.compile("[\u00a0\u00ad\u034f\u061c\u115f\u1160\u1680\u17b4\u17b5\u180b-\u180f\u2000-\u200f\u202a-\u202f\u205f-\u206f\u3000\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufffb\U000e0000-\U000e0fff]")
 TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-OTHER_SCRIPT = re.compile("[\u0370-\u052f\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f" + "".join(w[0] for w in FURTHER.split()) + "]")
-SCRIPT = {name: regex.compile(rf"\p{{{name}}}") for name in ("Latin", "Cyrillic", "Greek", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew", "Armenian")}
+OTHER_SCRIPT = re.compile("[\u0370-\u058f\u13a0-\u13ff\u1c80-\u1c8f\u1f00-\u1fff\u2c80-\u2cff\u2de0-\u2dff\ua4d0-\ua4ff\ua640-\ua69f\uab70-\uabbf" + "".join(w[0] for w in FURTHER.split()) + "]")
+SCRIPT = {name: regex.compile(rf"\p{{{name}}}") for name in (*SCRIPTS, "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew")}
 
 
 @lru_cache(maxsize=50_000)
@@ -87,7 +87,7 @@ def resolved(token: str) -> frozenset[str] | None:
     if left and len(left) > 1:
         # codes with digits are Latin, and letters that Russian lacks do not make a Russian word
         rare = any(CLASSES[c].get("Cyrillic", "о") not in RUSSIAN for c in token if c in CLASSES)
-        left = left - {"Cyrillic", "Greek"} if any(map(str.isdigit, token)) else left - {"Cyrillic"} if rare else left
+        left = left & {"Latin"} or left if any(map(str.isdigit, token)) else left - {"Cyrillic"} if rare else left
     return left
 
 
@@ -136,23 +136,26 @@ def consistent_column(text: Column) -> Column:
     return form(text)
 
 
-def look_alikes(rows: DataFrame, key: str, text: str) -> DataFrame:
+def look_alikes(rows: DataFrame, key: str, text: str, expand: int | None = 1000) -> DataFrame:
     """Pairs ``a < b`` of keys whose texts differ but have one consistent form.
 
     Null texts take part in no pair; equal texts are no pair.  Rows are one per
     key.  Only fingerprints (128 bits of the text, 128 of its form) are shuffled,
     and only forms that hold two different texts, found by a map-side combined
     minimum and maximum, are joined; a form that a third of all rows share
-    without a second spelling never reaches the join.
+    without a second spelling never reaches the join, and one with a second
+    spelling is cut into blocks.  A text that more than ``expand`` keys share
+    stands in pairs by its first key only (null: by all).
     """
     marked = rows.select(F.col(key), *[c for c in rows.columns if c in ("t1", "t2", "f1", "f2")])
     mixed = marked.groupBy("f1", "f2").agg(F.min(F.struct("t1", "t2")).alias("least"), F.max(F.struct("t1", "t2")).alias("most"))
     mixed = mixed.filter(F.col("least") != F.col("most")).select("f1", "f2")
     held = marked.join(mixed, ["f1", "f2"], "left_semi")
-    a, b = held.alias("a"), held.alias("b")
-    same_form = (F.col("a.f1") == F.col("b.f1")) & (F.col("a.f2") == F.col("b.f2"))
-    other_text = (F.col("a.t1") != F.col("b.t1")) | (F.col("a.t2") != F.col("b.t2"))
-    return a.join(b, same_form & other_text & (F.col(f"a.{key}") < F.col(f"b.{key}"))).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
+    if expand is not None:
+        large = held.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).filter(F.col("n") > expand).select("t1", "t2", "first")
+        held = split_join(held, large, ["t1", "t2"], [key], "left").filter(F.col("first").isNull() | (F.col(key) == F.col("first"))).drop("first")
+    met = split_pairs(held, ["f1", "f2"], key).filter((F.col("a.t1") != F.col("b.t1")) | (F.col("a.t2") != F.col("b.t2")))
+    return met.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
 
 
 def with_forms(rows: DataFrame, text: str) -> DataFrame:

@@ -10,13 +10,21 @@ best.  A document is a case if the search makes some piece of it clearly cheaper
 than it stands, or if it holds marks of characters that a decoder gave up.
 
 Pieces are runs without ASCII white space, parted into CJK and other characters,
-so that damage in part of a text does not depend on the rest.  What stands
+so that damage in part of a text does not depend on the rest.  An escape (character
+reference, ``\\u`` escape, quoted bytes) of a letter beyond ASCII is a damaged piece
+too; references to signs (``&amp;``, ``&lt;``, ``&nbsp;``) are sound.  What stands
 between backquotes is only quoted and is left alone.
+
+The search has no cap: a step is only followed if it read UTF-8 or an escape, which
+shortens the text, so that there are few states and every one of them is visited
+that costs less than ``AHEAD`` more than the state it came from (what an escape
+stands for, always).
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from codecs import getincrementaldecoder
@@ -35,7 +43,11 @@ HAN = ("big5", "gb18030")
 #: Encodings of READ_AS that make Han characters, with those that such a text was really in.
 READ_AS_HAN = {"sloppy-gbk": ("utf-8", "big5"), "gb18030": ("utf-8", "big5"), "big5": ("utf-8", "gb18030")}
 #: Russian letters with their share in running text, per mille.
-RUSSIAN = "о109 е84 а80 и74 н67 т63 с55 р47 в45 л43 к35 м32 д30 п28 у26 я20 ы19 ь17 г17 з16 б16 ч15 й12 х10 ж9 ш7 ю6 ц5 щ4 э3 ф3 ъ0.4 ё20"
+RUSSIAN = {
+    "о": 109, "е": 84, "а": 80, "и": 74, "н": 67, "т": 63, "с": 55, "р": 47, "в": 45, "л": 43, "к": 35,
+    "м": 32, "д": 30, "п": 28, "у": 26, "я": 20, "ы": 19, "ь": 17, "г": 17, "з": 16, "б": 16, "ч": 15,
+    "й": 12, "х": 10, "ж": 9, "ш": 7, "ю": 6, "ц": 5, "щ": 4, "э": 3, "ф": 3, "ъ": 0.4, "ё": 20,
+}
 #: Accented letters that are common in some Western language.
 COMMON = "àáâãäçèéêëíîïñóôõöùúûüßœåøæ"
 #: Letters that pass for those of another script.
@@ -43,7 +55,7 @@ ALIKE = frozenset("aeopcyxijsABEKMHOPCTXYIаеорсухіјѕһӏԁԛԝАВЕЅ
 #: Marks that are combined with Western letters or emoji, here and there.
 MARKS = frozenset((*range(0x300, 0x305), 0x306, 0x307, 0x308, 0x30A, 0x30B, 0x30C, 0x327, 0x328, 0x20E3, 0xFE0E, 0xFE0F))
 MARGIN = 2.5
-MOST_STATES = 400
+AHEAD = 4.0
 
 CJK = "ᄀ-ᇿ⺀-〿぀-鿿ꥠ-꥿가-퟿豈-﫿︰-﹏＀-￯\U00020000-\U0003ffff"
 WORD = re.compile("[^ \t\n\r\f\v]+")
@@ -55,14 +67,12 @@ HAN_LETTER = re.compile("[㐀-鿿]")
 CJK_LETTER = re.compile(f"[{CJK}]")
 OTHER = re.compile(f"[^\x00-\x7f{CJK}]")
 LETTERS = re.compile(r"[^\W\d_]+")
-#: What a dash or a euro sign that stands alone becomes.
-STRAYS = frozenset("ûùñÇÄЦЧЂ")
-#: Apostrophes and dashes that were read as a letter, or as the bytes of a Han character.
-NOT = re.compile(r"nít\b")
-STRAY = re.compile(r"[¡¨][A-Zª]")
+#: Words of one letter beyond ASCII (Romance, Russian).
+ONE_LETTER = frozenset("àáéèíóòôúавикосуяэ")
+#: Marks that stand alone between words, and those that East Asian encodings write as two bytes.
+ALONE, WIDE_MARKS = "–—€•", "–—―‐‥…‘’“”•€"
 BOX = re.compile("[\u2500-\u259f]")
 QUOTED = re.compile(r"(?<!`)`[^`\n]+`(?!`)")
-LOST = re.compile(r"(?:(?<=[.!?。！] )|(?<=^))\?{1,4}(?=\s|$)|(?<= )\?(?= \d+,\d)", re.M)
 ESCAPE = re.compile(r"&(?:#\d{2,6}|#[xX][0-9a-fA-F]{2,5}|[a-zA-Z]{2,8});|\\u[0-9a-fA-F]{4}|(?:=[89A-F][0-9A-F]){2,}")
 
 
@@ -88,10 +98,7 @@ MISREAD_LETTERS = frozenset(bytes((a, b)).decode("gbk") for a in (0xC3, 0xC4, 0x
 #: Runs that may be the bytes of another East Asian encoding, with the ASCII ones and marks that those make.
 RARE_HAN = re.compile(f"[{CJK}-][{CJK}-\x21-\x7e€°±·×÷§¨Ͱ-ӿ‐-♯]{{3,4000}}")
 WITHIN = re.compile("[a-zA-Z][一-龥]|[一-龥][a-z]")
-LETTER_COST = {}
-for _entry in RUSSIAN.split():
-    _bits = 10 - __import__("math").log2(float(_entry[1:]))
-    LETTER_COST[_entry[0]] = LETTER_COST[_entry[0].upper()] = max(0.4, (_bits - 2) / 2)
+LETTER_COST = {form: max(0.4, (8 - math.log2(share)) / 2) for letter, share in RUSSIAN.items() for form in (letter, letter.upper())}
 
 
 def _east_asian_cost(char: str) -> float:
@@ -169,13 +176,15 @@ def cost(text: str) -> float:
         if "c" in kinds or "g" in kinds:  # two scripts in a word, but for letters that pass for the other's
             strange = [c not in ALIKE for c, k in zip(run, kinds) if k in "cg"], [c not in ALIKE for c, k in zip(run, kinds) if k in "al"]
             total += 4.0 * min(map(sum, strange))
-        if run in STRAYS:
+        if len(run) == 1 and run in images()[0]:
             total += 3.5
     for run in MISREAD_RUSSIAN.findall(text):  # what Russian letters and emoji become
         total += 1.0 * len(run)
     total += 2.0 * len(MISREAD_EMOJI.findall(text))
-    if "í" in text and NOT.search(text) or STRAY.fullmatch(text):
+    if not text.isascii() and (images()[2].search(text) or text in images()[1]):
         total += 4.0
+    if "&" in text or "\\u" in text or "=" in text:
+        total += 3.0 * sum(map(_meant, ESCAPE.findall(text)))
     for char in text:
         now, own = kind(char)
         total += own if now not in "cg" or before not in "al" or own > 1.5 else 1.5
@@ -277,6 +286,34 @@ def _decode_one(byte: int) -> str:
         return chr(byte)
 
 
+@lru_cache(maxsize=1)
+def images() -> tuple[frozenset[str], frozenset[str], re.Pattern]:
+    """What a mark becomes that was written in one encoding and read, byte by byte, in
+    another: letters of marks that stand alone, two characters of those that East
+    Asian encodings write as two bytes, and n’t with a letter as its apostrophe."""
+
+    def read(marks: str, written: tuple[str, ...]) -> set[str]:
+        found = set()
+        for mark in marks:
+            for codec in written:
+                data = _encode(mark, codec)
+                for other in READ_AS if data else ():
+                    if other not in READ_AS_HAN and (there := _decode(data, other)) is not None and there != mark:
+                        found.add(there)
+        return found
+
+    single = tuple(c for c in WRITTEN_IN if c not in HAN and c != "utf-8")
+    alone = {c for c in read(ALONE, single) if len(c) == 1 and c.isalpha() and c not in ALIKE and c.lower() not in ONE_LETTER}
+    within = "".join(sorted(c for c in read("’", single) if len(c) == 1 and c.isalpha()))
+    return frozenset(alone), frozenset(w for w in read(WIDE_MARKS, HAN) if len(w) == 2 and not w.isalpha()), re.compile(rf"n[{within}]t\b")
+
+
+@lru_cache(maxsize=10_000)
+def _meant(escape: str) -> bool:
+    """Whether an escape stands for a letter beyond ASCII, or for bytes."""
+    return escape.startswith("=") or any(c > "\x7f" and c.isalpha() for c in unescaped(escape))
+
+
 def unescaped(text: str) -> str:
     """A text with its character references, escapes and quoted bytes read."""
     text = html.unescape(text)
@@ -297,14 +334,12 @@ def search(text: str, codecs: tuple[str, ...] = READ_AS, cross: bool = True) ->
     drawn = len(BOX.findall(text))
     seen: set[str] = {text}
     queue: list[tuple[float, int, str]] = [(start, 0, text)]
-    while queue and len(seen) < MOST_STATES:
+    while queue:
         here_cost, depth, here = heappop(queue)
-        if depth == 3:
-            continue
-        steps = [(unescaped(here), 0.0, True)] if "&" in here or "\\u" in here or "=" in here else []
+        steps = [(unescaped(here), 0.0, None)] if "&" in here or "\\u" in here or "=" in here else []
         # bytes of Han characters read one by one show symbols among the letters
         kinds = [kind(c)[0] for c in here]
-        han = "c" not in kinds and (sum(k in "sbx" for k in kinds) >= 2 or len(here) >= 16 or STRAY.fullmatch(here) is not None)
+        han = "c" not in kinds and (sum(k in "sbx" for k in kinds) >= 2 or len(here) >= 16 or here in images()[1])
         # whatever is encoded as GBK can be, so only what holds Han characters may come from there
         if "h" in kinds:
             for codec, trues in READ_AS_HAN.items():
@@ -331,7 +366,7 @@ def search(text: str, codecs: tuple[str, ...] = READ_AS, cross: bool = True) ->
             if there_cost < best_cost:
                 best, best_cost = there, there_cost
             # damage upon damage is always a misreading of UTF-8, so only what such a step gave is followed
-            if follow and there_cost < here_cost + 4:
+            if follow is None or follow and there_cost < here_cost + AHEAD:
                 heappush(queue, (there_cost, depth + 1, there))
     return best, best_cost
 
@@ -392,12 +427,13 @@ def restored_word(word: str) -> str:
     word = MISREAD_RUSSIAN.sub(lambda m: restored_han(m.group()), word)
     word = MISREAD_HAN.sub(lambda m: restored_han(m.group()), word)
     word = RARE_HAN.sub(lambda m: restored_han(m.group(), True) if _rare(m.group()) else m.group(), word)
-    if not OTHER.search(word):
+    escaped = ESCAPE.search(word) is not None
+    if not escaped and not OTHER.search(word):
         return word
     out = []
     for match in PART.finditer(word):
         part = match.group()
-        if part.isascii():
+        if part.isascii() and not (escaped and ESCAPE.search(part)):
             out.append(part)
         elif re.match(f"[{CJK}]", part):
             out.append(part)
@@ -408,7 +444,12 @@ def restored_word(word: str) -> str:
 
 @lru_cache(maxsize=100_000)
 def _damaged(word: str) -> bool:
-    return "�" in word or restored_word(word) != word
+    """Whether the search leads from a word to another, or ends at lost characters."""
+    return restored_word(word) != word or "\ufffd" in word
+
+
+def _odd(word: str) -> bool:
+    return not word.isascii() or ESCAPE.search(word) is not None
 
 
 def damaged(text: str | None) -> bool:
@@ -417,16 +458,12 @@ def damaged(text: str | None) -> bool:
         return False
     if "`" in text:
         text = QUOTED.sub("``", text)
-    if not text.isascii():
-        for word in WORD.findall(text):
-            if not word.isascii() and _damaged(word):
-                return True
-    return bool(LOST.search(text)) or bool(ESCAPE.search(text)) and unescaped(text) != text and cost(unescaped(text)) + MARGIN < cost(text) + 2 * len(ESCAPE.findall(text))
+    return _odd(text) and any(_odd(word) and _damaged(word) for word in WORD.findall(text))
 
 
 def restored(text: str | None) -> str | None:
     """A text with its damaged parts restored; quoted parts stay."""
-    if not text or text.isascii():
+    if not text or not _odd(text):
         return text
     quotes = [m.span() for m in QUOTED.finditer(text)]
     out, at = [], 0
@@ -451,7 +488,7 @@ def garbled(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pd.DataFrame({"key": cases["key"], "restored_text": cases["text"].map(restored)})
 
     kind_of_key = dict(documents.dtypes)[key]
-    # only texts that hold something beyond ASCII, a lost character or an escape can be cases
-    odd = F.col(text).rlike(r"[^\x00-\x7f]|(?:^|\s)\?+(?:\s|$)|&[#a-zA-Z0-9]+;|\\u[0-9a-fA-F]{4}|=[89A-F][0-9A-F]=[89A-F]")
+    # only texts that hold something beyond ASCII or an escape can be cases
+    odd = F.col(text).rlike(r"[^\x00-\x7f]|&[#a-zA-Z0-9]+;|\\u[0-9a-fA-F]{4}|=[89A-F][0-9A-F]=[89A-F]")
     rows = documents.filter(odd).select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInPandas(find, f"key {kind_of_key}, restored_text string").withColumnRenamed("key", key)

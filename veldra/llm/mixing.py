@@ -27,11 +27,13 @@ from .encoding import token_count
 
 @dataclass(frozen=True)
 class MixOptions:
-    """``blocks`` of a mix; a source has a shard per ``shard_tokens``, ``shards`` at most."""
+    """``blocks`` of a mix, of one token at least: a source whose target is below half a block
+    gets none.  A source has a shard per ``shard_tokens``, ``shards`` at most; beyond
+    that its shards grow (a shard is sorted by one task, on disk where it must)."""
 
-    blocks: int = 20_000
+    blocks: int = 1_000_000
     shard_tokens: int = 2_000_000
-    shards: int = 4096
+    shards: int = 100_000
     seed: int = 3
 
 
@@ -96,8 +98,9 @@ def plan(sizes: DataFrame, targets: DataFrame, o: MixOptions = MixOptions()) ->
     shards = sharded.groupBy("source", "shard").agg(F.sum("tokens").alias("shard_tokens"))
     wanted = (
         targets.filter("mix_id is not null")
+        .distinct()
         .groupBy("mix_id", plain_source(F.col("source")).alias("source"))
-        .agg(F.max(F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.0)).alias("weight"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("max_repeats"))
+        .agg(F.sum(F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.0)).alias("weight"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("max_repeats"))
     )
     block = F.greatest(F.col("total") / o.blocks, F.lit(1.0))
     room = lambda tokens: F.ceil(F.col("max_repeats") * F.coalesce(tokens, F.lit(0)) / F.col("block"))
@@ -124,8 +127,9 @@ def mixed(sizes: DataFrame, targets: DataFrame, o: MixOptions = MixOptions()) ->
     Chosen: ``mix_id, source, doc_id, tokens, repeats`` (once or more).  Shares:
     one row per mix and source with the target and the actual share.  Documents
     of null source or without tokens are never chosen, but count in the total; a
-    source named in other case or spacing is the same source; null and negative
-    weights are 0; a mix whose sources cannot fill the total stays smaller; empty
+    source named in other case or spacing is the same source, so the weights of its
+    entries in a mix are added and the most repeats hold (an entry that is repeated
+    in every column counts once); null and negative weights are 0; a mix whose sources cannot fill the total stays smaller; empty
     tables give empty mixes.
     """
     sharded, sources, quotas = plan(sizes, targets, o)
@@ -145,6 +149,7 @@ def mixed(sizes: DataFrame, targets: DataFrame, o: MixOptions = MixOptions()) ->
         F.try_divide(F.col("weight") * F.col("total"), F.sum("weight").over(per_mix)).alias("target_tokens"),
         F.col("blocks").alias("quota_blocks"), actual.alias("actual_tokens"),
         F.try_divide(actual.cast("double"), F.sum(actual).over(per_mix)).alias("actual_share"),
+        (F.col("blocks") == F.col("capacity")).alias("capped"), "block",
         F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
     )
     return chosen, shares

@@ -9,7 +9,9 @@ then computed exactly from the texts.  Texts of similarity s meet with
 probability 1 - (1 - s^rows)^bands: 0.997 at 0.7, 0.9999 at 0.75.
 
 Equal texts are one text for all of this.  Only keys under which two texts met
-are joined.
+are joined.  Band keys that many texts share, found in a sample by hash, are cut
+into blocks that meet in groups of their own.  ``copies`` names every text's first
+key and its further ones.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import split_join, split_pairs
 from ..sources.tables import current_keys, fingerprint, kept
 
 
@@ -30,13 +33,18 @@ from ..sources.tables import current_keys, fingerprint, kept
 class MinMaxOptions:
     """``threshold``: least similarity; ``width``: characters of a substring;
     ``expand``: groups of equal texts up to this size come out as all their
-    pairs, larger ones as pairs of each member with the group's first key."""
+    pairs, larger ones as pairs of each member with the group's first key; null:
+    all groups as all their pairs.  ``hot_sample``, ``hot_share``: a band key is hot
+    that 16 texts and more than one in ``hot_share`` hold among one in ``hot_sample``
+    of all texts, so that ``hot_share`` times the bands bounds their number."""
 
     threshold: float = 0.7
     width: int = 5
     permutations: int = 384
     rows: int = 8
-    expand: int = 1000
+    expand: int | None = 1000
+    hot_sample: int = 64
+    hot_share: int = 1000
     seed: int = 5
 
 
@@ -124,31 +132,58 @@ def similarity(width: int):
     return exact
 
 
+def hot_bands(texts: DataFrame, o: MinMaxOptions) -> DataFrame:
+    """``band_key`` of the bands that many texts share."""
+    sample = texts.filter(F.pmod(F.xxhash64("t1", F.lit(o.seed)), F.lit(o.hot_sample)) == 0)
+    counted = banded(sample, o).groupBy("band_key").agg(F.count(F.lit(1)).alias("n")).filter("n >= 16")
+    total = sample.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return counted.crossJoin(F.broadcast(total)).filter(F.col("n") * o.hot_share > F.col("total")).select("band_key")
+
+
 def similar_texts(texts: DataFrame, o: MinMaxOptions) -> DataFrame:
     """``a1, a2, b1, b2, similarity`` of different texts at or above the threshold.
 
-    ``texts`` holds ``t1, t2, text``, each text once and of at least ``width``
+    ``texts`` holds ``t1, t2, id, text``, each text once and of at least ``width``
     characters.
     """
-    texts = texts.withColumn("id", F.col("t1"))
-    met = banded(texts, o).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band_key"))).filter("n > 1").select("band_key", "id")
+    hot = kept(hot_bands(texts, o), "hot")
+    flagged = banded(texts, o).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "band_key", "left")  # bounded by hot_share
+    block = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(F.lit(0))
+    met = flagged.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band_key", block))).filter("n > 1 or hot").select("band_key", "id")
     met = kept(met, "bands")
-    a, b = met.select("band_key", F.col("id").alias("a")), met.select("band_key", F.col("id").alias("b"))
-    pairs = a.join(b, "band_key").filter("a < b").select("a", "b").distinct()
-    left = texts.select(F.col("id").alias("a"), F.col("t2").alias("a2"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("t2").alias("b2"), F.col("text").alias("text_b"))
+    pairs = split_pairs(met, ["band_key"], "id", hot).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    left = texts.select(F.col("id").alias("a"), F.col("t1").alias("a1"), F.col("t2").alias("a2"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("t1").alias("b1"), F.col("t2").alias("b2"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b")
     scored = joined.withColumn("similarity", similarity(o.width)("text_a", "text_b"))
-    return scored.filter(F.col("similarity") >= o.threshold).select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2", "similarity")
+    return scored.filter(F.col("similarity") >= o.threshold).select("a1", "a2", "b1", "b2", "similarity")
 
 
 def prepared(rows: DataFrame, key: str, text: str, at: str, o: MinMaxOptions) -> tuple[DataFrame, DataFrame]:
-    """Current keys with the fingerprint of their text, and each text once."""
+    """Current keys with the fingerprint of their text (128 bits), and each text once.
+
+    The 64-bit ``id`` of a text is the first half of its fingerprint, of the texts
+    that share one but the first a hash of both halves."""
     marked = rows.select(key, at, F.col(text).alias("text"), F.length(text).alias("size"), *fingerprint(F.col(text), "t"))
     keys = current_keys(marked, key, ["t1", "t2", "size"], at).filter(F.col("size") >= o.width)
     keys = keys.select(F.col(key).alias("key"), "t1", "t2")
     texts = marked.filter(F.col("size") >= o.width).select("t1", "t2", "text").repartition("t1").dropDuplicates(["t1", "t2"])
-    return keys, texts
+    place = F.row_number().over(Window.partitionBy("t1").orderBy("t2"))
+    return keys, texts.withColumn("id", F.when(place == 1, F.col("t1")).otherwise(F.xxhash64("t1", "t2")))
+
+
+def copies(keys: DataFrame, o: MinMaxOptions) -> DataFrame:
+    """``key, t1, t2, n, first``: the keys whose text others have too, how many, and the first of them."""
+    sizes = keys.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).filter("n > 1")
+    return split_join(keys, sizes, ["t1", "t2"], ["key"])
+
+
+def copy_groups(rows: DataFrame, key: str, text: str, at: str, o: MinMaxOptions = MinMaxOptions()) -> DataFrame:
+    """``representative, member, copies, expanded``: each further key of a text, with the text's first
+    one; ``expanded`` tells whether the pairs of the group all come out of ``near_duplicates``."""
+    held = copies(prepared(rows, key, text, at, o)[0], o).filter("key != first")
+    expanded = F.lit(True) if o.expand is None else F.col("n") <= o.expand
+    return held.select(F.col("first").alias("representative"), F.col("key").alias("member"), F.col("n").alias("copies"), expanded.alias("expanded"))
 
 
 def near_duplicates(rows: DataFrame, key: str, text: str, at: str, o: MinMaxOptions = MinMaxOptions()) -> DataFrame:
@@ -156,19 +191,19 @@ def near_duplicates(rows: DataFrame, key: str, text: str, at: str, o: MinMaxOpti
 
     Current rows only, each key once.  Null texts and texts shorter than
     ``width`` have no substrings and take no part; equal texts have similarity 1
-    (see ``MinMaxOptions.expand`` for large groups of them); very long texts are
-    compared whole.  Other columns are ignored.
+    (see ``MinMaxOptions.expand`` for large groups of them, whose members
+    ``copy_groups`` lists); very long texts are compared whole.  Other columns are
+    ignored.
     """
     keys, texts = prepared(rows, key, text, at, o)
     links = similar_texts(texts, o)
-    sizes = keys.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
-    sizes = sizes.filter("n > 1")
-    members = keys.join(sizes, ["t1", "t2"], "left")
-    shown = members.filter(f"n is null or n <= {o.expand} or key = first")
-    small = shown.filter(f"n <= {o.expand}")
-    copies = small.select("t1", "t2", F.col("key").alias("a")).join(small.select("t1", "t2", F.col("key").alias("b")), ["t1", "t2"]).filter("a < b").select("a", "b")
-    large = members.filter(f"n > {o.expand} and key != first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    several = copies(keys, o)
+    fits = F.lit(True) if o.expand is None else F.col("n") <= o.expand
+    few = several.filter(fits)
+    pairs = split_pairs(few.select("t1", "t2", "key"), ["t1", "t2"], "key").select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+    starred = several.filter(~fits & (F.col("key") != F.col("first")))
+    shown = keys.join(starred.select("key"), "key", "left_anti")
     a = shown.select(F.col("t1").alias("a1"), F.col("t2").alias("a2"), F.col("key").alias("x"))
     b = shown.select(F.col("t1").alias("b1"), F.col("t2").alias("b2"), F.col("key").alias("y"))
     across = links.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return across.unionByName(copies).unionByName(large)
+    return across.unionByName(pairs).unionByName(starred.select(F.col("first").alias("a"), F.col("key").alias("b")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import current_keys, spread, table
+from ..sources.tables import current_keys, current_rows, spread, table
 from . import confusables, encoding, garble, knn, mixing, neardup, splitting
 
 
@@ -17,10 +17,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
-    """The consistent form of every stored index_text, once per chunk and time."""
-    rows = table(spark, folder, "chunks").select("chunk_id", "ingested_at", "index_text").filter("chunk_id is not null")
-    latest = rows.groupBy("chunk_id").agg(F.max("ingested_at").alias("ingested_at"))
-    current = rows.join(latest, ["chunk_id", "ingested_at"]).dropDuplicates(["chunk_id"])
+    """The consistent form of every current index_text."""
+    current = current_rows(table(spark, folder, "chunks").select("chunk_id", "ingested_at", "index_text"), "chunk_id")
     return current.select("chunk_id", confusables.consistent_column(F.col("index_text")).alias("consistent_text"))
 
 
@@ -29,14 +27,30 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return knn.similar_pairs(table(spark, folder, "chunks"), "chunk_id", "vec", "ingested_at").toDF("chunk_a", "chunk_b")
 
 
+def p3_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of the nearest vectors against the exact ones of every fiftieth vector by its hash."""
+    return knn.recall(table(spark, folder, "chunks"), "chunk_id", "vec", "ingested_at")
+
+
+def _splittable(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    chunks = spread(table(spark, folder, "chunks").select("chunk_id", "index_text", "ingested_at"))
+    return chunks, spread(table(spark, folder, "sections").select("section_id", "trail", "ingested_at"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Items above their limit: those that the splitter cuts."""
-    return p4_pieces(spark, folder).filter("piece = 1").select("src_table", "src_key")
+    texts, trails = splitting.all_oversized(*_splittable(spark, folder))
+    return texts.unionByName(trails).select("src_table", "src_key")
 
 
 def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of every oversized item."""
-    return splitting.split_oversized(spread(table(spark, folder, "chunks").select("chunk_id", "index_text", "ingested_at")), spread(table(spark, folder, "sections").select("section_id", "trail", "ingested_at")))
+    return splitting.split_oversized(*_splittable(spark, folder))
+
+
+def p4_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the pieces of every oversized item give its text back, within the limit and without a gap."""
+    return splitting.checked(p4_pieces(spark, folder), {"chunks": splitting.INDEX_TEXT.limit, "sections": splitting.TRAIL.limit})
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,6 +58,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "chunks"), "chunk_id", "index_text", "ingested_at").toDF("chunk_a", "chunk_b")
 
 
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of equal index_text: the first of them and each further one."""
+    return neardup.copy_groups(table(spark, folder, "chunks"), "chunk_id", "index_text", "ingested_at")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of every document's text."""
     return encoding.with_ids(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
@@ -70,7 +89,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p4_found, p4_pieces, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_recall, p4_found, p4_pieces, p4_checked, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_restored)}
 
 
 _CJK = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
@@ -86,6 +105,9 @@ def _current(name: str, key: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    large = f"select 'chunks' as src_table, chunk_id as src_key, index_text as t from {_current('chunks', 'chunk_id')} where {_estimate('index_text')} > 500 union all select 'sections', section_id, trail from {_current('sections', 'section_id')} where {_estimate('trail')} > 60"
     return {
-        "p4_found": f"select 'chunks' as src_table, chunk_id as src_key from {_current('chunks', 'chunk_id')} where {_estimate('index_text')} > 500 union all select 'sections', section_id from {_current('sections', 'section_id')} where {_estimate('trail')} > 60",
+        "p4_found": f"select src_table, src_key from ({large})",
+        "p4_checked": f"select src_table, src_key, length(t) as characters, md5(t) as fresh_hash, true as within, true as linked from ({large})",
+        "p5_groups": f"select representative, chunk_id as member, copies, copies <= 1000 as expanded from (select chunk_id, min(chunk_id) over (partition by index_text) as representative, count(*) over (partition by index_text) as copies from {_current('chunks', 'chunk_id')} where length(index_text) >= 5) where chunk_id <> representative",
     }
