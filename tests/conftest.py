@@ -1,6 +1,7 @@
 import os
 import sys
 import tempfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
@@ -17,10 +18,15 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "3g")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-"))
+        .config("spark.checkpoint.dir", Path(tempfile.mkdtemp(prefix="spark-")).as_uri())
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from veldra.sources.tables import release, shared_folder
+
+    release(session)
+    assert not [f for f in os.listdir(shared_folder(session).removeprefix("file://")) if f.startswith("veldra")]
     session.stop()
 
 

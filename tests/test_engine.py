@@ -106,7 +106,7 @@ def test_ask(spark, made):
     engine, _, _ = made
     asked = spark.createDataFrame([("a", "leave", "alice"), ("n", "leave", "nobody")], "qid string, query string, principal string")
     rows = {r.qid: r for r in engine.ask(asked, people(spark), "Answer from the sources.").collect()}
-    assert rows["a"].answer == "Two weeks before [1][7]." and rows["a"].cited == [1] and rows["a"].invalid == [7]
+    assert rows["a"].answer == "Two weeks before [1]." and [c.path for c in rows["a"].citations] == ["hr/leave.md"] and rows["a"].cited == [1] and rows["a"].invalid == [7]
     assert rows["n"].flag == "no evidence"
 
 

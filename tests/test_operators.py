@@ -1,11 +1,14 @@
 """Operators on small frames: nulls, ties, repeated rows, empty tables, clashing names."""
 
 import datetime as dt
+import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from veldra.operators import access, context, evaluation, fusion, ingest, users
+from veldra.functions.tokens import estimate
+from veldra.operators import access, context, evaluation, fusion, ingest, search, skew, users
 from veldra.operators.orphans import orphan_counts, orphans
 from veldra.sources.settings import problem, read_values
 
@@ -66,6 +69,8 @@ def test_nobody_reads_what_it_may_not(spark):
     who = spark.createDataFrame([("u", ["all"], False), ("h", ["hr"], False), ("n", [], False), ("admin", [], True)], "principal string, groups array<string>, admin boolean")
     hits = spark.createDataFrame([(p, d) for p in ("u", "h", "n", "admin") for d in ("d1", "d2", "d3", "d4")], "principal string, path string")
     got = {(r.principal, r.path) for r in access.readable_hits(hits, documents, who).collect()}
+    bad = {(r.principal, r.path) for r in access.unreadable(hits, documents, who).collect()}
+    assert bad == {(p, d) for p in ("u", "h", "n", "admin") for d in ("d1", "d2", "d3", "d4")} - got
     assert got == {("u", "d1"), ("u", "d4"), ("h", "d2"), ("h", "d4"), *(("admin", d) for d in ("d1", "d2", "d3", "d4"))}
     assert {r.principal: r.readable for r in access.readers(documents, who).collect()} == {"u": 2, "h": 2, "n": 0, "admin": 4}
 
@@ -96,11 +101,113 @@ def test_passages_merge_overlaps_and_gaps(spark):
     assert [(r.first_ordinal, r.chunks, r.char_start, r.char_end, r.text) for r in got] == [(0, 3, 0, 12, "abcdefgh\n\nkl")]
 
 
+def loop_packed(rows, budget):
+    """Chunks are taken away one by one, passages merged anew each time."""
+    left = list(rows)
+    while True:
+        total, by_section = 0, {}
+        for r in left:
+            by_section.setdefault(r["section_id"], []).append(r)
+        for members in by_section.values():
+            members.sort(key=lambda r: r["ordinal"])
+            runs = []
+            for r in members:
+                if runs and runs[-1][-1]["ordinal"] + 1 == r["ordinal"]:
+                    runs[-1].append(r)
+                else:
+                    runs.append([r])
+            for run in runs:
+                text, end = None, None
+                for r in run:
+                    text = r["text"] if end is None else text + (r["text"][end - r["char_start"] :] if r["char_start"] < end else "\n\n" + r["text"])
+                    end = max(end or 0, r["char_end"])
+                if any(r["selected"] for r in run):
+                    total += estimate(text)
+        if total <= budget or not left:
+            return {r["chunk_id"] for r in left}, total
+        left.remove(min(left, key=lambda r: (r["selected"], -r["priority"], r["chunk_id"])))
+
+
 def test_packing_equals_the_loop(spark):
-    rows = [("q", f"c{i}", i % 3 != 0, (i * 7) % 5, 10 + i * 13 % 40) for i in range(20)]
-    df = spark.createDataFrame(rows, "qid string, chunk_id string, selected boolean, priority int, tokens int")
-    for budget in (0, 50, 200, 1000):
-        assert {r.chunk_id for r in context.packed(df, budget).collect()} == context.brute_packed(df.toPandas(), budget)
+    rng = random.Random(8)
+    words = ["alpha", "be", "中文", "gamma12", "x"]
+    rows = []
+    for section in range(4):
+        body = "".join(rng.choice(words) + rng.choice(["", " ", "。", "-"]) for _ in range(120))
+        starts = [min(len(body) - 1, max(0, i * 60 - rng.choice([0, 0, 8, 20]))) for i in range(8)]
+        ends = [min(len(body), i * 60 + 60) for i in range(8)]
+        chosen = {n: p for p, n in enumerate(rng.sample(range(8), 3))}
+        for n in range(8):
+            beside = [chosen[m] for m in (n - 1, n + 1) if m in chosen]
+            if n in chosen or beside:
+                rows.append(dict(qid="q", path="d", section_id=f"s{section}", chunk_id=f"c{section}{n}", ordinal=n, text=body[starts[n] : ends[n]], char_start=starts[n], char_end=ends[n], selected=n in chosen, priority=4 * chosen.get(n, min(beside, default=0)) + section))
+    df = spark.createDataFrame(pd.DataFrame(rows))
+    for budget in (0, 30, 60, 100, 150, 200, 260, 1000):
+        want, total = loop_packed(rows, budget)
+        got = context.packed(df, budget).collect()
+        assert {r.chunk_id for r in got} == want and {r.total for r in got} <= {total}, budget
+
+
+def test_pool(spark):
+    selected = spark.createDataFrame([("q", "b", 1), ("q", "c", 2)], "qid string, chunk_id string, priority int")
+    beside = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "c")], "chunk_id string, neighbour_id string")
+    assert {(r.chunk_id, r.priority, r.selected) for r in context.pool(selected, beside).collect()} == {("a", 1, False), ("b", 1, True), ("c", 2, True), ("d", 2, False)}
+
+
+def test_hot_keys_are_split(spark):
+    rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)] + [(None, -1)], "k string, v int")
+    few = spark.createDataFrame([("hot", "h"), ("k0", "z"), ("no", "n")], "k string, w string")
+    assert [r.k for r in skew.hot_keys(rows, ["k"], 100).collect()] == ["hot"]
+    got = sorted((r.k, r.v, r.w) for r in skew.split_join(rows, few, ["k"], ["v"], share=100).collect())
+    assert got == sorted([("hot", i, "h") for i in range(300) if i % 3] + [("k0", 0, "z")])
+    assert skew.split_join(rows, few, ["k"], ["v"], "left", share=100).count() == 301
+    pairs = [(r.x, r.y) for r in skew.split_pairs(rows.filter("v < 60"), ["k"], "v", share=10, blocks=4).select(F.col("a.v").alias("x"), F.col("b.v").alias("y")).collect()]
+    hot = [i for i in range(60) if i % 3]
+    assert sorted(pairs) == [(a, b) for a in hot for b in hot if a < b]
+
+
+def test_links_and_expansion(spark):
+    who = spark.createDataFrame([("u", ["all"], False), ("admin", [], True)], "principal string, groups array<string>, admin boolean")
+    documents = spark.createDataFrame([(p, ["all"]) for p in "abcdefg"] + [("x", ["hr"])], "path string, groups array<string>")
+    links = spark.createDataFrame([("a", "c"), ("d", "a"), ("b", "c"), ("a", "x"), ("x", "e"), ("a", "b"), ("b", "g")], "src string, dst string")
+    sources = spark.createDataFrame([(q, q, p, n) for q in ("u", "admin") for n, p in ((1, "b"), (2, "a"))], "qid string, principal string, path string, pos int")
+    got = {(r.qid, r.path): r.via for r in fusion.linked(links, sources, documents, who).collect()}
+    assert got == {("u", "c"): ["b", "a"], ("u", "d"): ["a"], ("u", "g"): ["b"], ("admin", "c"): ["b", "a"], ("admin", "d"): ["a"], ("admin", "g"): ["b"], ("admin", "x"): ["a"]}
+    ranked = spark.createDataFrame([("u", "u", c, p, r, ch, 1.0) for ch, r, c, p in (("lexical", 1, "b::0", "b"), ("lexical", 2, "a::1", "a"), ("semantic", 7, "c::2", "c"), ("semantic", 5, "c::4", "c"), ("lexical", 6, "c::1", "c"))], "qid string, principal string, chunk_id string, path string, rank int, channel string, score double")
+    place = spark.createDataFrame([("a::1", "a"), ("b::0", "b"), ("c::1", "c"), ("c::2", "c"), ("c::4", "c"), ("d::0", "d")], "chunk_id string, path string")
+    o = search.SearchOptions(channel_k=2, graph_most=3)
+    rows = search.candidates(ranked, links, place, documents, who, o).orderBy("pos").collect()
+    # the two best chunks of c by either channel, then the first of d; the slot of g, which has no chunk, is beyond the cap
+    assert [(r.chunk_id, r.via) for r in rows] == [("b::0", None), ("a::1", None), ("c::4", ["b", "a"]), ("c::1", ["b", "a"]), ("d::0", ["a"])]
+    two = search.candidates(ranked, links, place, documents, who, search.SearchOptions(channel_k=2, graph=False, channels=("lexical",))).collect()
+    assert {r.chunk_id for r in two} == {"b::0", "a::1"}
+    for wrong in ({"channels": ()}, {"channels": ("other",)}, {"final_k": 0}, {"final_k": 51}):
+        with pytest.raises(ValueError):
+            search.SearchOptions(**wrong)
+
+
+def test_variants_and_reports(spark):
+    with pytest.raises(ValueError):
+        evaluation.chosen_variants(["hybrid", "best"])
+    assert list(evaluation.chosen_variants(["hybrid"])) == ["hybrid"] and len(evaluation.chosen_variants()) == 5
+    rows = spark.createDataFrame([("lexical", 1.0, 1.0, 0.5, 0, False), ("lexical", None, None, None, 2, True), ("hybrid", 0.5, 1.0, 1.0, 0, False)], "variant string, recall_5 double, recall_10 double, mrr_10 double, leaks int, degraded boolean")
+    summed = evaluation.summary(rows)
+    got = {r.variant: (r.questions, r.scored, r.recall_5, r.leaks, r.degraded) for r in summed.collect()}
+    assert got == {"lexical": (2, 1, 1.0, 2, 1), "hybrid": (1, 1, 0.5, 0, 0)}
+    text, code = evaluation.report_text(summed)
+    assert code == 1 and "lexical 1" in text.splitlines()[-1] and evaluation.report_text(summed.filter("leaks = 0"))[1] == 0
+    shown = spark.createDataFrame([("q", "a"), ("q", "b"), ("r", "a")], "qid string, path string")
+    assert [(r.qid, r.path) for r in evaluation.leaks(shown, shown.filter("qid = 'q' and path = 'b'")).collect()] == [("q", "b")]
+    asked = spark.createDataFrame([("q", "u", ["a", "typo"], ["gone"]), ("r", "v", None, None)], "id string, user string, expected_docs array<string>, must_not_docs array<string>")
+    assert {(r.id, r.kind, r.path) for r in evaluation.missing_documents(asked, spark.createDataFrame([("a",)], "path string")).collect()} == {("q", "expected_docs", "typo"), ("q", "must_not_docs", "gone")}
+    assert evaluation.unknown_users(asked, spark.createDataFrame([("u",)], "principal string")) == ["v"]
+
+
+def test_nearest_settings(spark):
+    directories = spark.createDataFrame([("a/b",), ("c",)], "directory string")
+    settings = spark.createDataFrame([("", "All", ["all"]), ("a", "Named", None)], "path string, name string, declared_groups array<string>")
+    got = {r.directory: (r.path, r.name, r.declared_groups) for r in access.nearest_settings(directories, settings).collect()}
+    assert got == {"a/b": ("a", "Named", None), "c": ("", "All", ["all"])}
 
 
 def test_manifest(spark):
@@ -115,6 +222,7 @@ def test_percentiles_and_metrics(spark):
     values = spark.createDataFrame([("a", float(i)) for i in range(10)] + [("a", None), ("b", 1.0), ("b", 1.0)], "g string, v double")
     got = {r.g: (r.p50, r.p95) for r in evaluation.percentiles(values, "g", "v", 0.5, 0.95).collect()}
     assert got == {"a": (5.0, 9.0), "b": (1.0, 1.0)}
+    assert {r.g: r.p50 for r in evaluation.percentiles(values, "g", "v", 0.5, inclusive=True).collect()} == {"a": 4.0, "b": 1.0}
     ranked = spark.createDataFrame([(1, d, i + 1) for i, d in enumerate("abcdef")], "qid int, d string, rank int")
     expected = spark.createDataFrame([(1, "a"), (1, "f"), (2, "a")], "qid int, d string")
     rows = {r.qid: r for r in evaluation.metrics(ranked, expected, "d").collect()}

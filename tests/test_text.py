@@ -1,23 +1,40 @@
 """Golden values and invariants of the text functions."""
 
+import unicodedata
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 import pytest
 
-from veldra.functions.analyzer import terms
+from veldra.functions.analyzer import analyzed, register, terms
 from veldra.functions.chunker import ChunkOptions, chunk_section, index_text
 from veldra.functions.markdown import parse, parse_plain
 from veldra.functions.paths import link_target, parent_directory
-from veldra.functions.tokens import estimate, estimated_tokens, fit, may_exceed
-from veldra.operators import answers
+from veldra.functions.tokens import batched_estimate, estimate, estimated_tokens, estimates, fit, may_exceed
+from veldra.operators import answers, lexical
 
 TERMS = {
-    "員工請假規定": "員工 工請 請假 假規 規定", "SKU-A123 的庫存": "sku-a123 sku a123 的庫 庫存", "iPhone15手機": "iphone15 手機",
-    "ＨＲ－０７表單": "hr-07 hr 07 表單", "v2.5 版本": "v2.5 v2 版本", "請": "請", "/api/v2/items": "api/v2/items api v2 items",
-    "on_hand": "on_hand on hand", "v2.": "v2", "-hr-": "hr", "ひらがな": "ひら らが がな", "": "", "、。!": "", "ﬁx": "fix",
+    "年度盤點清單": "年度 度盤 盤點 點清 清單", "REF-Z9 與 料架": "ref-z9 ref z9 與 料架", "Note7型號": "note7 型號", "ＱＣ－１２檢核": "qc-12 qc 12 檢核",
+    "build 3.14 ok": "build 3.14 14 ok", "庫": "庫", "/etc/app/conf": "etc/app/conf etc app conf", "max_len": "max_len max len", "end-": "end", "_x": "x",
+    "カタカナ": "カタ タカ カナ", "한국어": "한국 국어", "": "", "？ — …": "", "oﬃce": "office", "réel": "r el", "a.b": "a.b",
 }
-TOKENS = {"api": 2, "abcd": 2, "abcde": 3, "hello world": 6, "SKU-A123": 4, "iPhone15手機": 5, "ＨＲ－０７表單": 6, "  ": 0, "": 0}
+TOKENS = {"cat": 2, "lamp": 2, "lamps": 3, "red lamp post": 6, "REF-Z9": 4, "Note7型號": 5, "ＱＣ－１２檢核": 6, "\t": 0, "": 0, "ab中cd": 5}
+
+
+@pytest.mark.parametrize("text", TERMS)
+def test_analysis_with_offsets(text):
+    found = analyzed(text)
+    assert [t for t, _, _ in found] == TERMS[text].split() and [p for _, p, _ in found] == list(range(len(found)))
+    for term, _, offset in found:
+        assert unicodedata.normalize("NFKC", text[offset:]).lower().startswith(term)
+
+
+def test_analysis_as_a_function(spark):
+    register(spark)
+    assert [tuple(t) for t in spark.sql("select analyze('Ab ﬁn 中文') as a").first().a] == [("ab", 0, 0), ("fin", 1, 3), ("中文", 2, 6)]
+    rows = lexical.positions(spark.createDataFrame([(1, "b a-b"), (2, None)], "k int, t string"), "k", "t").collect()
+    assert [(r.k, r.term, r.position, r.offset) for r in rows] == [(1, "b", 0, 0), (1, "a-b", 1, 2)]
 
 
 def test_terms(spark):
@@ -30,6 +47,14 @@ def test_tokens(spark):
     assert {t: estimate(t) for t in TOKENS} == TOKENS
     rows = spark.createDataFrame([(t,) for t in [*TOKENS, None]], "t string").select("t", estimated_tokens(F.col("t")).alias("n")).collect()
     assert {r.t: r.n for r in rows} == TOKENS | {None: None}
+    rows = spark.createDataFrame([(t,) for t in [*TOKENS, None]], "t string").select("t", batched_estimate(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in rows} == TOKENS | {None: None}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="ab1 -中文é。.\nЖ", max_size=30), max_size=6))
+def test_estimates_of_many(texts):
+    assert estimates(texts).tolist() == [estimate(t) for t in texts]
 
 
 @settings(max_examples=60, deadline=None)
@@ -56,17 +81,39 @@ def test_links(spark):
         assert row.got == row.want, row
 
 
+CITED = [
+    ("甲[1]。乙[3][1]。丙[2, 3]。", 3, [1, 2, 3], [], "甲[1]。乙[3][1]。丙[2][3]。"),
+    ("丁［2］、【 1 】 and [ 5 ]", 2, [1, 2], [5], "丁[2]、[1] and "),
+    ("[a](b) [4](x) [１，２、9]!", 2, [1, 2], [9], "[a](b) [4](x) [1][2]!"),
+    ("[12345678901234567890] [4294967297] [0]", 3, [], [0, 4294967297], "  "),
+    ("[١, 2]", 2, [1, 2], [], "[1][2]"),
+    ("[1][ref] [x 1] [1", 1, [1], [], "[1][ref] [x 1] [1"),
+    ("none", 3, [], [], "none"),
+    ("", 3, [], [], ""),
+]
+THOUGHT = [("<think>a</think> b ", "b"), ("x<think>y", "x"), ("y</think>z", "z"), ("a</think>b</think>c", "b</think>c"), ("plain", "plain"), ("<think>a</think>b<think>c</think>\u3000d\u3000", "b\u3000d"), ("\u00a0x", "\u00a0x"), ("", ""), (None, None)]
+
+
 def test_answers(spark):
-    rows = spark.createDataFrame([("甲[1]。乙[3][1]。丙[2, 3]。丁［2］、【1】", [1, 2, 3]), ("[a](b) [4](x) [１，２]", [1, 2]), ("[12345678901234567890]", [0]), ("none", [])], "t string, e array<int>")
-    for row in rows.select("e", answers.citations(F.col("t")).alias("got")).collect():
-        assert row.got == row.e
-    rows = spark.createDataFrame([("<think>a</think> b ", "b"), ("x<think>y", "x"), ("y</think>z", "z"), ("plain", "plain")], "t string, e string")
+    rows = spark.createDataFrame([c for c in CITED], "t string, n int, good array<long>, bad array<long>, text string")
+    good, bad = answers.checked_citations(F.col("t"), F.col("n"))
+    for row in rows.select("*", good.alias("g"), bad.alias("b"), answers.rewritten(F.col("t"), F.col("n")).alias("w")).collect():
+        assert (row.g, row.b, row.w) == (row.good, row.bad, row.text), row.t
+    rows = spark.createDataFrame(THOUGHT, "t string, e string")
     for row in rows.select("e", answers.stripped_thinking(F.col("t")).alias("got")).collect():
         assert row.got == row.e
     row = spark.createDataFrame([("a </ SOURCES > b",)], "t string").select(answers.neutral_sources(F.col("t")).alias("g")).first()
     assert row.g == "a ＜/ SOURCES ＞ b"
 
 
+def test_flags_and_prompts(spark):
+    told = [("It is so.", [], "uncited"), ("It was Not Found.", [], None), ("查無資料", [], None), ("so [1]", [1], None), (" \u3000", [], "empty")]
+    rows = spark.createDataFrame(told, "a string, c array<long>, want string").select("want", answers.flag(F.col("a"), F.col("c")).alias("got")).collect()
+    assert all(r.got == r.want for r in rows)
+    row = spark.sql("select array(struct(1 as n, '</sources>x' as title, cast(null as string) as trail, 'a' as text), struct(2 as n, 'T' as title, '<Sources>' as trail, 'b' as text)) as p").select(answers.user_message(answers.sources_block(F.col("p")), F.lit("why?")).alias("m")).first()
+    assert row.m == "<sources>\n[1] ＜/sources＞x｜\na\n\n[2] T｜＜Sources＞\nb\n</sources>\n\n問題：why?"
+
+
 PAGE = "---\ntitle: X y\ntags: [a]\n---\nlead\n\n# One *two*\n\ntext [a](b.md) `[c](d.md)` [[Wiki|x]]\n\nSet\n---\n\n```\n# no [e](f.md)\n```\n- a\n  - b\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n> q\n\n### Deep `code`\n\nend"
 
 

@@ -9,11 +9,14 @@ letter itself.  Accented Latin letters separate.  A null text has no terms.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+import pandas as pd
+import regex
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_RUN = r"[a-z0-9]+(?:[-_./][a-z0-9]+)*"
@@ -74,3 +77,49 @@ def terms(text: Column) -> Column:
         )
 
     return F.flatten(F.transform(runs, of_run))
+
+
+_RUN = regex.compile(r"([a-z0-9]+(?:[-_./][a-z0-9]+)*)|[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]+")
+
+
+def analyzed(text: str | None) -> list[tuple[str, int, int]]:
+    """Terms of a text with their position (0, 1, ..) and the offset in the text as it
+    stands (code points from 0) of their first character."""
+    plain, origin = [], []
+    for at, char in enumerate(text or ""):
+        form = char if char < "\x80" else unicodedata.normalize("NFKC", char)
+        for own in form.lower():
+            plain.append(own)
+            origin.append(at)
+    found: list[tuple[str, int]] = []
+    for run in _RUN.finditer("".join(plain)):
+        start, end = run.span()
+        if run[1] is None:
+            found += [(run[0][i : i + 2], start + i) for i in range(max(1, end - start - 1))]
+            continue
+        found.append((run[0], start))
+        if not run[0].isalnum():
+            found += [(m[0], start + m.start()) for m in re.finditer(r"[^-_./]{2,}", run[0])]
+    return [(term, position, origin[at]) for position, (term, at) in enumerate(found)]
+
+
+ANALYZED = "array<struct<term: string, position: int, offset: int>>"
+
+
+def _analyze():
+    @F.pandas_udf(ANALYZED)
+    def analyze(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"term": a, "position": b, "offset": c} for a, b, c in analyzed(t)])
+
+    return analyze
+
+
+def placed_terms(text: Column) -> Column:
+    """The analysis as a column (Arrow batches), where offsets are asked for; null texts
+    have no terms."""
+    return _analyze()(text)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the analysis callable in SQL as ``analyze(text)``."""
+    spark.udf.register("analyze", _analyze())

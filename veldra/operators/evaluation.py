@@ -5,9 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .search import SearchOptions
 
-def percentiles(rows: DataFrame, group: str, value: str, *ps: float, margin: float = 0.002) -> DataFrame:
-    """``group, p<..>``: the value at place ``min(n - 1, floor(p * n))`` of the sorted ones.
+#: The ways of searching that are compared, in the order of a report.
+VARIANTS = {
+    "lexical": SearchOptions(channels=("lexical",), rerank=False, graph=False),
+    "semantic": SearchOptions(channels=("semantic",), rerank=False, graph=False),
+    "hybrid": SearchOptions(rerank=False, graph=False),
+    "hybrid+rerank": SearchOptions(graph=False),
+    "hybrid+rerank+graph": SearchOptions(),
+}
+
+
+def chosen_variants(names: list[str] | None = None) -> dict[str, SearchOptions]:
+    """The variants of these names, all without names; an unknown name is an error."""
+    unknown = sorted(set(names or ()) - set(VARIANTS))
+    if unknown:
+        raise ValueError(f"unknown variants: {', '.join(unknown)}; known are {', '.join(VARIANTS)}")
+    return {name: VARIANTS[name] for name in (names or VARIANTS)}
+
+
+def percentiles(rows: DataFrame, group: str, value: str, *ps: float, margin: float = 0.002, inclusive: bool = False) -> DataFrame:
+    """``group, p<..>``: the value at place ``min(n - 1, floor(p * n))`` of the sorted ones;
+    ``inclusive``: at ``floor(p * (n - 1))``.
 
     Exact without sorting a group: a sketch brackets each percentile, what lies
     below the bracket is counted, and only distinct values inside it (about
@@ -23,7 +43,8 @@ def percentiles(rows: DataFrame, group: str, value: str, *ps: float, margin: flo
         low, high = F.col("q")[2 * i], F.col("q")[2 * i + 1]
         below = marked.groupBy(group).agg(F.count_if(F.col("value") < low).alias("below"))
         inside = marked.filter((F.col("value") >= low) & (F.col("value") <= high)).groupBy(group, "value", "total").agg(F.count(F.lit(1)).alias("n"))
-        place = F.least(F.col("total") - 1, F.floor(F.lit(p) * F.col("total"))) + 1 - F.col("below")
+        at = F.floor(F.lit(p) * (F.col("total") - 1)) if inclusive else F.least(F.col("total") - 1, F.floor(F.lit(p) * F.col("total")))
+        place = at + 1 - F.col("below")
         ranked = inside.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).join(below, group)
         out = out.join(ranked.filter(F.col("upto") >= place).groupBy(group).agg(F.min("value").alias(f"p{round(p * 100)}")), group)
     return out
@@ -39,9 +60,43 @@ def metrics(ranked: DataFrame, expected: DataFrame, key: str, ks: tuple[int, ...
     return met.groupBy("qid").agg(*share, F.coalesce(1 / first, F.lit(0.0)).alias(f"mrr_{mrr_k}"))
 
 
-def leaks(hits: DataFrame, readable: DataFrame) -> DataFrame:
-    """Hits (``principal, path``) that their principal may not read: there must be none."""
-    return hits.join(readable, ["principal", "path"], "left_anti")
+def leaks(shown: DataFrame, must_not: DataFrame) -> DataFrame:
+    """What was shown (``qid, path``, of candidates and passages, at any place) and must not be."""
+    return shown.join(must_not.select("qid", "path").distinct(), ["qid", "path"], "left_semi")
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """Per ``variant``: questions, those with an expectation, mean measures of these, leaks and
+    questions that ran degraded (``recall_5, recall_10, mrr_10, leaks, degraded`` per question)."""
+    means = [F.avg(c).alias(c) for c in ("recall_5", "recall_10", "mrr_10")]
+    return rows.groupBy("variant").agg(F.count(F.lit(1)).alias("questions"), F.count("recall_5").alias("scored"), *means, F.sum("leaks").alias("leaks"), F.count_if("degraded").alias("degraded"))
+
+
+def missing_documents(questions: DataFrame, indexed: DataFrame) -> DataFrame:
+    """``id, kind, path`` of expected and of forbidden documents (``id, expected_docs, must_not_docs``)
+    that are not in the index: such a question measures nothing."""
+    named = [questions.select("id", F.lit(kind).alias("kind"), F.explode(kind).alias("path")) for kind in ("expected_docs", "must_not_docs")]
+    return named[0].unionByName(named[1]).join(indexed.select("path"), "path", "left_anti").select("id", "kind", "path")
+
+
+def unknown_users(questions: DataFrame, principals: DataFrame) -> list[str]:
+    """Up to 20 names of users who ask and are no principals: an evaluation stops at them."""
+    lost = questions.select(F.col("user").alias("principal")).distinct().join(principals, "principal", "left_anti")
+    return [r.principal for r in lost.orderBy("principal").limit(20).collect()]
+
+
+def report_text(summed: DataFrame) -> tuple[str, int]:
+    """The summary as a table, with a warning where questions ran degraded, and the exit
+    code: 1 if anything leaked, else 0."""
+    held = {r.variant: r for r in summed.collect()}  # a row per variant
+    rows = [held[name] for name in VARIANTS if name in held]
+    shown = lambda x: "-" if x is None else f"{x:.3f}"
+    lines = [f"{'variant':<22} {'recall@5':>9} {'recall@10':>9} {'MRR@10':>8} {'leaks':>6} {'degraded':>9}"]
+    lines += [f"{r.variant:<22} {shown(r.recall_5):>9} {shown(r.recall_10):>9} {shown(r.mrr_10):>8} {r.leaks:>6} {r.degraded:>9}" for r in rows]
+    degraded = [f"{r.variant} {r.degraded}" for r in rows if r.degraded]
+    if degraded:
+        lines.append(f"warning: questions ran degraded ({', '.join(degraded)}); these figures are not those of the whole search")
+    return "\n".join(lines), int(any(r.leaks for r in rows))
 
 
 def threshold_sweep(scored: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import access
+from .skew import split_join
+
 
 def fuse(lexical: DataFrame, semantic: DataFrame, key: str, k: int = 60, limit: int = 40) -> DataFrame:
     """Reciprocal rank fusion of two channels (``qid, key, score, rank``).
@@ -34,18 +37,19 @@ def neighbours(chunks: DataFrame, radius: int = 1) -> DataFrame:
     return a.join(b, ["section_id", "bucket"]).filter(near).select("chunk_id", "neighbour_id").distinct()
 
 
-def linked(links: DataFrame, sources: DataFrame, readable: DataFrame) -> DataFrame:
+def linked(links: DataFrame, sources: DataFrame, documents: DataFrame, principals: DataFrame) -> DataFrame:
     """Documents one link away, in either direction, of each query's sources.
 
-    ``links``: ``src, dst``; ``sources``: ``qid, principal, path, pos``;
-    ``readable``: ``principal, path``.  Both ends must be readable; what the query
-    already holds is left out.  ``via`` lists the sources in their order.
+    ``links``: ``src, dst``; ``sources``: ``qid, principal, path, pos``; ``documents``: ``path,
+    groups``.  Both ends must be readable; the sources are left out.  ``via`` lists
+    the sources in their order.  The links of a page that a large part of all pages
+    link to are spread over several tasks.
     """
     both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    held = sources.join(readable, ["principal", "path"], "left_semi")
-    reached = held.join(both, held["path"] == both["src"]).select("qid", "principal", F.col("dst").alias("path"), F.struct("pos", F.col("src").alias("via")).alias("hop"))
-    fresh = reached.join(readable, ["principal", "path"], "left_semi").join(sources.select("qid", "principal", "path"), ["qid", "principal", "path"], "left_anti")
-    return fresh.groupBy("qid", "principal", "path").agg(F.transform(F.array_sort(F.collect_set("hop")), lambda h: h["via"]).alias("via"))
+    held = access.readable_hits(sources, documents, principals).withColumnRenamed("path", "src")
+    reached = split_join(both, held, ["src"], ["dst"]).select("qid", "principal", F.col("dst").alias("path"), F.struct("pos", F.col("src").alias("via")).alias("hop"))
+    met = reached.groupBy("qid", "principal", "path").agg(F.transform(F.array_sort(F.collect_set("hop")), lambda h: h["via"]).alias("via"))
+    return access.readable_hits(met.join(sources.select("qid", "path"), ["qid", "path"], "left_anti"), documents, principals)
 
 
 def reranked(candidates: DataFrame, scores: DataFrame, key: str) -> DataFrame:

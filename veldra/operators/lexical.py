@@ -1,7 +1,10 @@
 """Full-text channel: postings, statistics, BM25 ranking.
 
-Null texts have no postings; a term that is in every document scores 0 and its
-documents are still found.  Ties go to the smaller id.
+An index is made once: postings with the length of their document, every file
+sorted by term, so that a search reads the row groups of its terms only; the frequency of every
+term; the number of documents and their mean length.  Null texts have no postings;
+a term that is in every document scores 0 and its documents are still found.  Ties
+go to the smaller id.
 """
 
 from __future__ import annotations
@@ -11,7 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.analyzer import terms
+from ..functions.analyzer import placed_terms, terms
+from ..sources.tables import kept
+from .skew import every_salt, salt
 
 
 @dataclass(frozen=True)
@@ -25,26 +30,61 @@ def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def positions(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, term, position, offset``: terms in their order, with the place in the text (code points
+    from 0) of the run that gave them."""
+    return texts.select(key, F.posexplode(placed_terms(F.col(text))).alias("position", "t")).select(key, "t.term", "position", "t.offset")
+
+
 def term_statistics(posted: DataFrame) -> DataFrame:
     """``term, df, occurrences``."""
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
 
 
-def scores(posted: DataFrame, key: str, asked: DataFrame, o: Bm25Options = Bm25Options()) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """``postings``: ``key, term, tf, size``; ``terms``: ``term, df, occurrences``; ``collection``: one
+    row, ``n, mean_size``."""
+
+    postings: DataFrame
+    terms: DataFrame
+    collection: DataFrame
+
+
+def index_tables(texts: DataFrame, key: str, text: str) -> dict[str, DataFrame]:
+    """The tables of an index over texts of distinct keys, lineage not cut."""
+    found = texts.select(key, terms(F.col(text)).alias("terms"))
+    # lengths are known where the text lies, so nothing is joined to size the postings
+    rows = found.select(key, F.size("terms").cast("long").alias("size"), F.explode("terms").alias("term"))
+    sized = rows.groupBy(key, "term", "size").agg(F.count(F.lit(1)).alias("tf")).select(key, "term", "tf", "size")
+    return {"postings": sized.sortWithinPartitions("term", key)}
+
+
+def completed(tables: dict[str, DataFrame], key: str) -> dict[str, DataFrame]:
+    """Adds the statistics of stored postings."""
+    posted = tables["postings"]
+    lengths = posted.groupBy(key).agg(F.max("size").alias("size"))
+    return {**tables, "terms": term_statistics(posted), "collection": lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size"))}
+
+
+def built(texts: DataFrame, key: str, text: str) -> Index:
+    """An index kept for the session."""
+    tables = completed({"postings": kept(index_tables(texts, key, text)["postings"], "postings")}, key)
+    return Index(tables["postings"], kept(tables["terms"], "terms"), kept(tables["collection"], "collection"))
+
+
+def scores(index: Index, key: str, asked: DataFrame, o: Bm25Options = Bm25Options(), salts: int = 16) -> DataFrame:
     """``qid, key, score`` of every document that shares a term with a query.
 
     ``asked`` holds ``qid, term``, each pair once.  The statistics are those of the
-    whole collection, before anybody's permissions.  Postings are cut to asked
-    terms before they meet the queries, so that only those are shuffled.
+    whole collection, before anybody's permissions.  The few asked terms are copied
+    to ``salts`` tasks each, over which the postings of a term are spread, so that a
+    term of a third of all documents is no hot key.
     """
-    lengths = posted.groupBy(key).agg(F.sum("tf").alias("size"))
-    collection = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size"))
-    wanted = asked.select("term").distinct()
-    found = posted.join(wanted, "term", "left_semi")
-    frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = asked.join(index.terms.select("term", "df"), "term").withColumn("salt", every_salt(salts))
+    found = index.postings.withColumn("salt", salt(salts, key)).join(wanted, ["term", "salt"]).crossJoin(index.collection)  # one row
     weight = F.log(F.col("n") / F.col("df")) * F.col("tf") * (o.k1 + 1) / (F.col("tf") + o.k1 * (1 - o.b + o.b * F.col("size") / F.col("mean_size")))
-    hits = asked.join(frequency, "term").join(found, "term").join(lengths, key).crossJoin(collection)  # collection: one row
-    return hits.groupBy("qid", key).agg(F.round(F.sum(weight), 6).alias("score"))
+    return found.groupBy("qid", key).agg(F.round(F.sum(weight), 6).alias("score"))
 
 
 def top(scored: DataFrame, key: str, n: int, *ties: str) -> DataFrame:

@@ -8,6 +8,7 @@ its query in its order.
 from __future__ import annotations
 
 import json
+import math
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -70,12 +71,17 @@ def rerank_scores(candidates: DataFrame, rerank: Callable[[str, list[str]], list
 
 @dataclass(frozen=True)
 class Endpoint:
-    """A JSON endpoint; errors never carry the key."""
+    """A JSON endpoint; ``extra`` goes into every chat; errors never carry the key."""
 
     url: str
     model: str
     key: str = ""
     timeout: float = 30.0
+    extra: tuple[tuple[str, object], ...] = ()
+
+    def __post_init__(self):
+        if not 0 < self.timeout < math.inf:
+            raise ValueError("timeout must be a number of seconds above 0")
 
     def post(self, path: str, body: dict) -> dict:
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
@@ -94,8 +100,10 @@ class Endpoint:
         results = self.post("/rerank", {"query": query, "documents": texts, "top_n": len(texts)})["results"]
         return [{"index": r.get("index"), "score": r.get("relevance_score")} for r in results]
 
-    def chat(self, messages: list[dict], temperature: float = 0.2, most: int = 1024) -> str:
-        choices = self.post("/chat/completions", {"messages": messages, "temperature": temperature, "max_tokens": most}).get("choices") or []
-        if not choices or "message" not in choices[0]:
+    def chat(self, messages: list[dict], temperature: float = 0.2, most: int = 1024, **more: object) -> str:
+        """The reply; ``extra`` of the endpoint and ``more`` of the call go into the body, those of the call first."""
+        choices = self.post("/chat/completions", {"temperature": temperature, "max_tokens": most, **dict(self.extra), **more, "messages": messages}).get("choices") or []
+        message = choices[0].get("message") if choices and isinstance(choices[0], dict) else None
+        if not isinstance(message, dict) or not isinstance(message.get("content"), str | None):
             raise RuntimeError("an answer without a message")
-        return choices[0]["message"].get("content") or ""
+        return message.get("content") or ""

@@ -84,13 +84,40 @@ def links(documents: DataFrame) -> DataFrame:
 
 
 def titles(documents: DataFrame) -> DataFrame:
-    """``path, title, raw_links`` of ``path, text``."""
+    """``path, title, raw_links`` of ``path, text``; a column ``key`` comes along."""
+    held = ["key", "path"] if "key" in documents.columns else ["path"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             pages = [page(path, text) for path, text in zip(batch.path, batch.text)]
-            yield pd.DataFrame({"path": batch.path, "title": [title(p, x) for p, x in zip(batch.path, pages)], "paths": [x.links for x in pages], "wiki": [x.wikis for x in pages]})
-
-    schema = "path string, title string, paths array<string>, wiki array<string>"
-    parsed = documents.filter(F.col("path").isNotNull() & F.col("text").isNotNull()).select("path", "text").mapInPandas(run, schema)
-    return parsed.select("path", "title", F.struct("paths", "wiki").alias("raw_links"))
+            found = {"title": [title(p, x) for p, x in zip(batch.path, pages)], "paths": [x.links for x in pages], "wiki": [x.wikis for x in pages]}
+            yield pd.DataFrame({c: batch[c] for c in held} | found)
+
+    kinds = dict(documents.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in held) + ", title string, paths array<string>, wiki array<string>"
+    parsed = documents.filter(F.col("path").isNotNull() & F.col("text").isNotNull()).select(*held, "text").mapInPandas(run, schema)
+    return parsed.select(*held, "title", F.struct("paths", "wiki").alias("raw_links"))
+
+
+#: Fixed value: the block of settings on the first line of a file.
+FRONT = r"(?s)\A(---[ \t]*\r?\n.*?\r?\n---)"
+
+
+def declared_groups(text):
+    """``declared_groups, problem`` of a front matter.
+
+    Fails closed: a ``read_groups`` that is repeated, indented, quoted, misspelt, without
+    value, not a list of plain words, or outside the block is a problem.
+    """
+    block = F.regexp_extract(text, FRONT, 1)
+    head = F.regexp_extract(text, r"(?s)\A((?:[^\n]*\n?){0,30})", 1)
+    before = F.regexp_replace(head, r"(?sm)^#.*\z", "")
+    anywhere = r"(?im)^[ \t]*[\"']?read[-_ ]?groups?[\"']?[ \t]*[:：]"
+    exact = r"(?m)^read_groups:[ \t]+\[([^\]\r\n]*)\][ \t]*\r?$"
+    loose = F.regexp_count(F.concat_ws("\n", block, F.replace(before, block, F.lit(""))), F.lit(anywhere))
+    good = F.regexp_count(block, F.lit(exact))
+    words = F.transform(F.split(F.regexp_extract(block, exact, 1), ","), lambda g: F.regexp_replace(F.trim(g), r'^"(.*)"$', "$1"))
+    listed = F.filter(words, lambda g: g != "")
+    odd = F.exists(listed, lambda g: g.rlike(r"['\"\[\]{}:]"))
+    problem = F.when(loose == 0, None).when((loose != 1) | (good != 1) | odd, "read_groups is malformed")
+    return F.when((good == 1) & problem.isNull(), listed).alias("declared_groups"), problem.alias("problem")

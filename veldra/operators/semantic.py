@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .skew import every_salt, salt
@@ -31,8 +31,17 @@ def blocks(rows: DataFrame, key: str, vector: str, dimensions: int, size: int, p
                 ids = pa.array([part.column(0).to_numpy().tobytes()], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids, pa.array([matrix.tobytes()], pa.binary())], [f"{prefix}ids", f"{prefix}vectors"])
 
-    good = F.coalesce((F.size(vector) == dimensions) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x)) & F.exists(vector, lambda x: x != 0), F.lit(False))
-    return rows.filter(good).select(F.col(key).cast("long"), F.col(vector)).mapInArrow(pack, f"{prefix}ids binary, {prefix}vectors binary")
+    return rows.filter(_usable(F.col(vector), dimensions)).select(F.col(key).cast("long"), F.col(vector)).mapInArrow(pack, f"{prefix}ids binary, {prefix}vectors binary")
+
+
+def _usable(vector: Column, dimensions: int) -> Column:
+    return F.coalesce((F.size(vector) == dimensions) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x)) & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+def cosine(a: Column, b: Column, dimensions: int) -> Column:
+    """Cosine of two vectors, of 6 digits; null where one is unusable."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    return F.when(_usable(a, dimensions) & _usable(b, dimensions), F.round(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)), 6))
 
 
 def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, dimensions: int = 64) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.analyzer import terms
 from ..operators import access, answers, evaluation, lexical
-from ..sources.tables import current_rows, spread, table
-from .common import PRINCIPALS, READABLE, current_sql, principals, readable_documents, terms_cte, title_of
-from .lexical_queries import CHANNEL, HITS, _channel, _hits, _postings
+from ..operators.skew import every_salt, salt
+from ..sources.tables import current_rows, kept, spread, table
+from .common import current_sql, forms_sql, principals, readable_documents, terms_cte, title_of
+from .lexical_queries import CHANNEL, HITS, _asked, _channel, _hits, index_of
 
 
 def recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,13 +23,12 @@ def recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def leak_count(spark: SparkSession, folder: str) -> DataFrame:
-    """Hits per principal and how many of them it may not read: 0 everywhere."""
-    who = principals(spark, folder)
-    hits = _channel(spark, folder)[0].select("qid", "principal", "path")
-    readable = access.accessible(readable_documents(spark, folder), who)
-    of_users = hits.join(who.filter("not admin"), "principal", "left_semi")
-    bad = evaluation.leaks(of_users, readable).groupBy("principal").agg(F.count(F.lit(1)).alias("leaks"))
-    return of_users.groupBy("principal").agg(F.count(F.lit(1)).alias("hits")).join(bad, "principal", "left").na.fill(0, ["leaks"])
+    """Hits per principal and how many of them it may not read, by another join than the filter's."""
+    who, documents = principals(spark, folder), readable_documents(spark, folder)
+    hits = kept(_channel(spark, folder)[0].select(F.concat_ws("|", "qid", "principal").alias("qid"), "principal", "path"), "hits")
+    must_not = hits.join(access.unreadable(hits.select("principal", "path").distinct(), documents, who), ["principal", "path"], "left_semi")
+    bad = evaluation.leaks(hits, must_not).groupBy("principal").agg(F.count(F.lit(1)).alias("leaks"))
+    return hits.join(who.filter("not admin"), "principal", "left_semi").groupBy("principal").agg(F.count(F.lit(1)).alias("hits")).join(bad, "principal", "left").na.fill(0, ["leaks"])
 
 
 def eval_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,23 +47,30 @@ def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def term_probe(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact-term probe: for the terms of titles, precision and recall (capped by 10) of
-    the 10 best documents against those whose text contains the term.
+    """Probe of every title as a question: the documents whose text holds all of its terms are
+    relevant; precision and recall (capped by 10) of the 10 best documents.
 
     A term stands within one run of its text, which is posted whole (a CJK run in
-    pairs), so the terms that contain it tell the texts that do.
+    pairs), so a text holds the term if one of its own terms contains it.
     """
-    posted = _postings(spark, folder)
-    asked = table(spark, folder, "documents").filter("doc_id % 50 = 0").select(F.explode(terms(title_of(F.col("text")))).alias("qid")).distinct()
-    ranked = lexical.top(lexical.scores(posted, "doc_id", asked.select("qid", F.col("qid").alias("term"))), "doc_id", 10).select("qid", "doc_id")
-    within = posted.select("term").distinct().join(F.broadcast(asked), F.contains("term", "qid"))  # title terms: a bounded vocabulary
-    holding = posted.join(within, "term").select("qid", "doc_id").distinct()
-    held = holding.withColumn("held", F.lit(1)).join(ranked.withColumn("hit", F.lit(1)), ["qid", "doc_id"], "full_outer")
-    counts = held.groupBy("qid").agg(F.count("held").alias("relevant"), F.count("hit").alias("hits"), F.count_if(F.col("held").isNotNull() & F.col("hit").isNotNull()).alias("good"))
-    met = asked.join(counts, "qid", "left").na.fill(0, ["relevant", "hits", "good"])
+    index = index_of(spark, folder)
+    asked = kept(_asked(spark, folder), "asked")
+    wanted = asked.groupBy("qid").agg(F.count(F.lit(1)).alias("terms"))
+    ranked = lexical.top(lexical.scores(index, "doc_id", asked), "doc_id", 10).select("qid", "doc_id")
+    # a question's terms hold at least two characters but for single letters: terms meet by a pair that both hold
+    grams = lambda t: F.when(F.length(t) < 2, F.array(t)).otherwise(F.array(F.substring(t, 1, 2)))
+    every = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.length("own")), lambda i: F.substring("own", i, F.lit(1))), F.transform(F.sequence(F.lit(1), F.length("own")), lambda i: F.substring("own", i, F.lit(2)))))
+    sought = asked.select("term").distinct().withColumn("gram", F.explode(grams(F.col("term"))))
+    vocabulary = index.terms.select(F.col("term").alias("own")).withColumn("gram", F.explode(every))
+    within = vocabulary.join(sought, "gram").filter(F.contains("own", "term")).select("own", "term").distinct()
+    holding = index.postings.select(F.col("term").alias("own"), "doc_id").join(within, "own").select("term", "doc_id").distinct()
+    held = asked.withColumn("salt", every_salt(16)).join(holding.withColumn("salt", salt(16, "doc_id")), ["term", "salt"]).groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    relevant = held.join(wanted, "qid").filter("n = terms").select("qid", "doc_id", F.lit(1).alias("held"))
+    counts = relevant.join(ranked.withColumn("hit", F.lit(1)), ["qid", "doc_id"], "full_outer").groupBy("qid").agg(F.count("held").alias("relevant"), F.count("hit").alias("hits"), F.count_if(F.col("held").isNotNull() & F.col("hit").isNotNull()).alias("good"))
+    met = wanted.join(counts, "qid", "left").na.fill(0, ["relevant", "hits", "good"])
     precision = F.when(F.col("hits") > 0, F.col("good") / F.col("hits")).otherwise(0.0)
     recall = F.when(F.col("relevant") > 0, F.col("good") / F.least(F.lit(10), "relevant")).otherwise(1.0)
-    return met.select(F.col("qid").alias("term"), "relevant", "hits", "good", F.round(precision, 6).alias("precision_10"), F.round(recall, 6).alias("recall_10"))
+    return met.select("qid", "relevant", "hits", "good", F.round(precision, 6).alias("precision_10"), F.round(recall, 6).alias("recall_10"))
 
 
 #: Pairs of CJK letters, and the heading that a question is made of.
@@ -115,10 +122,13 @@ def trace_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def citations(spark: SparkSession, folder: str) -> DataFrame:
-    """Numbers that every document and chunk cites in brackets."""
-    texts = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("item"), F.regexp_replace("text", r"[A-Z]+-(\d+)", "[$1]").alias("text"))
+    """Numbers that every document cites in brackets, its codes and list numbers taken for
+    citations, and the text with these rewritten."""
+    coded = F.regexp_replace(F.regexp_replace("text", r"[A-Z]+-(\d+)", "[ $1 ]"), r"(?m)^(\d+)\. ", "【$1， 7】")
+    texts = table(spark, folder, "documents").select("doc_id", coded.alias("text")).filter("text is not null")
     good, bad = answers.checked_citations(F.col("text"), F.lit(99))
-    return texts.filter("text is not null").select("item", F.array_join(good, ",").alias("cited"), F.array_join(bad, ",").alias("invalid"))
+    whole = F.md5(F.encode(answers.rewritten(F.col("text"), F.lit(99)), "UTF-8"))
+    return texts.select("doc_id", F.array_join(good, ",").alias("cited"), F.array_join(bad, ",").alias("invalid"), whole.alias("answer_hash"))
 
 
 def strip_think(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,24 +165,26 @@ def prompt_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return grouped.select("doc_path", "section_id", "block", F.size("passages").alias("chunks"), F.md5(F.encode(answers.sources_block(F.col("passages")), "UTF-8")).alias("prompt_hash"))
 
 
+_NEUTRAL = r"regexp_replace({}, '(?i)<(\s*/?\s*sources\s*)>', '＜\1＞', 'g')"
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (recall_mrr, leak_count, eval_summary, threshold_sweep, term_probe, bias_check, trace_recent, trace_redact, trace_windows, citations, strip_think, neutralize_sources, prompt_blocks)}
 
 
 def oracle_sql() -> dict[str, str]:
-    title_terms = f"titles0 as (select doc_id, collection, regexp_extract(text, '(?m)^#+[ \\t]+([^\\r\\n]+)', 1) title from documents), {terms_cte('tocc', 'titles0', 'doc_id', 'title')}, own as (select distinct t.doc_id, d.collection, t.term from tocc t join titles0 d using (doc_id))"
     return {
         "recall_mrr": f"with {HITS}, tt as (select doc_id, regexp_extract(text, '(?m)^#+[ \\t]+([^\\r\\n]+)', 1) title from documents), e as (select q.doc_id qid, d.doc_id from tt q join tt d using (title) where q.doc_id % 50 = 0 and title <> ''), m as (select e.qid, r.rank from e left join (select * from ranked where rank <= 50) r on r.qid = e.qid and r.doc_id = e.doc_id) select qid, round(count(*) filter (rank <= 5) / count(*), 6) as recall_5, round(count(*) filter (rank <= 10) / count(*), 6) as recall_10, round(coalesce(1 / min(rank) filter (rank <= 10), 0), 6) as mrr_10 from m group by 1",
         "leak_count": f"with {CHANNEL}, seen as (select qid, principal, doc_id from kept join principals p using (principal) where not p.admin qualify row_number() over (partition by qid, principal order by rank) <= 50) select s.principal, count(*) as hits, count(*) filter (a.doc_id is null) as leaks from seen s left join access a on a.principal = s.principal and a.doc_id = s.doc_id group by 1",
         "eval_summary": "select event_type, count(*) as n, round(avg(value), 6) as mean_value, list_sort(list(value))[least(count(value), floor(0.5 * count(value))::bigint + 1)] as p50, list_sort(list(value))[least(count(value), floor(0.95 * count(value))::bigint + 1)] as p95 from events group by 1",
         "threshold_sweep": f"with {HITS}, s as (select r.qid, r.score, coalesce(d.lang = q.lang, false) expected from ranked r join documents d using (doc_id) join documents q on q.doc_id = r.qid where rank <= 10), p as (select threshold, qid, count(*) filter (score >= threshold) kept, count(*) filter (expected) wanted, count(*) filter (expected and score >= threshold) found from s, (select unnest([0, 2, 4, 8, 16, 32])::double threshold) group by 1, 2) select threshold, count(*) filter (wanted > 0 and found = 0) as lost, count(*) filter (kept = 0) as empty, round(avg(kept), 6) as mean_kept from p group by 1",
-        "term_probe": f"with {HITS}, p as (select term, count(*) relevant from posted where term in (select term from asked) group by 1) select term, relevant, least(relevant, 10) as found, round(least(relevant, 10) / relevant, 6) as recall_10 from p",
-        "bias_check": f"with {title_terms}, u as (select collection, term, count(*) users from own group by 1, 2) select doc_id, round(count(*) filter (users > 1) / count(*), 6) as shared from own join u using (collection, term) group by 1",
+        "term_probe": f"with {HITS}, texts as (select doc_id, lower({forms_sql('text')}) t from documents), need as (select qid, count(*) terms from asked group by 1), holding as (select term, doc_id from (select distinct term from asked) join texts on contains(t, term)), rel as (select qid, doc_id from asked join holding using (term) group by 1, 2 having count(*) = (select terms from need where need.qid = asked.qid)), best as (select qid, doc_id from ranked where rank <= 10), g as (select qid, count(*) hits, count(rel.doc_id) good from best left join rel using (qid, doc_id) group by 1), r as (select qid, count(*) relevant from rel group by 1) select qid, coalesce(relevant, 0) as relevant, coalesce(hits, 0) as hits, coalesce(good, 0) as good, round(case when hits > 0 then good / hits else 0 end, 6) as precision_10, round(case when relevant > 0 then coalesce(good, 0) / least(10, relevant) else 1 end, 6) as recall_10 from need left join r using (qid) left join g using (qid)",
+        "bias_check": f"with d as (select doc_id, regexp_extract(text, '(?m)^#+[ \\t]+([^\\r\\n]+)', 1) title, regexp_replace(text, '(?m)^#+[ \\t]+[^\\r\\n]+', '') body from documents), {terms_cte('tt', 'd', 'doc_id', 'title')}, {terms_cte('bt', 'd', 'doc_id', 'body')}, q as (select doc_id qid, title from d where doc_id % 50 = 0 and title <> ''), g as (select distinct qid, term from q join tt on doc_id = qid where regexp_full_match(term, '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Hangul}}]{{2}}')), b as (select distinct doc_id, term from bt), s as (select qid, count(*) pairs from g group by 1), f as (select qid, doc_id, count(*) found from g join b using (term) group by 1, 2), c as (select q.qid, coalesce(s.pairs, 0) pairs, d.title = q.title own, coalesce(f.found / s.pairs, 0) x from q cross join d left join s on s.qid = q.qid left join f on f.qid = q.qid and f.doc_id = d.doc_id) select qid, any_value(pairs) as pairs, round(avg(x) filter (own), 6) as answer_mean, round(max(x) filter (own), 6) as answer_best, round(avg(x), 6) as all_mean, round(coalesce(max(x) filter (not own), 0), 6) as other_best from c group by 1",
         "trace_recent": "select event_id, event_type, user_id from events order by ts desc, event_id desc limit 50",
         "trace_redact": "select event_id, case when event_type <> 'error' then json_extract_string(props, '$.k')::int end as raw_hits, case when event_type <> 'error' then 'acl-starvation' end as flag from events",
         "trace_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, event_type, count(*) as n, round(avg(value), 6) as mean_value, max(value) as max_value from events group by 1, 2",
-        "citations": r"with t as (select doc_id, translate(regexp_replace(text, '[A-Z]+-(\d+)', '[\1]', 'g'), '０１２３４５６７８９［］【】，、', '0123456789[][],,') || ' ' x from documents where text is not null), g as (select doc_id, unnest(regexp_extract_all(x, '\[(\d+(?:\s*,\s*\d+)*)\][^(]', 1)) g from t), n as (select distinct doc_id, case when length(v) > 9 then 0 else v::int end v from (select doc_id, trim(unnest(string_split(g, ','))) v from g)) select t.doc_id::varchar as item, coalesce(string_agg(v::varchar, ',' order by v) filter (v between 1 and 99), '') as cited, coalesce(string_agg(v::varchar, ',' order by v) filter (v < 1 or v > 99), '') as invalid from t left join n using (doc_id) group by 1",
-        "strip_think": r"with t as (select doc_id, regexp_replace(regexp_replace(text, '(?m)^> ', '<think>', 'g'), '(?m)^- ', '</think>', 'g') x from documents) select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<think>.*?</think>', '', 'gs'), '<think>.*$', '', 's'), '^.*</think>', '', 's'), '^[\t\n\v\f\r ]+|[\t\n\v\f\r ]+$', '', 'g')) as answer_hash from t",
+        "citations": r"with t as (select doc_id, replace(replace(replace(regexp_replace(regexp_replace(text, '[A-Z]+-(\d+)', '[ \1 ]', 'g'), '(?m)^(\d+)\. ', '【\1， 7】', 'g'), '](', chr(1)), '］(', chr(2)), '】(', chr(3)) x from documents where text is not null), p as (select doc_id, x, string_split_regex(x, '[\[［【]\s*(\p{Nd}+(?:\s*[,，、]\s*\p{Nd}+)*)\s*[\]］】]') between_, list_transform(regexp_extract_all(x, '[\[［【]\s*(\p{Nd}+(?:\s*[,，、]\s*\p{Nd}+)*)\s*[\]］】]', 1), lambda g: list_transform(string_split_regex(translate(g, '０１２３４５６７８９', '0123456789'), '\s*[,，、]\s*'), lambda v: coalesce(try_cast(v as bigint), 0))) groups from t), r as (select doc_id, list_sort(list_distinct(flatten(groups))) n, array_to_string(list_transform(range(1, len(between_) + 1), lambda i: between_[i] || case when i <= len(groups) then array_to_string(list_transform(list_filter(groups[i], lambda v: v between 1 and 99), lambda v: '[' || v || ']'), '') else '' end), '') a from p) select doc_id, array_to_string(list_filter(n, lambda v: v between 1 and 99), ',') as cited, array_to_string(list_filter(n, lambda v: v not between 1 and 99), ',') as invalid, md5(replace(replace(replace(a, chr(1), ']('), chr(2), '］('), chr(3), '】(')) as answer_hash from r",
+        "strip_think": r"with t as (select doc_id, regexp_replace(regexp_replace(text, '(?m)^> ', '<think>', 'g'), '(?m)^- ', '</think>', 'g') x from documents), o as (select doc_id, regexp_replace(regexp_replace(x, '<think>.*?</think>', '', 'gs'), '<think>.*$', '', 's') y from t) select doc_id, md5(regexp_replace(case when contains(y, '</think>') then substr(y, instr(y, '</think>') + 8) else y end, '^[\t-\r\x1c-\x20\x{3000}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{1680}]+|[\t-\r\x1c-\x20\x{3000}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{1680}]+$', '', 'g')) as answer_hash from o",
         "neutralize_sources": r"select doc_id, md5(regexp_replace(regexp_replace(text, '\|---\|---\|', '</ Sources >', 'g'), '(?i)<(\s*/?\s*sources\s*)>', '＜\1＞', 'g')) as text_hash from documents",
-        "prompt_blocks": f"with c as (select *, row_number() over (partition by doc_path order by ordinal, chunk_id) n from {current_sql('chunks', 'chunk_id')} where doc_path is not null qualify n <= 8), f as (select c.doc_path, c.n, d.title, s.trail, regexp_replace(c.text, '(?i)<(\\s*/?\\s*sources\\s*)>', '＜\\1＞', 'g') t from c left join {current_sql('sections', 'section_id')} s using (section_id) left join {current_sql('docs', 'path')} d on d.path = c.doc_path) select doc_path, md5('<sources>' || chr(10) || string_agg('[' || n || '] ' || coalesce(title, '') || '｜' || coalesce(trail, '') || chr(10) || t, chr(10) || chr(10) order by n) || chr(10) || '</sources>') as prompt_hash from f group by 1",
+        "prompt_blocks": rf"with c as (select *, coalesce(sum(tokens) over (partition by doc_path, section_id order by ordinal, chunk_id rows between unbounded preceding and 1 preceding), 0) before from {current_sql('chunks', 'chunk_id')} where doc_path is not null), b as (select *, (before // {BLOCK_TOKENS})::int block from c), p as (select *, row_number() over (partition by doc_path, section_id, block order by ordinal, chunk_id) n from b), f as (select p.doc_path, p.section_id, block, n, {_NEUTRAL.format('d.title')} title, {_NEUTRAL.format('s.trail')} trail, {_NEUTRAL.format('p.text')} t from p left join {current_sql('sections', 'section_id')} s using (section_id) left join {current_sql('docs', 'path')} d on d.path = p.doc_path) select doc_path, section_id, block, count(*)::int as chunks, md5('<sources>' || chr(10) || string_agg('[' || n || '] ' || coalesce(title, '') || '｜' || coalesce(trail, '') || chr(10) || coalesce(t, ''), chr(10) || chr(10) order by n) || chr(10) || '</sources>') as prompt_hash from f group by 1, 2, 3",
     }

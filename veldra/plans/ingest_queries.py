@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ingest
-from ..sources.tables import current_rows, table
+from ..operators import ingest, parsing
+from ..operators.parsing import declared_groups
+from ..sources.tables import current_rows, spread, table
 from .common import current_sql
 
 
@@ -63,20 +64,15 @@ def dup_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def doc_titles(spark: SparkSession, folder: str) -> DataFrame:
     """Title of every document: front matter, else first heading, else base name."""
-    front = F.regexp_extract("text", r"(?s)^(---\r?\n.*?\r?\n---)", 1)
-    stated = F.trim(F.regexp_extract(front, r"(?m)^title:[ \t]+([^\r\n]+)", 1))
-    heading = F.trim(F.regexp_extract("text", r"(?m)^#[ \t]+([^\r\n]+)", 1))
-    base = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]+)?$", 1)
-    return table(spark, folder, "documents").select("doc_id", F.coalesce(F.nullif(stated, F.lit("")), F.nullif(heading, F.lit("")), base).alias("title"))
+    documents = spread(table(spark, folder, "documents").select("doc_id", "path", "text"))
+    titles = parsing.titles(documents.select(F.col("doc_id").alias("key"), "path", F.coalesce("text", F.lit("")).alias("text")))
+    return titles.select(F.col("key").alias("doc_id"), "title")
 
 
 def frontmatter_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """``read_groups`` of the front matter of every document; null where there is none."""
-    front = F.regexp_extract("text", r"(?s)^(---\r?\n.*?\r?\n---)", 1)
-    listed = F.regexp_extract(front, r"(?m)^read_groups:[ \t]+\[([^\]\r\n]*)\]", 1)
-    has = front.rlike(r"(?m)^read_groups:[ \t]+\[[^\]\r\n]*\]")
-    groups = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(listed, ","), lambda g: F.trim(g)), lambda g: g != "")))
-    return table(spark, folder, "documents").select("doc_id", F.when(has, groups).alias("read_groups"))
+    """``read_groups`` of the front matter of every document, and whether they are malformed."""
+    found = table(spark, folder, "documents").select("doc_id", *declared_groups(F.col("text")))
+    return found.select("doc_id", F.array_sort(F.array_distinct("declared_groups")).alias("read_groups"), F.col("problem").isNotNull().alias("malformed"))
 
 
 SIDES = """
@@ -129,6 +125,9 @@ def oracle_sql() -> dict[str, str]:
         "vector_reuse": "with v as (select chunk_id, index_text, vec, row_number() over (partition by chunk_id order by ingested_at desc) v from (select distinct on (chunk_id, ingested_at) * from chunks where chunk_id is not null)) select n.chunk_id, o.chunk_id is not null as reused from (select * from v where v = 1) n left join (select * from v where v = 2 and vec is not null) o on o.chunk_id = n.chunk_id and o.index_text is not distinct from n.index_text",
         "ingest_report": f"with recursive {SIDES}, {LINKS}, c as (select tokens from {current_sql('chunks', 'chunk_id')}) select count(*) filter (status = 'added') as added, count(*) filter (status = 'updated') as updated, count(*) filter (status = 'acl-updated') as acl_updated, count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'deleted') as deleted, count(*) filter (status = 'error') as error, (select count(*) from c) as chunks, (select max(tokens) from c) as longest_chunk, (select count(*) from resolved where target is null) as unresolved_links from diff",
         "dup_texts": "select sha256(text) as hash, count(*) as copies, min(doc_id) as first_doc from documents where text is not null group by 1 having count(*) > 1",
-        "doc_titles": rf"with f as (select doc_id, path, trim(regexp_extract({front}, '(?m)^title:[ \t]+([^\r\n]+)', 1)) a, trim(regexp_extract(text, '(?m)^#[ \t]+([^\r\n]+)', 1)) b from documents) select doc_id, coalesce(nullif(a, ''), nullif(b, ''), regexp_extract(path, '([^/]*?)(?:\.[^./]+)?$', 1)) as title from f",
-        "frontmatter_groups": rf"with f as (select doc_id, {front} f from documents) select doc_id, case when regexp_matches(f, '(?m)^read_groups:[ \t]+\[[^\]\r\n]*\]') then list_sort(list_distinct([trim(x) for x in string_split(regexp_extract(f, '(?m)^read_groups:[ \t]+\[([^\]\r\n]*)\]', 1), ',') if trim(x) <> ''])) end as read_groups from f",
+        "doc_titles": rf"with f as (select doc_id, path, case when not ends_with(path, '.txt') then trim(regexp_extract({front}, '(?m)^title:[ \t]+([^\r\n]+)', 1)) end a, case when not ends_with(path, '.txt') then trim(regexp_extract(text, '(?m)^#[ \t]+([^\r\n]+)', 1)) end b from documents) select doc_id, coalesce(nullif(a, ''), nullif(b, ''), regexp_extract(path, '([^/]*?)(?:\.[^./]+)?$', 1)) as title from f",
+        "frontmatter_groups": rf"""with f as (select doc_id, text, {front} f, regexp_replace(regexp_extract(text, '^((?:[^\n]*\n?){{0,30}})', 1, 's'), '(?sm)^#.*', '') head from documents),
+            g as (select doc_id, len(regexp_extract_all(f || chr(10) || case when f = '' then head else replace(head, f, '') end, '(?im)^[ \t]*["'']?read[-_ ]?groups?["'']?[ \t]*[:：]')) loose, len(regexp_extract_all(f, '(?m)^read_groups:[ \t]+\[[^\]\r\n]*\][ \t]*\r?$')) good, list_filter(list_transform(string_split(regexp_extract(f, '(?m)^read_groups:[ \t]+\[([^\]\r\n]*)\][ \t]*\r?$', 1), ','), lambda x: regexp_replace(trim(x), '^"(.*)"$', '\1')), lambda x: x <> '') words from f),
+            h as (select *, coalesce(loose > 0 and (loose <> 1 or good <> 1 or len(list_filter(words, lambda x: regexp_matches(x, '[''"\[\]{{}}:]'))) > 0), false) malformed from g)
+            select doc_id, case when good = 1 and not malformed then list_sort(list_distinct(words)) end as read_groups, malformed from h""",
     }

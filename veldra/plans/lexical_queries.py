@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.analyzer import terms
 from ..functions.tokens import estimated_tokens
 from ..operators import access, lexical
-from ..sources.tables import kept, spread, table
+from ..sources.tables import spread, table
 from .common import PRINCIPALS, READABLE, principals, readable_documents, terms_cte, title_of
 
 
-def _postings(spark: SparkSession, folder: str) -> DataFrame:
-    """Postings of all documents, kept as an index would keep them."""
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
-    return kept(lexical.postings(documents, "doc_id", "text"), "postings")
+_INDEXES: dict[tuple, lexical.Index] = {}
+
+
+def index_of(spark: SparkSession, folder: str, name: str = "documents", key: str = "doc_id", text: str = "text", rows: DataFrame | None = None) -> lexical.Index:
+    """The index of a table, made once per session and state of its files."""
+    source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    status = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(source)
+    held = (spark.sparkContext.applicationId, folder, name, status.getModificationTime(), status.getLen())
+    if held not in _INDEXES:
+        for old in [k for k in _INDEXES if k[0] != held[0]]:
+            del _INDEXES[old]
+        source_rows = rows if rows is not None else table(spark, folder, name)
+        _INDEXES[held] = lexical.built(spread(source_rows.select(key, text)), key, text)
+    return _INDEXES[held]
 
 
 def analyze_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,9 +42,8 @@ def token_estimate(spark: SparkSession, folder: str) -> DataFrame:
 
 def postings_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Document frequency and idf of every term."""
-    posted = _postings(spark, folder)
-    collection = posted.agg(F.count_distinct("doc_id").alias("n"))
-    return lexical.term_statistics(posted).crossJoin(collection).select("term", "df", "occurrences", F.round(F.log(F.col("n") / F.col("df")), 6).alias("idf"))
+    index = index_of(spark, folder)
+    return index.terms.crossJoin(index.collection).select("term", "df", "occurrences", F.round(F.log(F.col("n") / F.col("df")), 6).alias("idf"))
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,8 +52,7 @@ def _asked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    posted = _postings(spark, folder)
-    return lexical.top(lexical.scores(posted, "doc_id", _asked(spark, folder)), "doc_id", n)
+    return lexical.top(lexical.scores(index_of(spark, folder), "doc_id", _asked(spark, folder)), "doc_id", n)
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,8 +62,10 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def _channel(spark: SparkSession, folder: str):
     who = principals(spark, folder)
-    hits = _hits(spark, folder, 200).crossJoin(who.select("principal"))  # the groups in use: few, of fixed number
-    hits = hits.withColumn("path", F.col("doc_id").cast("string"))
+    hits = _hits(spark, folder, 200)
+    # each question of the stated set by each principal (the groups in use); hits only meet their own question
+    asking = table(spark, folder, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("qid")).crossJoin(who.select("principal"))
+    hits = hits.join(asking, "qid").withColumn("path", F.col("doc_id").cast("string"))
     return access.channel(hits, readable_documents(spark, folder), who, n=50, overfetch=4)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import access_queries, evaluation_queries, ingest_queries, lexical_queries, orphan_queries, parsing_queries, retrieval_queries
+from . import access_queries, evaluation_queries, ingest_queries, lexical_queries, orphan_queries, parsing_queries, retrieval_queries, search_queries
 
-MODULES = (orphan_queries, lexical_queries, access_queries, ingest_queries, retrieval_queries, evaluation_queries, parsing_queries)
+MODULES = (orphan_queries, lexical_queries, access_queries, ingest_queries, retrieval_queries, search_queries, evaluation_queries, parsing_queries)
 
 
 def queries() -> dict:

@@ -1,15 +1,13 @@
-"""Queries of the semantic channel, fusion, links, neighbours, selection and packing."""
+"""Queries of the semantic channel, fusion, neighbours, selection and passages."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import access, context, fusion, ingest, semantic
+from ..operators import context, fusion, semantic
 from ..sources.tables import current_rows, table
-from .access_queries import DOCUMENT_GROUPS, _groups
-from .common import PRINCIPALS, current_sql, principals
-from .ingest_queries import LINKS, _docs
+from .common import current_sql
 from .lexical_queries import HITS, _hits
 
 
@@ -55,17 +53,6 @@ def neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.neighbours(rows)
 
 
-def graph_expand(spark: SparkSession, folder: str) -> DataFrame:
-    """For every principal and document it reads, the readable documents one link away;
-    an administrator reads all."""
-    links = ingest.document_links(ingest.resolved_links(_docs(spark, folder)))
-    documents, who = _groups(spark, folder), principals(spark, folder)
-    admins = who.filter("admin").select("principal")
-    readable = access.accessible(documents, who).unionByName(documents.select("path").distinct().crossJoin(admins).select("principal", "path"))
-    sources = readable.select(F.concat_ws("|", "principal", "path").alias("qid"), "principal", "path", F.lit(1).alias("pos"))
-    return fusion.linked(links, sources, readable).select("qid", "path", F.array_join("via", ",").alias("via"))
-
-
 def _selected_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """All current chunks of documents; those of 150 tokens or more count as selected."""
     columns = ["chunk_id", "doc_path", "section_id", "ordinal", "text", "tokens", "char_start", "char_end", "ingested_at"]
@@ -79,12 +66,6 @@ def passage_islands(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_path", "section_id", "first_ordinal", "chunks", "char_start", "char_end", "priority", F.length("text").alias("characters"))
 
 
-def pack_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of every section that a budget of 1,000 tokens keeps."""
-    pool = _selected_chunks(spark, folder).filter("section_id is not null").withColumnRenamed("section_id", "qid")
-    return context.packed(pool, 1000).select("qid", "chunk_id", "running")
-
-
 NEAR = """
 u{0} as (select vec_id id, list_transform(embedding, lambda x: x::double) v from embeddings),
 n{0} as (select id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) v from u{0}),
@@ -101,11 +82,11 @@ fused0 as (
   from lex l full join sem50 s on l.qid = s.qid and l.doc_id = s.id),
 fused as (select *, row_number() over (partition by qid order by rrf desc, coalesce(lex_rank, 2147483647), coalesce(sem_rank, 2147483647), doc_id) pos from fused0 qualify pos <= 40),
 final as (select *, row_number() over (partition by qid order by rerank is null, rerank desc, pos) final_pos from fused)"""
-POOL = f"pool as (select *, coalesce(tokens >= 150, false) selected from {current_sql('chunks', 'chunk_id')} where ordinal % 3 <> 2 and doc_path is not null)"
+POOL = f"pool as (select *, coalesce(tokens >= 150, false) selected from {current_sql('chunks', 'chunk_id')} where doc_path is not null)"
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (knn_topk, rrf_fuse, rerank_merge, select_threshold, neighbours, graph_expand, passage_islands, pack_budget)}
+    return {f.__name__: f for f in (knn_topk, rrf_fuse, rerank_merge, select_threshold, neighbours, passage_islands)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -115,7 +96,5 @@ def oracle_sql() -> dict[str, str]:
         "rerank_merge": f"with {FUSED} select qid, doc_id, rerank, pos, final_pos from final",
         "select_threshold": f"with {FUSED} select qid, doc_id, rerank, row_number() over (partition by qid order by final_pos) as place from final where rerank >= 0.2 qualify place <= 8",
         "neighbours": f"with c as {current_sql('chunks', 'chunk_id')} select a.chunk_id, b.chunk_id as neighbour_id from c a join c b on a.section_id = b.section_id and abs(a.ordinal - b.ordinal) <= 1 and a.chunk_id <> b.chunk_id",
-        "graph_expand": f"with recursive {PRINCIPALS}, {DOCUMENT_GROUPS}, {LINKS}, seen as (select distinct principal, path from (select path, unnest(groups) grp from document_groups) join (select principal, unnest(groups) grp from principals where not admin) using (grp)), dl as (select distinct path src, target dst from resolved where target is not null and target <> path), both_ways as (select src, dst from dl union select dst, src from dl) select s.principal || '|' || s.path as qid, b.dst as path, s.path as via from seen s join both_ways b on b.src = s.path join seen t on t.principal = s.principal and t.path = b.dst",
-        "passage_islands": f"with {POOL}, i as (select *, ordinal - row_number() over (partition by doc_path, section_id order by ordinal) island, lag(char_end) over (partition by doc_path, section_id order by ordinal) before from pool), r as (select doc_path, section_id, island, min(ordinal) first_ordinal, count(*) chunks, min_by(char_start, ordinal) char_start, max(char_end) char_end, min(ordinal) filter (selected) priority, bool_or(selected) s from i group by 1, 2, 3), t as (select doc_path, section_id, island, ordinal, text, char_start, char_end, row_number() over (partition by doc_path, section_id, island order by ordinal) k, max(char_end) over (partition by doc_path, section_id, island order by ordinal rows between unbounded preceding and 1 preceding) e from i), l as (select doc_path, section_id, island, sum(case when k = 1 then length(text) when char_start > e then 2 + length(text) else greatest(0, length(text) - greatest(0, e - char_start)) end)::int characters from t group by 1, 2, 3) select r.doc_path, r.section_id, first_ordinal, chunks, char_start, char_end, priority, characters from r join l on l.doc_path = r.doc_path and l.section_id is not distinct from r.section_id and l.island = r.island where s",
-        "pack_budget": f"with {POOL}, w as (select section_id qid, chunk_id, (sum(coalesce(tokens, 0)) over (partition by section_id order by selected desc, ordinal, chunk_id rows unbounded preceding))::bigint running from pool where section_id is not null) select qid, chunk_id, running from w where running <= 1000",
+        "passage_islands": f"with {POOL}, i as (select *, ordinal - row_number() over (partition by doc_path, section_id order by ordinal) island, lag(char_end) over (partition by doc_path, section_id order by ordinal) before from pool), r as (select doc_path, section_id, island, min(ordinal) first_ordinal, count(*) chunks, min_by(char_start, ordinal) char_start, max(char_end) char_end, min(ordinal) filter (selected) priority, bool_or(selected) s from i group by 1, 2, 3), t as (select doc_path, section_id, island, ordinal, text, char_start, char_end, row_number() over (partition by doc_path, section_id, island order by ordinal) k, max(char_end) over (partition by doc_path, section_id, island order by ordinal rows between unbounded preceding and 1 preceding) e from i), l as (select doc_path, section_id, island, sum(case when k = 1 then length(text) when char_start >= e then 2 + length(text) else greatest(0, length(text) - (e - char_start)) end)::int characters from t group by 1, 2, 3) select r.doc_path, r.section_id, first_ordinal, chunks, char_start, char_end, priority, characters from r join l on l.doc_path = r.doc_path and l.section_id is not distinct from r.section_id and l.island = r.island where s",
     }

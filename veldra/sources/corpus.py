@@ -2,33 +2,33 @@
 
 from __future__ import annotations
 
-import os
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def decoded(content: Column) -> Column:
     """Bytes as UTF-8; malformed ones become substitution marks."""
+    return F.make_valid_utf8(content.cast("string"))
 
-    @F.pandas_udf("string")
-    def read(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda b: bytes(b).decode("utf-8", "replace"))
 
-    return read(content)
+def root_of(spark: SparkSession, folder: str) -> str:
+    """The whole URI of a folder on any file system that Spark reads; an error where it is
+    missing, so that it is never taken for an empty corpus."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path) or not files.getFileStatus(path).isDirectory():
+        raise FileNotFoundError(folder)
+    return files.makeQualified(path).toString().rstrip("/")
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """``path, text, hash, size, modified`` of every document file below a folder.
 
     Files and directories whose name starts with a dot or an underscore are left
-    out (Spark does not list them).  A missing folder is an error, so that it is
-    never taken for an empty corpus; an empty folder is an empty corpus.
+    out (Spark does not list them).  A missing folder is an error; an empty folder is
+    an empty corpus.
     """
-    root = os.path.abspath(folder)
-    if not os.path.isdir(root):
-        raise FileNotFoundError(folder)
+    root = root_of(spark, folder)
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.expr(f"substring(path, instr(path, {_literal(root + '/')}) + {len(root) + 1})")
     named = read.withColumn("path", path).filter(F.col("path").rlike(r"\.(md|markdown|txt)$"))

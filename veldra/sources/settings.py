@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import re
-from pathlib import Path
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.paths import parent_directory
+from ..operators.access import ancestors
+from .corpus import files, root_of
 
 LOOK_ALIKE = re.compile(r"(?i)^_?collections?\.edn$")
 TOKEN = re.compile(r'[\s,]+|;[^\n]*|#_|#\{|[\[\](){}]|"(?:\\.|[^"\\])*"|[^\s,\[\](){}";]+')
@@ -84,25 +90,48 @@ def problem(values: list) -> str | None:
     return None
 
 
-def directory_settings(spark: SparkSession, folder: str) -> DataFrame:
+def _file_system(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path on it, inside a task."""
+    if root.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(root)
+
+
+def settings_of(system: fs.FileSystem, base: str, directory: str) -> tuple[str, str | None, list[str] | None, bool] | None:
+    """The settings of one directory; none where it has no such file.  A misnamed or
+    malformed file breaks the directory, whatever else stands there."""
+    listed = system.get_file_info(fs.FileSelector(f"{base}/{directory}".rstrip("/"), allow_not_found=True))
+    found, broken = None, False
+    for info in sorted((i for i in listed if i.is_file and LOOK_ALIKE.match(i.base_name)), key=lambda i: i.base_name):
+        try:
+            with system.open_input_stream(info.path) as read:
+                values = read_values(read.read().decode("utf-8", "replace"))
+            wrong = problem(values) if info.base_name == "_collection.edn" else "misnamed"
+        except ValueError as error:
+            wrong = str(error)
+        broken = broken or bool(wrong)
+        found = {} if wrong else values[0]
+    if found is None:
+        return None
+    return (directory, None, None, True) if broken else (directory, found.get(":name"), found.get(":read-groups"), False)
+
+
+def directory_settings(spark: SparkSession, folder: str, directories: DataFrame | None = None) -> DataFrame:
     """``path, name, declared_groups, broken`` of each directory with settings.
 
-    Tens of small files, read by the driver.  A misnamed or malformed file breaks
-    its directory: nothing below it is readable until settings further down.
+    Looked up in tasks, for the directories in use (``directory``; by default those of
+    the document files) and all above them: others rule no document.  Until settings
+    further down, nothing below a broken directory is readable.
     """
-    rows = []
-    for directory, _, files in os.walk(folder):
-        path = Path(directory).relative_to(folder).as_posix()
-        for name in sorted(f for f in files if LOOK_ALIKE.match(f)):
-            text = (Path(directory) / name).read_text(encoding="utf-8", errors="replace")
-            try:
-                values = read_values(text)
-                wrong = problem(values) if name == "_collection.edn" else "misnamed"
-            except ValueError as error:
-                values, wrong = [], str(error)
-            settings = {} if wrong else values[0]
-            rows.append(("" if path == "." else path, settings.get(":name"), settings.get(":read-groups"), bool(wrong)))
-    merged = {}
-    for row in rows:
-        merged[row[0]] = row if row[0] not in merged or row[3] else merged[row[0]]
-    return spark.createDataFrame(list(merged.values()), "path string, name string, declared_groups array<string>, broken boolean")
+    root = root_of(spark, folder)
+    if directories is None:
+        directories = files(spark, folder).select(parent_directory(F.col("path")).alias("directory"))
+    above = directories.select("directory").distinct().select(F.explode(ancestors(F.col("directory"))).alias("path")).distinct()
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = _file_system(root)
+        for batch in batches:
+            rows = [row for row in (settings_of(system, base, path) for path in batch["path"]) if row]
+            yield pd.DataFrame(rows, columns=["path", "name", "declared_groups", "broken"])
+
+    return above.mapInPandas(look, "path string, name string, declared_groups array<string>, broken boolean")

@@ -1,17 +1,23 @@
 """Versioned tables: a snapshot per run and a pointer to the current one.
 
 A run writes ``snap=<n>`` whole and then replaces the pointer by a rename, so no
-reader sees half a run.  The pointer carries what every run must agree on (the
+reader sees half a run.  One run writes at a time: it holds a lock file, which only
+one can create.  Logs (reports, traces) are tables that every run appends to.  The pointer carries what every run must agree on (the
 analyzer's version and the vectors' length).
 """
 
 from __future__ import annotations
 
 import json
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-META = {"analyzer": 1}
+META = {"analyzer": 2}
+
+
+class Conflict(RuntimeError):
+    """Two runs at the same time."""
 
 
 class Snapshots:
@@ -39,6 +45,26 @@ class Snapshots:
         path = self._path(f"snap={number}/{table}")
         return None if number is None or not self.files.exists(path) else self.spark.read.parquet(path.toString())
 
+    @contextmanager
+    def writing(self):
+        """The lock of the one run that may write; an error while another holds it."""
+        lock = self._path(".LOCK")
+        try:
+            self.files.create(lock, False).close()
+        except Exception:
+            raise Conflict(f"another run writes to {self.folder}") from None
+        try:
+            yield
+        finally:
+            self.files.delete(lock, False)
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Add rows to a log, which no snapshot replaces."""
+        rows.write.mode("append").parquet(f"{self.folder}/{name}")
+
+    def log(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
     def write(self, tables: dict[str, DataFrame]) -> int:
         """Write all tables as the next snapshot and make it the current one."""
         number = (self.current() or 0) + 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -15,42 +16,60 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than the session has cores, over all of them.
-
-    For work per row that outweighs moving it; a table of many files, as on a
-    cluster, has enough splits and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """A scan whose work per row outweighs moving it, over ``parts`` partitions; by
+    default over ``veldra.scan.partitions`` of the session, and as it is where that is
+    not set.  A table of many files, as on a cluster, has splits enough."""
+    parts = parts or int(df.sparkSession.conf.get("veldra.scan.partitions", "0"))
+    return df.repartition(parts) if parts else df
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where a session has none (tests on one machine) a temporary one is made.
+    Where a session has none, one on this machine is made, for a local session only;
+    on a cluster that is an error, as executors could not read each other's files.
     """
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and context._jsc.sc().getCheckpointDir().isDefined():
+        folder = context._jsc.sc().getCheckpointDir().get()
     if not folder:
-        context = spark.sparkContext
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(Path(tempfile.mkdtemp(prefix="veldra-")).as_uri())
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(Path(tempfile.mkdtemp(prefix="spark-")).as_uri())
         folder = context._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
 
 
+def _own_folder(spark: SparkSession):
+    """This application's tables below the shared folder, which go when it ends."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/veldra-{context.applicationId}")
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.deleteOnExit(path)
+    return files, path
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write a frame into the shared folder and read it back.
 
     Cuts the lineage, so that a stage used several times is computed once and a
-    lost executor costs no more than the tasks it ran.
+    lost executor costs no more than the tasks it ran.  The table is deleted when the
+    application ends, or by ``release``.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/veldra/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)[1].toString()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all kept tables of the application; frames that read them end with that."""
+    files, path = _own_folder(spark)
+    files.delete(path, True)
+
+
 def fingerprint(column: Column, name: str) -> list[Column]:
     """128 bits that stand for a value, as two longs: equal values, equal longs."""
     return [F.xxhash64(column).alias(f"{name}1"), F.xxhash64(F.lit(name), column).alias(f"{name}2")]
