@@ -5,8 +5,11 @@ import os
 
 import pytest
 
-from veldra.engine import Engine, SearchOptions, declared_groups
+from pyspark.sql import functions as F
+
+from veldra.engine import DependencyError, Engine, SearchOptions, declared_groups
 from veldra.sources.settings import directory_settings
+from veldra.sources.snapshots import Conflict
 
 TREE = {
     "_collection.edn": '{:name "All" :read-groups ["all"]}',
@@ -106,24 +109,72 @@ def test_ask(spark, made):
     engine, _, _ = made
     asked = spark.createDataFrame([("a", "leave", "alice"), ("n", "leave", "nobody")], "qid string, query string, principal string")
     rows = {r.qid: r for r in engine.ask(asked, people(spark), "Answer from the sources.").collect()}
-    assert rows["a"].answer == "Two weeks before [1]." and [c.path for c in rows["a"].citations] == ["hr/leave.md"] and rows["a"].cited == [1] and rows["a"].invalid == [7]
+    assert rows["a"].answer == "Two weeks before [1]." and [c.n for c in rows["a"].citations] == [1] and rows["a"].cited == [1] and rows["a"].invalid == [7]
     assert rows["n"].flag == "no evidence"
 
 
 def test_later_ingests(spark, made):
     engine, corpus, _ = made
-    again = {r.path: r.status for r in engine.ingest(corpus).collect()}
+    again = {r.path: r.status for r in engine.ingest("file://" + corpus).collect()}
+    assert engine.reports().first().parsed == 0
     assert {again[p] for p in ("hr/leave.md", "notes.txt", "finance/budget.md")} == {"skipped"}
     write(corpus, {"notes.txt": "Other notes.", "hr/_collection.edn": '{:read-groups ["hr" "all"]}'})
     os.remove(os.path.join(corpus, "finance/budget.md"))
     third = {r.path: r.status for r in engine.ingest(corpus).collect()}
     assert third == {"notes.txt": "updated", "hr/leave.md": "acl-updated", "hr/payroll/bonus.md": "acl-updated", "finance/budget.md": "deleted", "broken/secret.md": "error", "odd.md": "error"}
-    assert {r.path for r in engine.snapshots.read("chunks").select("path").distinct().collect()} == {"notes.txt", "hr/leave.md", "hr/payroll/bonus.md"}
+    paths = {"notes.txt", "hr/leave.md", "hr/payroll/bonus.md"}
+    assert {r.path for r in engine.snapshots.read("chunks").select("path").distinct().collect()} == paths
+    assert {r.path: r.groups for r in engine.snapshots.read("docs").collect()} == {"notes.txt": ["all"], "hr/leave.md": ["all", "hr"], "hr/payroll/bonus.md": ["all", "hr"]}
+    report = engine.reports().first()
+    assert (report.run, report.parsed, report.updated, report.acl_updated, report.deleted, report.error, report.chunks) == (3, 1, 1, 2, 1, 2, 1)
+    assert [e.path for e in report.errors] == ["broken/secret.md", "odd.md"] and report.elapsed_ms > 0
+    stored = {(r.term, r.chunk_id) for r in engine.snapshots.read("postings").collect()}
+    assert ("other", "notes.txt::0") in stored and not any(c.startswith("finance") or (t, c) == ("plain", "notes.txt::0") for t, c in stored)
+    assert {r.path: r.groups for r in engine.snapshots.read("collections").collect()}["hr"] == ["all", "hr"]
     write(corpus, {"notes.txt": "The notes fail now."})
     failing = Engine(spark, engine.snapshots.folder, broken_embed, 16)
     fourth = {r.path: r.status for r in failing.ingest(corpus).collect()}
     assert fourth["notes.txt"] == "error" and fourth["hr/leave.md"] == "skipped"
-    assert "notes.txt" not in {r.path for r in failing.snapshots.read("docs").collect()}
+    for name in ("docs", "sections", "chunks"):
+        assert "notes.txt" not in {r.path for r in failing.snapshots.read(name).collect()}
+    assert [e.error for e in failing.reports().first().errors if e.path == "notes.txt"] == ["down"]
+    fifth = {r.path: r.status for r in engine.reindex(corpus).collect()}
+    assert fifth["hr/leave.md"] == fifth["notes.txt"] == "added" and engine.reports().first().parsed == 3
+
+
+def test_one_run_at_a_time(made):
+    engine, corpus, _ = made
+    with engine.snapshots.writing():
+        with pytest.raises(Conflict):
+            engine.ingest(corpus)
+    with engine.snapshots.writing():
+        pass
+
+
+def test_channels_limits_and_failures(spark, made):
+    engine, _, _ = made
+    asked = spark.createDataFrame([("q", "leave", "alice")], "qid string, query string, principal string")
+    for channel in ("lexical", "semantic"):
+        found = engine.search(asked, people(spark), SearchOptions(channels=(channel,), rerank=False, graph=False))
+        assert {r.channel for r in found.counts.collect()} == {channel} and found.candidates.count() > 0
+        assert found.candidates.filter("rerank is not null or rerank_failed").count() == 0
+    for query in ("", "x" * 1001, None):
+        with pytest.raises(ValueError):
+            engine.search(asked.withColumn("query", F.lit(query).cast("string")), people(spark))
+    with pytest.raises(DependencyError):
+        Engine(spark, engine.snapshots.folder, lambda texts: 1 / 0, 16).search(asked, people(spark))
+
+
+def test_traces(spark, made):
+    engine, _, _ = made
+    asked = spark.createDataFrame([("q1", "leave", "alice"), ("q2", "notes", "boss")], "qid string, query string, principal string")
+    engine.trace(engine.search(asked, people(spark), SearchOptions(channel_k=2, overfetch=1)), asked)
+    rows = engine.traces(people(spark)).collect()
+    assert {(r.viewer, r.qid) for r in rows} == {("alice", "q1"), ("boss", "q2"), ("admin", "q1"), ("admin", "q2")}
+    for r in rows:
+        assert all((c.raw_hits is None) == (r.viewer != "admin") for c in r.channels)
+        assert r.viewer == "admin" or "acl-starvation" not in r.flags
+    assert any("acl-starvation" in r.flags for r in rows)
 
 
 def test_store_of_other_vectors_is_refused(spark, made):

@@ -121,11 +121,39 @@ def test_markdown():
     page = parse(PAGE)
     assert [(s.level, s.heading, s.trail, s.parent) for s in page.sections] == [(0, None, "", None), (1, "One two", "One two", None), (2, "Set", "One two > Set", 1), (3, "Deep code", "One two > Set > Deep code", 2)]
     assert [k for k, _, _ in page.sections[2].blocks] == ["code", "list", "table", "blockquote"]
-    assert (page.links, page.wikis, page.front) == (["b.md"], ["Wiki"], {"title": "X y", "tags": "[a]"})
+    assert (page.links, page.wikis, page.front) == (["b.md"], ["Wiki"], {"title": "X y", "tags": ["a"]})
     assert parse("").sections == [] and parse_plain(" \n").sections == []
     assert [PAGE[s:e] for _, s, e in parse_plain("a\nb\n\n c ").sections[0].blocks] is not None
 
 
+def test_links_by_reference():
+    text = "See [one][R 1], [two](b.md), [r  1] and [Three][].\n\n`[r 1]` [[r 1]] [no][none] [four](<c.md>)\n\n[r 1]: a.md 'T'\n[three]: <d.md>\n\n```\n[three]\n```\n"
+    page = parse(text)
+    assert page.links == ["a.md", "b.md", "a.md", "d.md", "c.md"] and page.wikis == ["r 1"]
+
+
+def test_front_matter_values():
+    page = parse('---\ntitle: "A \\"b\\""\nversion: 2.5\nn: 7\ndraft: false\ntags: [a, "b, c", 3]\nplain: some words\nnone:\n---\n')
+    assert page.front == {"title": 'A "b"', "version": 2.5, "n": 7, "draft": False, "tags": ["a", "b, c", 3], "plain": "some words"}
+
+
+SMALL = ChunkOptions(12, 20, 4, 6)
+#: Sections and chunks worked out by hand: heading, blocks below it, sizes as in SMALL.
+GOLDEN = "lead in\n\n# A\n\nOne two three. Four five six. Seven eight nine.\n\n## B\n\n```\nx = 1\n# no\n```\n\n中文字句在這裡很長很長很長。再來一句話也是很長的呢。短。\n\n# C"
+
+
+def test_golden_sections_and_chunks():
+    page = parse(GOLDEN)
+    assert [(s.level, s.heading, s.trail, s.parent, GOLDEN[s.start : s.end].split("\n")[0]) for s in page.sections] == [(0, None, "", None, "lead in"), (1, "A", "A", None, "# A"), (2, "B", "A > B", 1, "## B"), (1, "C", "C", None, "# C")]
+    cut = [[(GOLDEN[c.start : c.end], GOLDEN[c.fresh : c.end], c.hard) for c in chunk_section(GOLDEN, n, s, SMALL)] for n, s in enumerate(page.sections[:3])]
+    assert cut[0] == [("lead in", "lead in", False)]
+    # sentences of 7, 6 and 8 tokens: 13 meet the target of 12; the overlap of 6 is the second sentence
+    assert cut[1] == [("One two three. Four five six.", "One two three. Four five six.", False), ("Four five six. Seven eight nine.", "Seven eight nine.", False)]
+    # code is one unit of 6; the paragraph of 28 is cut into sentences of 13, 12 and 1; 6 + 13 fits 20 and meets the
+    # target of 12; the next starts anew, as no whole sentence of at most 6 tokens stands before it, and takes the last
+    assert [x for x, _, _ in cut[2]] == ["```\nx = 1\n# no\n```\n\n中文字句在這裡很長很長很長。", "再來一句話也是很長的呢。短。"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["Some words here. ", "中文字句。", "line\n", "x" * 90 + " ", "\n\n", "# Head\n\n", "- item\n"]), max_size=60).map("".join))
 def test_chunks_stay_within_limits(text):

@@ -58,8 +58,9 @@ def units(text: str, block: tuple[str, int, int], o: ChunkOptions) -> list[tuple
 
 def chunk_section(text: str, number: int, section: Section, o: ChunkOptions) -> list[Chunk]:
     """Chunks of one section: closed at the target, never above the most, each starting
-    with as much of the one before as the overlap and the most allow."""
-    blocks = section.blocks or [("paragraph", section.start, section.end)]
+    with as much of the one before as the overlap and the most allow.  A section without
+    blocks (a heading alone) has none."""
+    blocks = section.blocks
     cuts = [c for block in blocks for c in starts(text, block)]
     chunks: list[Chunk] = []
     now: Chunk | None = None

@@ -2,8 +2,8 @@
 
 Covers ATX and Setext headings, fenced and indented code, tables, lists, quotes,
 HTML blocks, thematic breaks and front matter.  Inline markup is only read as far
-as headings and links need it; reference-style links are not resolved.  Offsets
-are code points; every block is a span of the text.
+as headings and links need it, links by reference included.  Offsets are code
+points; every block is a span of the text.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ DELIMITER = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?
 HTML = re.compile(r" {0,3}<(?:[a-zA-Z][^ <>]*[ >]|/|!--)")
 CODE_SPAN = re.compile(r"(`+)(?!`).+?(?<!`)\1(?!`)", re.S)
 INLINE_LINK = re.compile(r"!?\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\(\s*<?([^()\s<>]*(?:\([^()\s]*\)[^()\s<>]*)*)>?(?:\s+[\"'(][^)]*)?\s*\)")
+#: A definition of a link by reference, on a line of its own.
+DEFINITION = re.compile(r"^ {0,3}\[([^\[\]]+)\]:[ \t]*<?([^\s<>]+)>?(?:[ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'|\([^()\n]*\)))?[ \t]*\r?$", re.M)
+#: A link by reference: text and label, or the label alone; not part of a wiki link.
+REFERENCE = re.compile(r"(?<!\[)!?\[((?:[^\[\]]|\[[^\[\]]*\])+)\](?:\[([^\[\]]*)\])?(?![\[(:\]])")
 WIKI = re.compile(r"\[\[([^\[\]|#\n]+)(?:[|#][^\[\]\n]*)?\]\]")
 
 
@@ -37,26 +41,62 @@ class Section:
 
 @dataclass
 class Page:
-    front: dict[str, str]
+    front: dict[str, object]
     sections: list[Section]
     links: list[str]
     wikis: list[str]
 
 
-def front_matter(text: str) -> tuple[dict[str, str], int]:
+def _value(text: str) -> object:
+    """A value of the front matter: a quoted string, a list, a number, true or false, else the words."""
+    if len(text) > 1 and text[0] == text[-1] == '"':
+        return re.sub(r"\\(.)", r"\1", text[1:-1])
+    if len(text) > 1 and text[0] == "[" and text[-1] == "]":
+        return [_value(part.strip()) for part in re.findall(r'(?:"(?:\\.|[^"\\])*"|[^,"])+', text[1:-1]) if part.strip()]
+    if text in ("true", "false"):
+        return text == "true"
+    if re.fullmatch(r"[-+]?\d+", text):
+        return int(text)
+    return float(text) if re.fullmatch(r"[-+]?\d+\.\d+(?:[eE][-+]?\d+)?", text) else text
+
+
+def front_matter(text: str) -> tuple[dict[str, object], int]:
     """``key: value`` lines of the block on the first line, and where the body starts."""
     match = FRONT.match(text)
     if not match:
         return {}, 0
     pairs = (re.match(r"([A-Za-z_][\w-]*):[ \t]+(.*?)[ \t\r]*$", line) for line in match[1].split("\n"))
-    return {m[1]: m[2] for m in pairs if m}, match.end()
+    return {m[1]: _value(m[2]) for m in pairs if m}, match.end()
+
+
+def _label(text: str) -> str:
+    return " ".join(text.casefold().split())
+
+
+def destinations(shown: list[str]) -> list[str]:
+    """Destinations of the links of texts without code, in their order."""
+    defined: dict[str, str] = {}
+    for text in shown:
+        for match in DEFINITION.finditer(text):
+            defined.setdefault(_label(match[1]), match[2])
+    found = []
+    for text in shown:
+        text = DEFINITION.sub("", text)
+        here = [(m.start(), m[2]) for m in INLINE_LINK.finditer(text) if m[2]]
+        if defined:
+            named = ((m.start(), defined.get(_label(m[2] or m[1]))) for m in REFERENCE.finditer(text))
+            here += [(at, destination) for at, destination in named if destination]
+        found += [destination for _, destination in sorted(here)]
+    return found
 
 
 def plain(text: str) -> str:
     """Heading text without markup; what stands in code spans is kept."""
     text = INLINE_LINK.sub(r"\1", text)
     text = WIKI.sub(r"\1", text)
-    return re.sub(r"`+|(?<![\w*])[*_]{1,3}(?=\S)|(?<=\S)[*_]{1,3}(?![\w*])", "", text).strip()
+    text = re.sub(r"(\*{1,3})(?=\S)(.+?)(?<=\S)\1", r"\2", text, flags=re.S)
+    text = re.sub(r"(?<!\w)(_{1,3})(?=\S)(.+?)(?<=\S)\1(?!\w)", r"\2", text, flags=re.S)
+    return re.sub(r"`+", "", text).strip()
 
 
 def scan_blocks(text: str, at: int) -> list[tuple[str, int, int, int, str]]:
@@ -64,8 +104,7 @@ def scan_blocks(text: str, at: int) -> list[tuple[str, int, int, int, str]]:
     found: list[list] = []
     fence = ""
     open_kind = ""  # of the block that the next line may continue
-    lines = text[at:].splitlines(keepends=True)
-    lines = [x for line in lines for x in re.split(r"(?<=\n)", line) if x] if lines else []
+    lines = re.findall(r"[^\n]*\n|[^\n]+", text[at:])
     starts = [at]
     for line in lines:
         starts.append(starts[-1] + len(line))
@@ -139,7 +178,7 @@ def parse(text: str) -> Page:
     front, body = front_matter(text)
     sections: list[Section] = []
     stack: list[int] = []
-    links: list[str] = []
+    bare: list[str] = []
     wikis: list[str] = []
     for kind, start, end, level, heading in scan_blocks(text, body):
         if kind == "heading":
@@ -155,9 +194,9 @@ def parse(text: str) -> Page:
             sections[-1].blocks.append((kind, start, end))
         if kind not in ("code", "html"):
             shown = CODE_SPAN.sub(lambda m: " " * len(m[0]), text[start:end])
-            links += [m[2] for m in INLINE_LINK.finditer(shown) if m[2]]
+            bare.append(shown)
             wikis += [m[1].strip() for m in WIKI.finditer(shown)]
-    return Page(front, sections, links, wikis)
+    return Page(front, sections, destinations(bare), wikis)
 
 
 def parse_plain(text: str) -> Page:

@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import base_name, link_target, parent_directory
+from .skew import split_join
 
+#: Front matter, and its line of groups, which define the hash of the content.
 FRONT = r"(?s)^---\r?\n.*?\r?\n?---"
+GROUPS_LINE = r"(?m)^read_groups:[^\n]*\n?"
 
 
 def content_hash(text: Column) -> Column:
     """SHA-256 of a text without the ``read_groups`` lines of its front matter, so
     that a change of permissions alone leaves it as it is."""
     front = F.regexp_extract(text, "(" + FRONT + ")", 1)
-    bare = F.regexp_replace(front, r"(?m)^read_groups:[^\n]*\n?", "")
+    bare = F.regexp_replace(front, GROUPS_LINE, "")
     whole = F.when(front == "", text).otherwise(F.concat(bare, F.substring(text, F.length(front) + 1, F.length(text))))
     return F.sha2(F.encode(whole, "UTF-8"), 256)
 
@@ -63,16 +66,15 @@ def resolved_links(docs: DataFrame) -> DataFrame:
     raw_links``); ``target`` is null where it is unresolved.
 
     Path links that name no document file are no links.  Wiki links go by lower-case
-    name.  Names and paths that many documents link to are one row each on the
-    other side of the join.
+    name.  What many documents link to is spread over several tasks.
     """
     paths = docs.select("path", F.explode("raw_links.paths").alias("raw")).filter(F.col("raw").isNotNull())
     paths = paths.select("path", "raw", link_target(parent_directory(F.col("path")), F.col("raw")).alias("meant")).filter(F.col("meant").isNotNull())
     there = docs.select(F.col("path").alias("meant"), F.col("path").alias("target"))
-    by_path = paths.join(there, "meant", "left").select("path", "raw", "target")
+    by_path = split_join(paths, there, ["meant"], ["path"], "left").select("path", "raw", "target")
     wikis = docs.select("path", F.explode("raw_links.wiki").alias("wiki")).filter(F.col("wiki").isNotNull())
     wikis = wikis.select("path", F.concat(F.lit("[["), "wiki", F.lit("]]")).alias("raw"), F.lower("wiki").alias("name"))
-    by_name = wikis.join(names(docs), "name", "left").select("path", "raw", "target")
+    by_name = split_join(wikis, names(docs), ["name"], ["path"], "left").select("path", "raw", "target")
     return by_path.unionByName(by_name)
 
 

@@ -29,7 +29,8 @@ def page(path: str, text: str) -> Page:
 def title(path: str, parsed: Page) -> str:
     """Front matter, else the first heading of level 1, else the base name."""
     heading = next((s.heading for s in parsed.sections if s.level == 1 and s.heading), None)
-    return parsed.front.get("title") or heading or path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    stated = parsed.front.get("title")
+    return (str(stated) if stated not in (None, "") and not isinstance(stated, list) else None) or heading or path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
 
 def _rows(documents: DataFrame, schema: str, make) -> DataFrame:
