@@ -203,6 +203,15 @@ def test_variants_and_reports(spark):
     assert evaluation.unknown_users(asked, spark.createDataFrame([("u",)], "principal string")) == ["v"]
 
 
+def test_report_names_no_document(spark):
+    documents = spark.createDataFrame([("secret/plan.md", ["hr"]), ("b.md", []), ("c.md", ["all", "ghost"])], "path string, groups array<string>")
+    who = spark.createDataFrame([("u", ["all"], False), ("n", [], False), ("admin", [], True)], "principal string, groups array<string>, admin boolean")
+    held = spark.createDataFrame([("all", 1, "u"), ("hr", 1, "")], "grp string, documents int, holders string")
+    collections = spark.createDataFrame([(["all"],)], "groups array<string>")
+    text = access.report_text(access.readers(documents, who), held, access.warnings(documents, who, collections))
+    assert text.splitlines() == ["readers", "  admin: 3", "  n: 0", "  u: 1", "groups", "  all: 1 (u)", "  hr: 1 ()", "warnings", "  admin only: 1", "  no groups: 1", "  unheld group: 2"]
+
+
 def test_nearest_settings(spark):
     directories = spark.createDataFrame([("a/b",), ("c",)], "directory string")
     settings = spark.createDataFrame([("", "All", ["all"]), ("a", "Named", None)], "path string, name string, declared_groups array<string>")

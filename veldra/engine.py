@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions.analyzer import terms
 from .functions.chunker import ChunkOptions
 from .functions.paths import parent_directory
-from .operators import access, answers, context, fusion, ingest, lexical, models, parsing, search, semantic
+from .operators import access, answers, context, evaluation, fusion, ingest, lexical, models, parsing, search, semantic
 from .operators.parsing import declared_groups
 from .operators.search import SearchOptions
 from .sources.corpus import files
@@ -51,6 +51,36 @@ class Retriever(Protocol):
 
     def search(self, queries: DataFrame, principals: DataFrame, o: SearchOptions = ...) -> SearchResult: ...
 
+    def evaluate(self, questions: DataFrame, principals: DataFrame, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Measures per variant and question, and the summary per variant, which is stored.
+
+        ``questions``: ``id, query, user, expected_docs, expected_sections, must_not_docs``; one
+        with expected sections is scored by them.  Unknown users and variants are errors.
+        """
+        variants = evaluation.chosen_variants(names)
+        lost = evaluation.unknown_users(questions, principals)
+        if lost:
+            raise ValueError(f"unknown users: {', '.join(lost)}")
+        sections = F.coalesce(F.size("expected_sections") > 0, F.lit(False))
+        asked = kept(questions.select(F.col("id").alias("qid"), "query", F.col("user").alias("principal"), sections.alias("by_section"), "expected_docs", "expected_sections", "must_not_docs"), "questions")
+        expected = asked.select("qid", F.explode(F.when(F.col("by_section"), F.col("expected_sections")).otherwise(F.col("expected_docs"))).alias("key"))
+        must_not = asked.select("qid", F.explode("must_not_docs").alias("path"))
+        rows = None
+        for name, o in variants.items():
+            found = self.search(asked.select("qid", "query", "principal"), principals, o)
+            ranked = search.first_places(found.candidates, "path").withColumnRenamed("path", "key").join(asked.filter("not by_section").select("qid"), "qid")
+            ranked = ranked.unionByName(search.first_places(found.candidates, "section_id").withColumnRenamed("section_id", "key").join(asked.filter("by_section").select("qid"), "qid"))
+            seen = found.candidates.select("qid", "path").unionByName(found.passages.select("qid", "path")).distinct()
+            leaked = evaluation.leaks(seen, must_not).groupBy("qid").agg(F.count(F.lit(1)).alias("leaks"))
+            degraded = found.candidates.groupBy("qid").agg(F.bool_or("rerank_failed").alias("degraded"))
+            measured = asked.select("qid").join(evaluation.metrics(ranked, expected, "key"), "qid", "left").join(leaked, "qid", "left").join(degraded, "qid", "left")
+            part = measured.select(F.lit(name).alias("variant"), "qid", "recall_5", "recall_10", "mrr_10", F.coalesce("leaks", F.lit(0)).alias("leaks"), F.coalesce("degraded", F.lit(False)).alias("degraded"))
+            rows = part if rows is None else rows.unionByName(part)
+        rows = kept(rows, "measured")
+        summed = evaluation.summary(rows)
+        self.snapshots.append("evaluations", summed.withColumn("at", F.lit(datetime.datetime.now(datetime.timezone.utc))))
+        return rows, summed
+
     def document(self, principals: DataFrame, path: str) -> DataFrame: ...
 
 
@@ -240,6 +270,36 @@ class Engine:
         silent = asked.filter("p is null").select("qid", F.lit(none_found).alias("answer"), F.lit("no evidence").alias("flag"))
         return said.unionByName(silent.select("*", *[F.array().cast(said.schema[c].dataType).alias(c) for c in ("cited", "invalid", "citations")], F.lit(None).cast("string").alias("error")))
 
+    def evaluate(self, questions: DataFrame, principals: DataFrame, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Measures per variant and question, and the summary per variant, which is stored.
+
+        ``questions``: ``id, query, user, expected_docs, expected_sections, must_not_docs``; one
+        with expected sections is scored by them.  Unknown users and variants are errors.
+        """
+        variants = evaluation.chosen_variants(names)
+        lost = evaluation.unknown_users(questions, principals)
+        if lost:
+            raise ValueError(f"unknown users: {', '.join(lost)}")
+        sections = F.coalesce(F.size("expected_sections") > 0, F.lit(False))
+        asked = kept(questions.select(F.col("id").alias("qid"), "query", F.col("user").alias("principal"), sections.alias("by_section"), "expected_docs", "expected_sections", "must_not_docs"), "questions")
+        expected = asked.select("qid", F.explode(F.when(F.col("by_section"), F.col("expected_sections")).otherwise(F.col("expected_docs"))).alias("key"))
+        must_not = asked.select("qid", F.explode("must_not_docs").alias("path"))
+        rows = None
+        for name, o in variants.items():
+            found = self.search(asked.select("qid", "query", "principal"), principals, o)
+            ranked = search.first_places(found.candidates, "path").withColumnRenamed("path", "key").join(asked.filter("not by_section").select("qid"), "qid")
+            ranked = ranked.unionByName(search.first_places(found.candidates, "section_id").withColumnRenamed("section_id", "key").join(asked.filter("by_section").select("qid"), "qid"))
+            seen = found.candidates.select("qid", "path").unionByName(found.passages.select("qid", "path")).distinct()
+            leaked = evaluation.leaks(seen, must_not).groupBy("qid").agg(F.count(F.lit(1)).alias("leaks"))
+            degraded = found.candidates.groupBy("qid").agg(F.bool_or("rerank_failed").alias("degraded"))
+            measured = asked.select("qid").join(evaluation.metrics(ranked, expected, "key"), "qid", "left").join(leaked, "qid", "left").join(degraded, "qid", "left")
+            part = measured.select(F.lit(name).alias("variant"), "qid", "recall_5", "recall_10", "mrr_10", F.coalesce("leaks", F.lit(0)).alias("leaks"), F.coalesce("degraded", F.lit(False)).alias("degraded"))
+            rows = part if rows is None else rows.unionByName(part)
+        rows = kept(rows, "measured")
+        summed = evaluation.summary(rows)
+        self.snapshots.append("evaluations", summed.withColumn("at", F.lit(datetime.datetime.now(datetime.timezone.utc))))
+        return rows, summed
+
     def document(self, principals: DataFrame, path: str) -> DataFrame:
         """``principal`` and metadata of a document for those who may read it; unknown and
         unreadable are the same: no row."""

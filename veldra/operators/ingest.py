@@ -45,6 +45,12 @@ def manifest_diff(indexed: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status"))
 
 
+def changed_files(indexed: DataFrame, found: DataFrame) -> DataFrame:
+    """``path`` of indexed documents whose file is another now: who may read the file is not known
+    before the next run, so only administrators are shown it."""
+    return indexed.select("path", F.col("hash").alias("old")).join(found.select("path", "hash"), "path").filter(~F.col("old").eqNullSafe(F.col("hash"))).select("path")
+
+
 def reusable_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
     """``chunk_id, reused``: whether a new chunk may keep the vector of the old chunk
     of its id, which it may if the indexed text is the same."""
