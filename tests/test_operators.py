@@ -203,6 +203,16 @@ def test_variants_and_reports(spark):
     assert evaluation.unknown_users(asked, spark.createDataFrame([("u",)], "principal string")) == ["v"]
 
 
+def test_thresholds(spark):
+    scored = [("a", 0.9, 1, False), ("a", 0.5, 2, True), ("a", None, 3, False), ("b", 0.4, 1, True), ("b", 0.3, 2, False), ("c", 0.2, 1, False)]
+    rows = spark.createDataFrame(scored, "qid string, score double, pos int, expected boolean")
+    asked = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("d", False), ("e", True)], "qid string, answerable boolean")
+    got = {r.threshold: tuple(r)[1:] for r in evaluation.threshold_sweep(rows, asked, [0.35, 0.45], 8).collect()}
+    assert got == {None: (2, 0, 1, 1, 1.0, 3, 2), 0.35: (2, 0, 1, 2, 0.6, 3, 2), 0.45: (1, 1, 2, 2, 0.4, 3, 2)}
+    one = {r.threshold: r.hit for r in evaluation.threshold_sweep(rows, asked, [0.35], 1).collect()}
+    assert one == {None: 1, 0.35: 1}
+
+
 def test_report_names_no_document(spark):
     documents = spark.createDataFrame([("secret/plan.md", ["hr"]), ("b.md", []), ("c.md", ["all", "ghost"])], "path string, groups array<string>")
     who = spark.createDataFrame([("u", ["all"], False), ("n", [], False), ("admin", [], True)], "principal string, groups array<string>, admin boolean")

@@ -99,20 +99,29 @@ def report_text(summed: DataFrame) -> tuple[str, int]:
     return "\n".join(lines), int(any(r.leaks for r in rows))
 
 
-def threshold_sweep(scored: DataFrame, thresholds: list[float]) -> DataFrame:
-    """``threshold, lost, empty, mean_kept``: over queries (``qid, score, expected``).
+def threshold_sweep(scored: DataFrame, questions: DataFrame, thresholds: list[float], final_k: int = 8) -> DataFrame:
+    """What a least score would do to the first ``final_k`` scored candidates of every question.
 
-    Lost: queries that expected something and keep none of it; empty: queries that
-    keep nothing.
+    ``scored``: ``qid, score, pos, expected``, best first; ``questions``: ``qid, answerable``.  Per
+    threshold (null: none): ``hit``, answerable questions that keep an answer; ``lost``, those
+    that only keep one without threshold; ``answerable_empty`` and ``control_empty``, questions
+    of either kind that keep nothing; ``mean_kept``; ``answerable``, ``control``, how many there are.
     """
-    levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    per = scored.select("qid", "score", "expected", levels).groupBy("threshold", "qid").agg(
-        F.count_if(F.col("score") >= F.col("threshold")).alias("kept"),
-        F.count_if("expected").alias("wanted"),
-        F.count_if(F.col("expected") & (F.col("score") >= F.col("threshold"))).alias("found"),
-    )
-    return per.groupBy("threshold").agg(
-        F.count_if((F.col("wanted") > 0) & (F.col("found") == 0)).alias("lost"),
-        F.count_if(F.col("kept") == 0).alias("empty"),
+    order = Window.partitionBy("qid").orderBy("pos")
+    first = scored.filter(F.col("score").isNotNull()).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= final_k)
+    levels = F.array(F.lit(None).cast("double"), *[F.lit(float(t)) for t in thresholds])
+    passes = F.col("threshold").isNull() | (F.col("score") >= F.col("threshold"))
+    per = first.withColumn("threshold", F.explode(levels)).groupBy("qid", "threshold").agg(F.count_if(passes).alias("kept"), F.count_if(passes & F.col("expected")).alias("found"), F.count_if("expected").alias("any"))
+    every = questions.withColumn("threshold", F.explode(levels)).alias("q")
+    met = every.join(per.alias("p"), (F.col("q.qid") == F.col("p.qid")) & F.col("q.threshold").eqNullSafe(F.col("p.threshold")), "left")
+    met = met.select("q.threshold", "answerable", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("kept", "found", "any")])
+    yes, no = F.col("answerable"), ~F.col("answerable")
+    return met.groupBy("threshold").agg(
+        F.count_if(yes & (F.col("found") > 0)).alias("hit"),
+        F.count_if(yes & (F.col("any") > 0) & (F.col("found") == 0)).alias("lost"),
+        F.count_if(yes & (F.col("kept") == 0)).alias("answerable_empty"),
+        F.count_if(no & (F.col("kept") == 0)).alias("control_empty"),
         F.round(F.avg("kept"), 6).alias("mean_kept"),
+        F.count_if(yes).alias("answerable"),
+        F.count_if(no).alias("control"),
     )

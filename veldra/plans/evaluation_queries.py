@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.analyzer import terms
+from ..functions.analyzer import RUNS, resolved_forms, terms
 from ..operators import access, answers, evaluation, lexical
 from ..operators.skew import every_salt, salt
 from ..sources.tables import current_rows, kept, spread, table
 from .common import current_sql, forms_sql, principals, readable_documents, terms_cte, title_of
-from .lexical_queries import CHANNEL, HITS, _asked, _channel, _hits, index_of
+from .lexical_queries import CHANNEL, HITS, _channel, _hits, index_of
+from .retrieval_queries import FUSED, _ranked
 
 
 def recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,38 +40,48 @@ def eval_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    """What thresholds on the lexical score would lose."""
-    label = table(spark, folder, "documents").select("doc_id", "lang")
-    hits = _hits(spark, folder, 10).join(label, "doc_id").join(label.select(F.col("doc_id").alias("qid"), F.col("lang").alias("query_lang")), "qid")
-    scored = hits.select("qid", "score", F.coalesce(F.col("lang") == F.col("query_lang"), F.lit(False)).alias("expected"))
-    return evaluation.threshold_sweep(scored, [0, 2, 4, 8, 16, 32])
+    """What thresholds on the reranker's score would lose: questions are titles, answerable where
+    another document has the same."""
+    titled = table(spark, folder, "documents").select("doc_id", title_of(F.col("text")).alias("title"))
+    asked = titled.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "title")
+    answers_of = kept(asked.filter("title <> ''").join(titled, "title").filter("doc_id <> qid").select("qid", "doc_id").distinct(), "answers")
+    scored = _ranked(spark, folder).select("qid", "doc_id", F.col("rerank").alias("score"), F.col("final_pos").alias("pos"))
+    scored = scored.join(answers_of.withColumn("expected", F.lit(True)), ["qid", "doc_id"], "left").withColumn("expected", F.coalesce("expected", F.lit(False)))
+    questions = asked.select("qid").join(answers_of.select("qid").distinct().withColumn("answerable", F.lit(True)), "qid", "left").select("qid", F.coalesce("answerable", F.lit(False)).alias("answerable"))
+    return evaluation.threshold_sweep(scored, questions, [0, 0.1, 0.2, 0.4, 0.8])
 
 
 def term_probe(spark: SparkSession, folder: str) -> DataFrame:
-    """Probe of every title as a question: the documents whose text holds all of its terms are
-    relevant; precision and recall (capped by 10) of the 10 best documents.
+    """Exact-term probe: every run of CJK letters, and every word, of the titles is asked for;
+    precision and recall (capped by 10) of the 10 best documents against those whose
+    text contains it.
 
     A term stands within one run of its text, which is posted whole (a CJK run in
-    pairs), so a text holds the term if one of its own terms contains it.
+    pairs), so a text holds a term if one of its own terms contains it.  A probe of
+    several terms is looked for in the texts that hold all of them.
     """
-    index = index_of(spark, folder)
-    asked = kept(_asked(spark, folder), "asked")
+    index, documents = index_of(spark, folder), table(spark, folder, "documents").select("doc_id", "text")
+    plain = lambda text: F.lower(resolved_forms(text))
+    titles = documents.filter("doc_id % 50 = 0").select(F.explode(F.regexp_extract_all(plain(title_of(F.col("text"))), F.lit(RUNS), F.lit(0))).alias("qid")).distinct()
+    asked = kept(titles.select("qid", F.explode(terms(F.col("qid"))).alias("term")).distinct(), "asked")
     wanted = asked.groupBy("qid").agg(F.count(F.lit(1)).alias("terms"))
     ranked = lexical.top(lexical.scores(index, "doc_id", asked), "doc_id", 10).select("qid", "doc_id")
-    # a question's terms hold at least two characters but for single letters: terms meet by a pair that both hold
-    grams = lambda t: F.when(F.length(t) < 2, F.array(t)).otherwise(F.array(F.substring(t, 1, 2)))
-    every = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.length("own")), lambda i: F.substring("own", i, F.lit(1))), F.transform(F.sequence(F.lit(1), F.length("own")), lambda i: F.substring("own", i, F.lit(2)))))
-    sought = asked.select("term").distinct().withColumn("gram", F.explode(grams(F.col("term"))))
-    vocabulary = index.terms.select(F.col("term").alias("own")).withColumn("gram", F.explode(every))
+    # own terms that contain an asked one share its first two characters (or its only one) with it
+    grams = lambda t, n: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, F.lit(n)))
+    sought = asked.select("term").distinct().withColumn("gram", F.substring("term", 1, 2))
+    vocabulary = index.terms.select(F.col("term").alias("own")).withColumn("gram", F.explode(F.array_distinct(F.concat(grams(F.col("own"), 1), grams(F.col("own"), 2)))))
     within = vocabulary.join(sought, "gram").filter(F.contains("own", "term")).select("own", "term").distinct()
     holding = index.postings.select(F.col("term").alias("own"), "doc_id").join(within, "own").select("term", "doc_id").distinct()
     held = asked.withColumn("salt", every_salt(16)).join(holding.withColumn("salt", salt(16, "doc_id")), ["term", "salt"]).groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    relevant = held.join(wanted, "qid").filter("n = terms").select("qid", "doc_id", F.lit(1).alias("held"))
+    all_terms = kept(held.join(wanted, "qid").filter("n = terms").select("qid", "doc_id", "terms"), "held")
+    per_text = all_terms.filter("terms > 1").groupBy("doc_id").agg(F.collect_list("qid").alias("probes"))  # at most the probes, for a text
+    found = per_text.join(documents, "doc_id").withColumn("plain", plain(F.col("text"))).select("doc_id", F.explode(F.filter("probes", lambda p: F.contains("plain", p))).alias("qid"))
+    relevant = all_terms.filter("terms = 1").select("qid", "doc_id").unionByName(found).withColumn("held", F.lit(1))
     counts = relevant.join(ranked.withColumn("hit", F.lit(1)), ["qid", "doc_id"], "full_outer").groupBy("qid").agg(F.count("held").alias("relevant"), F.count("hit").alias("hits"), F.count_if(F.col("held").isNotNull() & F.col("hit").isNotNull()).alias("good"))
     met = wanted.join(counts, "qid", "left").na.fill(0, ["relevant", "hits", "good"])
     precision = F.when(F.col("hits") > 0, F.col("good") / F.col("hits")).otherwise(0.0)
     recall = F.when(F.col("relevant") > 0, F.col("good") / F.least(F.lit(10), "relevant")).otherwise(1.0)
-    return met.select("qid", "relevant", "hits", "good", F.round(precision, 6).alias("precision_10"), F.round(recall, 6).alias("recall_10"))
+    return met.select(F.col("qid").alias("probe"), "relevant", "hits", "good", F.round(precision, 6).alias("precision_10"), F.round(recall, 6).alias("recall_10"))
 
 
 #: Pairs of CJK letters, and the heading that a question is made of.
@@ -177,8 +188,8 @@ def oracle_sql() -> dict[str, str]:
         "recall_mrr": f"with {HITS}, tt as (select doc_id, regexp_extract(text, '(?m)^#+[ \\t]+([^\\r\\n]+)', 1) title from documents), e as (select q.doc_id qid, d.doc_id from tt q join tt d using (title) where q.doc_id % 50 = 0 and title <> ''), m as (select e.qid, r.rank from e left join (select * from ranked where rank <= 50) r on r.qid = e.qid and r.doc_id = e.doc_id) select qid, round(count(*) filter (rank <= 5) / count(*), 6) as recall_5, round(count(*) filter (rank <= 10) / count(*), 6) as recall_10, round(coalesce(1 / min(rank) filter (rank <= 10), 0), 6) as mrr_10 from m group by 1",
         "leak_count": f"with {CHANNEL}, seen as (select qid, principal, doc_id from kept join principals p using (principal) where not p.admin qualify row_number() over (partition by qid, principal order by rank) <= 50) select s.principal, count(*) as hits, count(*) filter (a.doc_id is null) as leaks from seen s left join access a on a.principal = s.principal and a.doc_id = s.doc_id group by 1",
         "eval_summary": "select event_type, count(*) as n, round(avg(value), 6) as mean_value, list_sort(list(value))[least(count(value), floor(0.5 * count(value))::bigint + 1)] as p50, list_sort(list(value))[least(count(value), floor(0.95 * count(value))::bigint + 1)] as p95 from events group by 1",
-        "threshold_sweep": f"with {HITS}, s as (select r.qid, r.score, coalesce(d.lang = q.lang, false) expected from ranked r join documents d using (doc_id) join documents q on q.doc_id = r.qid where rank <= 10), p as (select threshold, qid, count(*) filter (score >= threshold) kept, count(*) filter (expected) wanted, count(*) filter (expected and score >= threshold) found from s, (select unnest([0, 2, 4, 8, 16, 32])::double threshold) group by 1, 2) select threshold, count(*) filter (wanted > 0 and found = 0) as lost, count(*) filter (kept = 0) as empty, round(avg(kept), 6) as mean_kept from p group by 1",
-        "term_probe": f"with {HITS}, texts as (select doc_id, lower({forms_sql('text')}) t from documents), need as (select qid, count(*) terms from asked group by 1), holding as (select term, doc_id from (select distinct term from asked) join texts on contains(t, term)), rel as (select qid, doc_id from asked join holding using (term) group by 1, 2 having count(*) = (select terms from need where need.qid = asked.qid)), best as (select qid, doc_id from ranked where rank <= 10), g as (select qid, count(*) hits, count(rel.doc_id) good from best left join rel using (qid, doc_id) group by 1), r as (select qid, count(*) relevant from rel group by 1) select qid, coalesce(relevant, 0) as relevant, coalesce(hits, 0) as hits, coalesce(good, 0) as good, round(case when hits > 0 then good / hits else 0 end, 6) as precision_10, round(case when relevant > 0 then coalesce(good, 0) / least(10, relevant) else 1 end, 6) as recall_10 from need left join r using (qid) left join g using (qid)",
+        "threshold_sweep": f"with {FUSED}, tt as (select doc_id, regexp_extract(text, '(?m)^#+[ \\t]+([^\\r\\n]+)', 1) title from documents), ans as (select distinct q.doc_id qid, d.doc_id from tt q join tt d using (title) where q.doc_id % 50 = 0 and title <> '' and d.doc_id <> q.doc_id), qs as (select doc_id qid, doc_id in (select qid from ans) answerable from documents where doc_id % 50 = 0), sel as (select f.qid, f.rerank score, a.doc_id is not null expected from final f left join ans a on a.qid = f.qid and a.doc_id = f.doc_id where f.rerank is not null qualify row_number() over (partition by f.qid order by final_pos) <= 8), ts as (select unnest([null, 0, 0.1, 0.2, 0.4, 0.8]::double[]) threshold), per as (select t.threshold, q.qid, q.answerable, count(s.qid) filter (t.threshold is null or s.score >= t.threshold) kept, count(s.qid) filter (expected and (t.threshold is null or s.score >= t.threshold)) found, count(s.qid) filter (expected) any_ from ts t cross join qs q left join sel s on s.qid = q.qid group by 1, 2, 3) select threshold, count(*) filter (answerable and found > 0) as hit, count(*) filter (answerable and any_ > 0 and found = 0) as lost, count(*) filter (answerable and kept = 0) as answerable_empty, count(*) filter (not answerable and kept = 0) as control_empty, round(avg(kept), 6) as mean_kept, count(*) filter (answerable) as answerable, count(*) filter (not answerable) as control from per group by 1",
+        "term_probe": f"with {HITS}, texts as (select doc_id, lower({forms_sql('text')}) t from documents), runs0 as (select distinct unnest(regexp_extract_all(lower({forms_sql('title')}), '[a-z0-9]+(?:[-_./][a-z0-9]+)*|[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Hangul}}]+')) probe from titles), {terms_cte('pocc', 'runs0', 'probe', 'probe')}, pterms as (select distinct probe, term from pocc), rel as (select probe, doc_id from runs0 join texts on contains(t, probe)), pscored as (select probe, doc_id, round(sum(ln(n / df) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean_size))), 6) score from pterms join freq using (term) join posted using (term) join sizes using (doc_id), coll group by 1, 2), best as (select probe, doc_id from pscored qualify row_number() over (partition by probe order by score desc, doc_id) <= 10), g as (select probe, count(*) hits, count(rel.doc_id) good from best left join rel using (probe, doc_id) group by 1), r as (select probe, count(*) relevant from rel group by 1) select probe, coalesce(relevant, 0) as relevant, coalesce(hits, 0) as hits, coalesce(good, 0) as good, round(case when hits > 0 then good / hits else 0 end, 6) as precision_10, round(case when relevant > 0 then coalesce(good, 0) / least(10, relevant) else 1 end, 6) as recall_10 from runs0 left join r using (probe) left join g using (probe)",
         "bias_check": f"with d as (select doc_id, regexp_extract(text, '(?m)^#+[ \\t]+([^\\r\\n]+)', 1) title, regexp_replace(text, '(?m)^#+[ \\t]+[^\\r\\n]+', '') body from documents), {terms_cte('tt', 'd', 'doc_id', 'title')}, {terms_cte('bt', 'd', 'doc_id', 'body')}, q as (select doc_id qid, title from d where doc_id % 50 = 0 and title <> ''), g as (select distinct qid, term from q join tt on doc_id = qid where regexp_full_match(term, '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Hangul}}]{{2}}')), b as (select distinct doc_id, term from bt), s as (select qid, count(*) pairs from g group by 1), f as (select qid, doc_id, count(*) found from g join b using (term) group by 1, 2), c as (select q.qid, coalesce(s.pairs, 0) pairs, d.title = q.title own, coalesce(f.found / s.pairs, 0) x from q cross join d left join s on s.qid = q.qid left join f on f.qid = q.qid and f.doc_id = d.doc_id) select qid, any_value(pairs) as pairs, round(avg(x) filter (own), 6) as answer_mean, round(max(x) filter (own), 6) as answer_best, round(avg(x), 6) as all_mean, round(coalesce(max(x) filter (not own), 0), 6) as other_best from c group by 1",
         "trace_recent": "select event_id, event_type, user_id from events order by ts desc, event_id desc limit 50",
         "trace_redact": "select event_id, case when event_type <> 'error' then json_extract_string(props, '$.k')::int end as raw_hits, case when event_type <> 'error' then 'acl-starvation' end as flag from events",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.analyzer import terms
 from ..functions.tokens import estimated_tokens
 from ..operators import access, lexical
-from ..sources.tables import spread, table
+from ..sources.tables import released, spread, table
 from .common import PRINCIPALS, READABLE, principals, readable_documents, terms_cte, title_of
 
 
@@ -19,9 +19,10 @@ def index_of(spark: SparkSession, folder: str, name: str = "documents", key: str
     """The index of a table, made once per session and state of its files."""
     source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
     status = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(source)
-    held = (spark.sparkContext.applicationId, folder, name, status.getModificationTime(), status.getLen())
+    session = (spark.sparkContext.applicationId, released())
+    held = (session, folder, name, status.getModificationTime(), status.getLen())
     if held not in _INDEXES:
-        for old in [k for k in _INDEXES if k[0] != held[0]]:
+        for old in [k for k in _INDEXES if k[0] != session]:
             del _INDEXES[old]
         source_rows = rows if rows is not None else table(spark, folder, name)
         _INDEXES[held] = lexical.built(spread(source_rows.select(key, text)), key, text)

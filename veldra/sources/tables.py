@@ -42,6 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_RELEASED = {"times": 0}
+
+
+def released() -> int:
+    """How often kept tables were deleted: what was remembered before is gone."""
+    return _RELEASED["times"]
+
+
 def _own_folder(spark: SparkSession):
     """This application's tables below the shared folder, which go when it ends."""
     jvm, context = spark.sparkContext._jvm, spark.sparkContext
@@ -68,6 +76,7 @@ def release(spark: SparkSession) -> None:
     """Delete all kept tables of the application; frames that read them end with that."""
     files, path = _own_folder(spark)
     files.delete(path, True)
+    _RELEASED["times"] += 1
 
 
 def fingerprint(column: Column, name: str) -> list[Column]:
