@@ -197,7 +197,7 @@ class Engine:
         raw = {}
         if "lexical" in o.channels:
             words = asked.select("qid", F.explode(terms(F.col("query"))).alias("term")).distinct()
-            raw["lexical"] = lexical.top(lexical.scores(index, "chunk_id", words), "chunk_id", n)
+            raw["lexical"] = lexical.top(lexical.scores(lexical.narrowed(index, words), "chunk_id", words), "chunk_id", n)
         if "semantic" in o.channels:
             vectors = kept(models.embedded(asked.select("qid", "query"), "qid", "query", self.embed, self.dimensions), "asked-vectors")
             problem = vectors.filter("error is not null").select("error").limit(1).collect()

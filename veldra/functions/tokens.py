@@ -7,8 +7,6 @@ else nothing.  A null text has a null estimate, an empty one 0.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 import regex
@@ -43,21 +41,26 @@ def estimate(text: str) -> int:
     return total
 
 
-@lru_cache(maxsize=1)
-def _kinds() -> np.ndarray:
-    """For every code point: 1 CJK letter, 2 other letter or digit, 0 all else."""
-    every = "".join(map(chr, range(0x110000)))
-    kinds = np.zeros(0x110000, np.uint8)
-    for pattern, kind in ((r"[\p{L}\p{Nd}]+", 2), (r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]+", 1)):
-        for match in regex.finditer(pattern, every):
-            kinds[match.start() : match.end()] = kind
-    return kinds
+#: For every code point: 1 CJK letter, 2 other letter or digit, 0 all else; and which pages of 256 are filled in.
+_KINDS, _FILLED = np.zeros(0x110000, np.uint8), np.zeros(0x1100, bool)
+
+
+def kinds(codes: np.ndarray) -> np.ndarray:
+    """The kind of each code point; pages are filled in when a text first needs them."""
+    used = np.bincount(codes >> 8, minlength=len(_FILLED)) > 0
+    for page in np.flatnonzero(used & ~_FILLED):
+        chars = "".join(map(chr, range(page << 8, (page + 1) << 8)))
+        for pattern, kind in ((r"[\p{L}\p{Nd}]+", 2), (r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]+", 1)):
+            for match in regex.finditer(pattern, chars):
+                _KINDS[(page << 8) + match.start() : (page << 8) + match.end()] = kind
+        _FILLED[page] = True
+    return _KINDS[codes]
 
 
 def part_estimates(text: str, edges: np.ndarray) -> np.ndarray:
     """The estimates of the parts of a text between consecutive edges, each by itself."""
-    kinds = _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    letters = kinds == 2
+    kind = kinds(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+    letters = kind == 2
     first, last = letters.copy(), letters.copy()
     first[1:] &= ~letters[:-1]
     last[:-1] &= ~letters[1:]
@@ -65,7 +68,7 @@ def part_estimates(text: str, edges: np.ndarray) -> np.ndarray:
     first[inner] |= letters[inner]
     last[inner - 1] |= letters[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last)
-    worth = (kinds == 1).astype(np.int64)
+    worth = (kind == 1).astype(np.int64)
     worth[starts] += (ends - starts + 4) // 4 + 1
     upto = np.concatenate([[0], np.cumsum(worth)])
     return upto[edges[1:]] - upto[edges[:-1]]

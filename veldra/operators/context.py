@@ -53,6 +53,8 @@ def fresh_part(end) -> Column:
 
 #: A run of letters or digits that counts as one, at the end and at the start of a text.
 _RUN = r"[\p{L}\p{Nd}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]]+"
+#: Characters in which a run that is cut between two chunks is looked for on either side.
+LONGEST = 200
 LAST_RUN, FIRST_RUN = _RUN + r"\z", r"\A" + _RUN
 
 
@@ -82,13 +84,13 @@ def packed(held: DataFrame, budget: int = 6000, sections: tuple[str, ...] = ("pa
     strong = Window.partitionBy("qid").orderBy(F.desc("selected"), "priority", F.desc("chunk_id"))
     placed = held.withColumn("place", F.row_number().over(strong))
     line = Window.partitionBy("qid", *sections).orderBy("ordinal")
-    shown = F.struct("ordinal", "char_end", "place", F.length(F.regexp_extract("text", LAST_RUN, 0)).alias("tail"))
+    shown = F.struct("ordinal", "char_end", "place", F.length(F.regexp_extract(F.right("text", F.lit(LONGEST)), LAST_RUN, 0)).alias("tail"))
     met = placed.withColumn("before", F.lag(shown).over(line))
     met = met.withColumn("before", F.when(F.col("before.ordinal") == F.col("ordinal") - 1, F.col("before")))
     overlaps = F.coalesce(F.col("char_start") < F.col("before.char_end"), F.lit(False))
     fresh = F.when(overlaps, fresh_part(F.col("before.char_end"))).otherwise(F.col("text"))
     met = met.withColumn("fresh", F.coalesce(fresh, F.lit("")))
-    head = F.when(overlaps, F.length(F.regexp_extract("fresh", FIRST_RUN, 0))).otherwise(F.lit(0))
+    head = F.when(overlaps, F.length(F.regexp_extract(F.left("fresh", F.lit(LONGEST)), FIRST_RUN, 0))).otherwise(F.lit(0))
     words = lambda n: F.when(n > 0, F.ceil(n / 4) + 1).otherwise(F.lit(0))
     joined = F.when((head > 0) & (F.col("before.tail") > 0), words(head + F.col("before.tail")) - words(head) - words(F.col("before.tail"))).otherwise(F.lit(0))
     sized = met.withColumn("whole", F.coalesce(batched_estimate(F.col("text")), F.lit(0))).withColumn("added", F.when(F.col("before").isNotNull(), batched_estimate(F.col("fresh")) + joined).otherwise(F.lit(0)))

@@ -73,6 +73,16 @@ def built(texts: DataFrame, key: str, text: str) -> Index:
     return Index(tables["postings"], kept(tables["terms"], "terms"), kept(tables["collection"], "collection"))
 
 
+def narrowed(index: Index, asked: DataFrame, most: int = 1000) -> Index:
+    """The index cut to the asked terms where these are few, so that the files are only read where
+    they hold one of them; a larger batch of questions gets the index as it is."""
+    held = [r.term for r in asked.select("term").distinct().limit(most + 1).collect()]
+    if len(held) > most:
+        return index
+    wanted = F.col("term").isin(held)
+    return Index(index.postings.filter(wanted), index.terms.filter(wanted), index.collection)
+
+
 def scores(index: Index, key: str, asked: DataFrame, o: Bm25Options = Bm25Options(), salts: int = 16) -> DataFrame:
     """``qid, key, score`` of every document that shares a term with a query.
 

@@ -12,21 +12,27 @@ from ..sources.tables import released, spread, table
 from .common import PRINCIPALS, READABLE, principals, readable_documents, terms_cte, title_of
 
 
-_INDEXES: dict[tuple, lexical.Index] = {}
+_MADE: dict[tuple, object] = {}
 
 
-def index_of(spark: SparkSession, folder: str, name: str = "documents", key: str = "doc_id", text: str = "text", rows: DataFrame | None = None) -> lexical.Index:
-    """The index of a table, made once per session and state of its files."""
-    source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
-    status = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(source)
+def made_once(spark: SparkSession, folder: str, name: str, make):
+    """What an engine makes at ingest and searches then share: made once per session and state of
+    the folder's tables."""
     session = (spark.sparkContext.applicationId, released())
-    held = (session, folder, name, status.getModificationTime(), status.getLen())
-    if held not in _INDEXES:
-        for old in [k for k in _INDEXES if k[0] != session]:
-            del _INDEXES[old]
-        source_rows = rows if rows is not None else table(spark, folder, name)
-        _INDEXES[held] = lexical.built(spread(source_rows.select(key, text)), key, text)
-    return _INDEXES[held]
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in files.listStatus(place)))
+    held = (session, folder, name, state)
+    if held not in _MADE:
+        for old in [k for k in _MADE if k[0] != session]:
+            del _MADE[old]
+        _MADE[held] = make()
+    return _MADE[held]
+
+
+def index_of(spark: SparkSession, folder: str) -> lexical.Index:
+    """The index of all documents."""
+    return made_once(spark, folder, "documents", lambda: lexical.built(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text"))
 
 
 def analyze_terms(spark: SparkSession, folder: str) -> DataFrame:

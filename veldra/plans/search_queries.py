@@ -16,7 +16,7 @@ from ..sources.tables import current_rows, kept, table
 from .access_queries import DOCUMENT_GROUPS, _groups
 from .common import PRINCIPALS, current_sql, principals, terms_cte
 from .ingest_queries import LINKS, _docs
-from .lexical_queries import TOKENS, index_of
+from .lexical_queries import TOKENS, made_once
 
 DIMENSIONS = 64
 #: Questions of even number are scored by sections, the others by documents.
@@ -41,20 +41,32 @@ def _questions(spark: SparkSession, folder: str) -> DataFrame:
     return docs.crossJoin(F.broadcast(who)).select(F.col("path").alias("qid"), F.col("title").alias("query"), F.element_at("names", turn).alias("principal"), "number")  # one row
 
 
-class Searched:
-    """The frames of one search over a folder's tables, ranked hits written once."""
+class Store:
+    """What an ingest leaves of a folder's tables: chunks of documents, their groups, links and index."""
 
-    def __init__(self, spark: SparkSession, folder: str, o: search.SearchOptions = search.SearchOptions()):
+    def __init__(self, spark: SparkSession, folder: str):
         self.principals = principals(spark, folder)
         self.documents = kept(_groups(spark, folder), "groups")
         self.chunks = kept(_chunks(spark, folder).join(self.documents.select("path"), "path", "left_semi"), "chunks")  # a hit leads to a document
-        self.questions = kept(_questions(spark, folder), "questions")
         self.links = kept(ingest.document_links(ingest.resolved_links(_docs(spark, folder))), "links")
         self.place = self.chunks.select("chunk_id", "path")
+        self.index = lexical.built(self.chunks.select("chunk_id", "index_text"), "chunk_id", "index_text")
+
+
+def store_of(spark: SparkSession, folder: str) -> Store:
+    return made_once(spark, folder, "store", lambda: Store(spark, folder))
+
+
+class Searched:
+    """The frames of one search over a store, ranked hits written once."""
+
+    def __init__(self, spark: SparkSession, folder: str, o: search.SearchOptions = search.SearchOptions()):
+        store = store_of(spark, folder)
+        self.principals, self.documents, self.chunks, self.links, self.place = store.principals, store.documents, store.chunks, store.links, store.place
+        self.questions = kept(_questions(spark, folder), "questions")
         owners, n = self.questions.select("qid", "principal"), o.channel_k * o.overfetch
         words = self.questions.select("qid", F.explode(terms(F.col("query"))).alias("term")).distinct()
-        index = index_of(spark, folder, "chunks", "chunk_id", "index_text", self.chunks)
-        lex = lexical.top(lexical.scores(index, "chunk_id", words), "chunk_id", n)
+        lex = lexical.top(lexical.scores(store.index, "chunk_id", words), "chunk_id", n)
         first = self.questions.select("qid", F.concat("qid", F.lit("::0")).alias("chunk_id")).join(self.chunks.select("chunk_id", "number", "vec"), "chunk_id")
         self.vectors = first.select("qid", F.col("vec").alias("asked"))
         near = semantic.nearest(first.select("number", "vec"), self.chunks.select("number", "vec"), "number", "vec", n, DIMENSIONS)
@@ -63,20 +75,27 @@ class Searched:
         self.ranked = kept(parts[0][0].unionByName(parts[1][0]), "ranked")
         self.counts = parts[0][1].unionByName(parts[1][1])
 
-    def shown(self, o: search.SearchOptions) -> DataFrame:
-        """Candidates in their final order; the reranker is the cosine of chunk and question."""
-        found = search.candidates(self.ranked, self.links, self.place, self.documents, self.principals, o)
-        vec = self.chunks.select("chunk_id", "section_id", "vec")
-        met = found.join(vec, "chunk_id").join(self.vectors, "qid", "left")
-        score = semantic.cosine(F.col("vec"), F.col("asked"), DIMENSIONS) if o.rerank else F.lit(None).cast("double")
+    def variants(self, variants: dict[str, search.SearchOptions]) -> DataFrame:
+        """Candidates of every variant in their final order, in one pass: the variant is part of the
+        query (``<variant>|<qid>``).  The reranker is the cosine of chunk and question."""
+        entry = lambda name, o: F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, o.channels)).alias("channels"))
+        every = self.ranked.withColumn("v", F.explode(F.array(*[entry(name, o) for name, o in variants.items()]))).filter(F.array_contains("v.channels", F.col("channel")))
+        ranked = every.withColumn("qid", F.concat_ws("|", "v.name", "qid")).drop("v")
+        o = search.SearchOptions()
+        found = kept(search.fused(ranked, o).select("qid", "principal", "chunk_id", "path", "pos"), "fused")
+        of = lambda flag: F.substring_index("qid", "|", 1).isin(*[name for name, v in variants.items() if getattr(v, flag)])
+        added = search.expanded(found.filter(of("graph")), ranked.filter(of("graph")), self.links, self.place, self.documents, self.principals, o).drop("via")
+        met = found.unionByName(added).withColumn("question", F.substring(F.col("qid"), F.length(F.substring_index("qid", "|", 1)) + 2, F.length("qid")))
+        met = met.join(self.chunks.select("chunk_id", "section_id", "vec"), "chunk_id").join(self.vectors.withColumnRenamed("qid", "question"), "question", "left")
+        score = F.when(of("rerank"), semantic.cosine(F.col("vec"), F.col("asked"), DIMENSIONS))
         order = Window.partitionBy("qid").orderBy(F.col("rerank").isNull(), F.desc("rerank"), "pos")
-        return met.withColumn("rerank", score).drop("vec", "asked").withColumn("final_pos", F.row_number().over(order))
+        return met.withColumn("rerank", score).drop("vec", "asked", "question").withColumn("final_pos", F.row_number().over(order))
 
-    def passages(self, shown: DataFrame, o: search.SearchOptions) -> DataFrame:
+    def passages(self, shown: DataFrame, o: search.SearchOptions = search.SearchOptions()) -> DataFrame:
         """``qid, principal, path`` of what the passages are made of: selected chunks and those beside them."""
         chosen = fusion.selected(shown, o.final_k).select("qid", "chunk_id", F.col("place").alias("priority"))
         pool = context.pool(chosen, fusion.neighbours(self.chunks.select("chunk_id", "section_id", "ordinal")))
-        hits = pool.join(self.questions.select("qid", "principal"), "qid").join(self.place, "chunk_id")
+        hits = pool.join(shown.select("qid", "principal").distinct(), "qid").join(self.place, "chunk_id")
         return access.readable_hits(hits, self.documents, self.principals).select("qid", "principal", "path")
 
 
@@ -96,20 +115,18 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
     linked = asked.join(found.links.withColumnRenamed("src", "qid"), "qid").select("qid", "by_section", F.col("dst").alias("key"))
     own = asked.select("qid", "by_section", F.col("qid").alias("key")).unionByName(linked).filter("not by_section").select("qid", "key")
     first = found.chunks.select(F.regexp_replace("chunk_id", "::0$", "").alias("qid"), "section_id").join(asked.filter("by_section"), "qid").filter("section_id is not null").select("qid", F.col("section_id").alias("key"))
-    expected = own.unionByName(first)
-    parts = []
-    for name, o in evaluation.VARIANTS.items():
-        shown = kept(found.shown(o), "shown")
-        ranking = search.first_places(shown, "path").withColumnRenamed("path", "key").join(asked.filter("not by_section").select("qid"), "qid")
-        ranking = ranking.unionByName(search.first_places(shown, "section_id").withColumnRenamed("section_id", "key").join(asked.filter("by_section").select("qid"), "qid"))
-        seen = shown.select("qid", "principal", "path").unionByName(found.passages(shown, o)).distinct()
-        leaked = evaluation.leaks(seen, access.unreadable(seen, found.documents, found.principals)).groupBy("qid").agg(F.count(F.lit(1)).alias("leaks"))
-        scored = asked.select("qid").join(evaluation.metrics(ranking, expected, "key"), "qid", "left").join(leaked, "qid", "left")
-        parts.append(scored.select(F.lit(name).alias("variant"), "qid", "recall_5", "recall_10", "mrr_10", F.coalesce("leaks", F.lit(0)).alias("leaks"), F.lit(False).alias("degraded")))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows
+    names = list(evaluation.VARIANTS)
+    each = lambda df: df.withColumn("variant", F.explode(F.array(*map(F.lit, names)))).withColumn("qid", F.concat_ws("|", "variant", "qid")).drop("variant")
+    asked, expected = kept(each(asked.select("qid", "by_section")), "asked"), each(own.unionByName(first))
+    shown = kept(found.variants(evaluation.VARIANTS), "shown")
+    ranking = search.first_places(shown, "path").withColumnRenamed("path", "key").join(asked.filter("not by_section").select("qid"), "qid")
+    ranking = ranking.unionByName(search.first_places(shown, "section_id").withColumnRenamed("section_id", "key").join(asked.filter("by_section").select("qid"), "qid"))
+    seen = kept(shown.select("qid", "principal", "path").unionByName(found.passages(shown)).distinct(), "seen")
+    must_not = seen.join(access.unreadable(seen.select("principal", "path").distinct(), found.documents, found.principals), ["principal", "path"], "left_semi")
+    leaked = evaluation.leaks(seen, must_not).groupBy("qid").agg(F.count(F.lit(1)).alias("leaks"))
+    scored = asked.select("qid").join(evaluation.metrics(ranking, expected, "key"), "qid", "left").join(leaked, "qid", "left")
+    variant = F.substring_index("qid", "|", 1)
+    return scored.select(variant.alias("variant"), F.substring(F.col("qid"), F.length(variant) + 2, F.length("qid")).alias("qid"), "recall_5", "recall_10", "mrr_10", F.coalesce("leaks", F.lit(0)).alias("leaks"), F.lit(False).alias("degraded"))
 
 
 def eval_questions(spark: SparkSession, folder: str) -> DataFrame:
