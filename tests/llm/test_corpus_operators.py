@@ -437,6 +437,14 @@ def test_planted_damage_comes_back(folder):
     assert tried > 100 and found >= 0.97 * tried and back >= 0.9 * tried, (tried, found, back)
 
 
+MARKED = [("It isnít so.", "It isn’t so."), ("x ìquotedî, y", "x “quoted”, y"), ("25 ∞C and 3 ░F", "25 °C and 3 °F"), ("one ó two", "one — two"), ("die Lˆschfristen", "die Löschfristen"), ("a ¡ª b", "a — b")]
+
+
+@pytest.mark.parametrize("bad, text", MARKED)
+def test_marks_read_byte_by_byte(bad, text):
+    assert garble.damaged(bad) and garble.restored(bad) == text
+
+
 EAST_ASIAN = ["会议室预订请提前两天提交", "请在系统中提交报销单据", "財務部門在三個工作日內完成", "サーバーは夜間に起動", "総務部に提出してください", "시스템에서직접신청", "Сверка остатков трёх складов", "Die Übergröße für die Küche", "L’équipe répare l’entrepôt"]
 
 

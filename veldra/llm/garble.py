@@ -68,9 +68,10 @@ CJK_LETTER = re.compile(f"[{CJK}]")
 OTHER = re.compile(f"[^\x00-\x7f{CJK}]")
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words of one letter beyond ASCII (Romance, Russian).
-ONE_LETTER = frozenset("àáéèíóòôúавикосуяэ")
+ONE_LETTER = frozenset("àáéèавикосуяэ")
 #: Marks that stand alone between words, and those that East Asian encodings write as two bytes.
 ALONE, WIDE_MARKS = "–—€•", "–—―‐‥…‘’“”•€"
+DEGREE = re.compile(r"°[CF]\b")
 BOX = re.compile("[\u2500-\u259f]")
 QUOTED = re.compile(r"(?<!`)`[^`\n]+`(?!`)")
 ESCAPE = re.compile(r"&(?:#\d{2,6}|#[xX][0-9a-fA-F]{2,5}|[a-zA-Z]{2,8});|\\u[0-9a-fA-F]{4}|(?:=[89A-F][0-9A-F]){2,}")
@@ -144,6 +145,8 @@ def kind(char: str) -> tuple[str, float]:
         if 0x3041 <= code <= 0x30FE:
             return "h", 0.7
         return "h", _east_asian_cost(char)
+    if 0x2B0 <= code < 0x300:
+        return "n", 5.0  # an accent that stands by itself
     if category[0] == "L":
         name = unicodedata.name(char, "")
         if name.startswith("LATIN"):
@@ -183,6 +186,8 @@ def cost(text: str) -> float:
     total += 2.0 * len(MISREAD_EMOJI.findall(text))
     if not text.isascii() and (images()[2].search(text) or text in images()[1]):
         total += 4.0
+    if "°" in text:
+        total -= 1.0 * len(DEGREE.findall(text))
     if "&" in text or "\\u" in text or "=" in text:
         total += 3.0 * sum(map(_meant, ESCAPE.findall(text)))
     for char in text:
@@ -289,8 +294,10 @@ def _decode_one(byte: int) -> str:
 @lru_cache(maxsize=1)
 def images() -> tuple[frozenset[str], frozenset[str], re.Pattern]:
     """What a mark becomes that was written in one encoding and read, byte by byte, in
-    another: letters of marks that stand alone, two characters of those that East
-    Asian encodings write as two bytes, and n’t with a letter as its apostrophe."""
+    another: letters of marks that stand alone; two characters of those that East
+    Asian encodings write as two bytes; and, as a pattern, n’t with a letter as its
+    apostrophe, a word between letters that are its quotation marks, and a sign before
+    C or F that is the degree sign."""
 
     def read(marks: str, written: tuple[str, ...]) -> set[str]:
         found = set()
@@ -305,7 +312,15 @@ def images() -> tuple[frozenset[str], frozenset[str], re.Pattern]:
     single = tuple(c for c in WRITTEN_IN if c not in HAN and c != "utf-8")
     alone = {c for c in read(ALONE, single) if len(c) == 1 and c.isalpha() and c not in ALIKE and c.lower() not in ONE_LETTER}
     within = "".join(sorted(c for c in read("’", single) if len(c) == 1 and c.isalpha()))
-    return frozenset(alone), frozenset(w for w in read(WIDE_MARKS, HAN) if len(w) == 2 and not w.isalpha()), re.compile(rf"n[{within}]t\b")
+    degrees = "".join(sorted(c for c in read("°", single) if len(c) == 1 and not c.isalpha()))
+    quoted = set()
+    for marks in ("“”", "‘’"):
+        for codec in single:
+            for other in READ_AS if (data := _encode(marks, codec)) else ():
+                pair = None if other in READ_AS_HAN else _decode(data, other)
+                if pair and len(pair) == 2 and pair != marks and pair.isalpha():
+                    quoted.add(f"^{pair[0]}[A-Za-z][ -~]*{pair[1]}(?=\\W*$)")
+    return frozenset(alone), frozenset(w for w in read(WIDE_MARKS, HAN) if len(w) == 2 and not w.isalpha()), re.compile("|".join([rf"n[{within}]t\b", rf"(?<![^\W_])[{re.escape(degrees)}][CF]\b", *sorted(quoted)]))
 
 
 @lru_cache(maxsize=10_000)
