@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import split_join, split_pairs
-from ..sources.tables import fingerprint
+from ..sources.tables import fingerprint, kept
 
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Lisu", "Coptic")
 #: Letters that share one shape, by script in the order of ``SCRIPTS`` (dot: none).
@@ -147,10 +147,10 @@ def look_alikes(rows: DataFrame, key: str, text: str, expand: int | None = 1000)
     spelling is cut into blocks.  A text that more than ``expand`` keys share
     stands in pairs by its first key only (null: by all).
     """
-    marked = rows.select(F.col(key), *[c for c in rows.columns if c in ("t1", "t2", "f1", "f2")])
+    marked = kept(rows.select(F.col(key), *[c for c in rows.columns if c in ("t1", "t2", "f1", "f2")]), "forms")
     mixed = marked.groupBy("f1", "f2").agg(F.min(F.struct("t1", "t2")).alias("least"), F.max(F.struct("t1", "t2")).alias("most"))
     mixed = mixed.filter(F.col("least") != F.col("most")).select("f1", "f2")
-    held = marked.join(mixed, ["f1", "f2"], "left_semi")
+    held = kept(marked.join(mixed, ["f1", "f2"], "left_semi"), "mixed")
     if expand is not None:
         large = held.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).filter(F.col("n") > expand).select("t1", "t2", "first")
         held = split_join(held, large, ["t1", "t2"], [key], "left").filter(F.col("first").isNull() | (F.col(key) == F.col("first"))).drop("first")
