@@ -58,6 +58,10 @@ class Snapshots:
         finally:
             self.files.delete(lock, False)
 
+    def unlock(self) -> None:
+        """Take away the lock of a run that died; only when no run is going on."""
+        self.files.delete(self._path(".LOCK"), False)
+
     def append(self, name: str, rows: DataFrame) -> None:
         """Add rows to a log, which no snapshot replaces."""
         rows.write.mode("append").parquet(f"{self.folder}/{name}")

@@ -1,4 +1,4 @@
-"""Streams (extensions): windowed latencies of traces, and ingest of arriving files."""
+"""Streams of traces (extensions): windowed latencies, redelivered events dropped."""
 
 from __future__ import annotations
 
