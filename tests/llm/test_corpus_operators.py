@@ -356,19 +356,21 @@ def test_mix_meets_its_shares(spark):
     assert empty.count() == 0 and {r.actual_tokens for r in none.collect()} == {0}
 
 
-def test_shares_are_within_a_block(spark, folder):
-    """Actual and target tokens of the given mixes, where no source is capped, and added weights."""
+def test_shares_meet_quotas_and_targets(spark, folder):
+    """The given mixes, all of which some cap binds, against their quotas; and a mix that no cap
+    binds against its targets: off by half a document and a block at most."""
     sizes = mixing.measured(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text"))
-    targets = spark.read.parquet(f"{folder}/mix_targets.parquet")
-    _, shares = mixing.mixed(sizes, targets)
-    longest = sizes.agg(F.max("tokens")).first()[0]
-    rows = shares.collect()
-    capped = {r.mix_id for r in rows if r.capped and r.weight > 0}
-    free = [r for r in rows if r.mix_id not in capped and r.weight > 0]
-    for r in free:
-        assert abs(r.actual_tokens - r.target_tokens) <= max(r.block, longest)
-    for r in rows:
+    longest = {r.source: r.most for r in sizes.groupBy("source").agg(F.max("tokens").alias("most")).collect()}
+    _, shares = mixing.mixed(sizes, spark.read.parquet(f"{folder}/mix_targets.parquet"))
+    for r in shares.collect():
         assert r.actual_tokens <= r.max_repeats * r.source_tokens
+        assert abs(r.actual_tokens - r.quota_blocks * r.block) <= longest.get(r.source, 0) / 2 + 2 * r.block
+    most = [r.source for r in sizes.filter("source is not null").groupBy("source").agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), "source").limit(4).collect()]
+    free = spark.createDataFrame([("m", s, w, 50) for s, w in zip(most, (4.0, 3.0, 2.0, 1.0))], "mix_id string, source string, weight double, max_repeats int")
+    rows = mixing.mixed(sizes, free)[1].collect()
+    assert len(rows) == 4
+    for r in rows:
+        assert not r.capped and abs(r.actual_tokens - r.target_tokens) <= longest[r.source] / 2 + 2 * r.block
     twice = spark.createDataFrame([("m", "A", 1.0, 2), ("m", " a ", 2.0, 1), ("m", "b", 3.0, 2), ("m", "b", 3.0, 2)], "mix_id string, source string, weight double, max_repeats int")
     got = {r.source: (r.weight, r.max_repeats) for r in mixing.mixed(sizes, twice)[1].collect()}
     assert got == {"a": (3.0, 2), "b": (3.0, 2)}
