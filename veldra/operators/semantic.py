@@ -2,8 +2,8 @@
 
 Rows and queries are packed into blocks; every block of queries goes to every
 partition of the blocks of rows (an equi-join on a partition number, nothing is
-broadcast), where each pair of blocks is one matrix product that keeps the best
-``k`` per query, so what is shuffled is ``k`` rows per query and block of rows.  Null vectors, vectors of
+broadcast), where each pair of blocks is one matrix product and a task keeps the best
+``k`` per query, so what is shuffled is ``k`` rows per query and task.  Null vectors, vectors of
 another length and zero vectors take no part.
 """
 
@@ -16,22 +16,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import every_salt, salt
+from .best import Best
+from .skew import meeting
 
 
 def blocks(rows: DataFrame, key: str, vector: str, dimensions: int, size: int, prefix: str) -> DataFrame:
-    """Rows packed into unit-length matrices of at most ``size`` rows."""
+    """Rows packed into matrices of at most ``size`` rows, numbers as wide as they come."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                matrix = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimensions)
-                matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
                 ids = pa.array([part.column(0).to_numpy().tobytes()], pa.binary())
+                matrix = part.column(1).flatten().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([ids, pa.array([matrix.tobytes()], pa.binary())], [f"{prefix}ids", f"{prefix}vectors"])
 
-    return rows.filter(_usable(F.col(vector), dimensions)).select(F.col(key).cast("long"), F.col(vector)).mapInArrow(pack, f"{prefix}ids binary, {prefix}vectors binary")
+    wide = vector if rows.schema[vector].dataType.elementType.typeName() in ("float", "double") else F.col(vector).cast("array<double>").alias(vector)
+    return rows.filter(_usable(F.col(vector), dimensions)).select(F.col(key).cast("long"), wide).mapInArrow(pack, f"{prefix}ids binary, {prefix}vectors binary")
+
+
+def _unit(ids: np.ndarray, vectors: bytes, dimensions: int) -> np.ndarray:
+    """Rows of length 1 of a packed matrix."""
+    matrix = np.frombuffer(vectors, np.float32 if len(vectors) == 4 * dimensions * len(ids) else np.float64).astype(np.float64).reshape(-1, dimensions)
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
 def _usable(vector: Column, dimensions: int) -> Column:
@@ -44,28 +51,23 @@ def cosine(a: Column, b: Column, dimensions: int) -> Column:
     return F.when(_usable(a, dimensions) & _usable(b, dimensions), F.round(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)), 6))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, dimensions: int = 64) -> DataFrame:
-    """``qid, key, score, rank``: the k rows of the highest cosine per query, itself left out."""
+def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, dimensions: int = 64, tasks: int | None = None) -> DataFrame:
+    """``qid, key, score, rank``: the k rows of the highest cosine per query, itself left out.
+
+    Each of ``tasks`` (those of a shuffle where none is stated) gives k rows per query.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(k)
+        rows = lambda found: (pa.RecordBatch.from_arrays(list(r), ["qid", "key", "score"]) for r in found)
         for batch in batches:
             for q_ids, q_vectors, r_ids, r_vectors in zip(*(c.to_pylist() for c in batch.columns)):
                 asked, held = np.frombuffer(q_ids, np.int64), np.frombuffer(r_ids, np.int64)
-                cosines = np.frombuffer(q_vectors).reshape(-1, dimensions) @ np.frombuffer(r_vectors).reshape(-1, dimensions).T
-                cosines = np.round(cosines, 6)
-                cosines[asked[:, None] == held[None, :]] = -2
-                least = np.partition(cosines, -k, axis=1)[:, -k] if k < len(held) else np.full(len(asked), -1.5)
-                row, column = np.nonzero(cosines >= np.maximum(least, -1.5)[:, None])
-                order = np.lexsort((held[column], -cosines[row, column], row))  # the best, and what ties with the last of them
-                row, column = row[order], column[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                row, column = row[place < k], column[place < k]
-                yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(held[column]), pa.array(cosines[row, column])], ["qid", "key", "score"])
-
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = blocks(queries, key, vector, dimensions, 1024, "q").withColumn("part", every_salt(parts))
-    held = blocks(rows, key, vector, dimensions, 4096, "r").withColumn("part", salt(parts, "rids"))
-    met = asked.join(held.hint("merge"), "part").drop("part")
-    found = met.mapInArrow(compare, "qid long, key long, score double")
+                cosines = np.round(_unit(asked, q_vectors, dimensions) @ _unit(held, r_vectors, dimensions).T, 6)
+                cosines[asked[:, None] == held[None, :]] = -np.inf
+                yield from rows(best.add(q_ids, pa.array(asked), pa.array(held), cosines))
+        yield from rows(best.rest())
+
+    found = meeting(blocks(queries, key, vector, dimensions, 512, "q"), blocks(rows, key, vector, dimensions, 4096, "r"), "rids", tasks).mapInArrow(compare, "qid long, key long, score double")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("key", key)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analyzer import terms
 from ..operators import access, context, evaluation, fusion, ingest, lexical, search, semantic
-from ..sources.tables import current_rows, kept, table
+from ..sources.tables import current_keys, current_rows, kept, table
 from .access_queries import DOCUMENT_GROUPS, _groups
 from .common import PRINCIPALS, current_sql, principals, terms_cte
 from .ingest_queries import LINKS, _docs
@@ -21,16 +21,23 @@ from .lexical_queries import TOKENS, made_once
 DIMENSIONS = 64
 #: Questions of even number are scored by sections, the others by documents.
 EVERY = 50
+#: A channel takes the best of every task, so tasks are large: 64 thousand chunks each.
+LEAST_TASKS, ROWS_A_TASK = 8, 1 << 16
 
 
 def _number(column, digits: int):
     return F.conv(F.substring(F.md5(F.encode(column, "UTF-8")), 1, digits), 16, 10).cast("long")
 
 
-def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+def _chunks(spark: SparkSession, folder: str, documents: DataFrame) -> DataFrame:
+    """Current chunks of the documents.  Texts and vectors move once, to the latest row of their
+    chunk; whether it has a document is found from narrow rows and told there."""
+    rows = table(spark, folder, "chunks")
+    place = current_keys(rows, "chunk_id", ["doc_path"]).filter("doc_path is not null")
+    held = place.join(documents.select(F.col("path").alias("doc_path")), "doc_path", "left_semi").select("chunk_id")
     columns = ["chunk_id", "doc_path", "section_id", "ordinal", "index_text", "vec", "ingested_at"]
-    rows = current_rows(table(spark, folder, "chunks").select(*columns), "chunk_id").filter("doc_path is not null")
-    return rows.withColumnRenamed("doc_path", "path").withColumn("number", _number("chunk_id", 15))
+    found = current_rows(rows.select(*columns), "chunk_id").filter("doc_path is not null").join(held, "chunk_id", "left_semi")
+    return found.drop("ingested_at").withColumnRenamed("doc_path", "path").withColumn("number", _number("chunk_id", 15))
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,10 +54,11 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.principals = principals(spark, folder)
         self.documents = kept(_groups(spark, folder), "groups")
-        self.chunks = kept(_chunks(spark, folder).join(self.documents.select("path"), "path", "left_semi"), "chunks")  # a hit leads to a document
+        self.chunks = kept(_chunks(spark, folder, self.documents), "chunks")  # a hit leads to a document
         self.links = kept(ingest.document_links(ingest.resolved_links(_docs(spark, folder))), "links")
         self.place = self.chunks.select("chunk_id", "path")
-        self.index = lexical.built(self.chunks.select("chunk_id", "index_text"), "chunk_id", "index_text")
+        self.index = lexical.built_blocks(self.chunks.select("chunk_id", "index_text"), "chunk_id", "index_text")
+        self.tasks = max(LEAST_TASKS, -(-self.chunks.count() // ROWS_A_TASK))
 
 
 def store_of(spark: SparkSession, folder: str) -> Store:
@@ -66,11 +74,13 @@ class Searched:
         self.questions = kept(_questions(spark, folder), "questions")
         owners, n = self.questions.select("qid", "principal"), o.channel_k * o.overfetch
         words = self.questions.select("qid", F.explode(terms(F.col("query"))).alias("term")).distinct()
-        lex = lexical.top(lexical.scores(store.index, "chunk_id", words), "chunk_id", n)
-        first = self.questions.select("qid", F.concat("qid", F.lit("::0")).alias("chunk_id")).join(self.chunks.select("chunk_id", "number", "vec"), "chunk_id")
+        lex = kept(lexical.best(store.index, "chunk_id", words, n, tasks=store.tasks), "lexical")
+        heads = self.chunks.filter(F.col("chunk_id").endswith("::0")).select("chunk_id", "number", "vec")
+        first = kept(self.questions.select("qid", F.concat("qid", F.lit("::0")).alias("chunk_id")).join(heads, "chunk_id"), "first")
         self.vectors = first.select("qid", F.col("vec").alias("asked"))
-        near = semantic.nearest(first.select("number", "vec"), self.chunks.select("number", "vec"), "number", "vec", n, DIMENSIONS)
-        sem = near.join(self.chunks.select("number", "chunk_id"), "number").withColumnRenamed("qid", "q").join(first.select(F.col("number").alias("q"), "qid"), "q")
+        near = semantic.nearest(first.select("number", "vec"), self.chunks.select("number", "vec"), "number", "vec", n, DIMENSIONS, store.tasks)
+        near = kept(near.withColumnRenamed("qid", "q").join(first.select(F.col("number").alias("q"), "qid"), "q").drop("q"), "semantic")
+        sem = near.join(self.chunks.select("number", "chunk_id"), "number")
         parts = [search.channel(hits, name, owners, self.place, self.documents, self.principals, o) for name, hits in (("lexical", lex), ("semantic", sem))]
         self.ranked = kept(parts[0][0].unionByName(parts[1][0]), "ranked")
         self.counts = parts[0][1].unionByName(parts[1][1])
