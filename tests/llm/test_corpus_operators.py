@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veldra.llm import bpe, confusables, encoding, garble, knn, mixing, neardup, splitting
+from veldra.llm.queries import queries
 from veldra.functions.tokens import estimate
 
 NOW = dt.datetime(2024, 1, 1)
@@ -474,3 +475,13 @@ def test_garbled_rows(spark):
     got = garble.garbled(rows).collect()
     assert sorted(r.doc_id for r in got) == [1, 1, 5] and {r.restored_text for r in got if r.doc_id == 1} == {"für"}
     assert garble.garbled(rows.limit(0)).count() == 0
+
+
+def test_p4_found_runs_the_splitter(spark, folder):
+    found = queries()["p4_found"](spark, folder)
+    assert "MapInPandas" in found._jdf.queryExecution().executedPlan().toString()
+    pieces = queries()["p4_pieces"](spark, folder).groupBy("src_table", "src_key").agg(F.count(F.lit(1)).cast("int").alias("pieces"))
+    counted = splitting.cut_oversized(spark.read.parquet(f"{folder}/chunks.parquet"), spark.read.parquet(f"{folder}/sections.parquet"))
+    rows = sorted(map(tuple, counted.select("src_table", "src_key", "pieces").collect()))
+    assert rows and rows == sorted(map(tuple, pieces.select("src_table", "src_key", "pieces").collect()))
+    assert sorted(map(tuple, found.collect())) == [r[:2] for r in rows]

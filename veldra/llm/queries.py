@@ -39,8 +39,7 @@ def _splittable(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Items above their limit: those that the splitter cuts."""
-    texts, trails = splitting.all_oversized(*_splittable(spark, folder))
-    return texts.unionByName(trails).select("src_table", "src_key")
+    return splitting.cut_oversized(*_splittable(spark, folder)).select("src_table", "src_key")
 
 
 def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:

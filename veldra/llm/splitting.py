@@ -161,6 +161,18 @@ def pieces(items: DataFrame, o: SplitOptions) -> DataFrame:
     return items.filter(F.col("text").isNotNull()).select("src_table", "src_key", "text").mapInPandas(cut, schema)
 
 
+def cut(items: DataFrame, o: SplitOptions) -> DataFrame:
+    """``src_table, src_key, pieces``: of ``src_table, src_key, text`` those that the splitter cuts, and
+    into how many pieces.  The pieces themselves are not copied."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = batch[["src_table", "src_key"]].assign(pieces=[len(split(text, o)) for text in batch.text])
+            yield found[found.pieces > 1]
+
+    return items.filter(F.col("text").isNotNull()).select("src_table", "src_key", "text").mapInPandas(count, "src_table string, src_key string, pieces int")
+
+
 def oversized(rows: DataFrame, name: str, key: str, text: str, at: str, limit: int) -> DataFrame:
     """Texts of current rows above the limit as ``src_table, src_key, text``.
 
@@ -183,6 +195,12 @@ def all_oversized(chunks: DataFrame, sections: DataFrame) -> tuple[DataFrame, Da
     )
 
 
+def cut_oversized(chunks: DataFrame, sections: DataFrame) -> DataFrame:
+    """Every oversized ``chunks.index_text`` and ``sections.trail`` that the splitter cuts, with its number of pieces."""
+    texts, trails = all_oversized(chunks, sections)
+    return cut(texts, INDEX_TEXT).unionByName(cut(trails, TRAIL))
+
+
 def split_oversized(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     """Pieces of every oversized ``chunks.index_text`` and ``sections.trail``."""
     texts, trails = all_oversized(chunks, sections)
