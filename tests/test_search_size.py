@@ -3,8 +3,8 @@
 import numpy as np
 import pyarrow as pa
 
-from veldra.operators import lexical
-from veldra.operators.best import Best
+from veldra.operators import lexical, semantic
+from veldra.operators.best import Best, enough
 from veldra.plans.registry import queries
 
 
@@ -61,3 +61,45 @@ def test_best_with_ties_and_little_room():
         for q in range(5):
             want = sorted((-s, k) for s, k in zip(scores[q], keys) if s > -np.inf)[:7]
             assert sorted((-s, k) for n, k, s in found if n == q)[:7] == want
+
+
+def test_rows_of_a_batch_do_not_grow_with_the_partitions_of_a_shuffle(spark):
+    texts = spark.range(20_000, numPartitions=40).selectExpr("concat('d', id) as key", "concat_ws(' ', 'all', repeat('red ', cast(1 + id % 9 as int)), concat('x', id % 50)) as text")
+    index = lexical.built_blocks(texts, "key", "text")
+    asked = spark.createDataFrame([(f"q{i}", t) for i in range(20) for t in ("red", f"x{i}")], "qid string, term string")
+    vectors = spark.range(20_000, numPartitions=40).selectExpr("id", "array(cast(1 as float), cast(sin(id) as float))").toDF("id", "v")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        moved = shuffled_rows(spark, lambda: lexical.best(index, "key", asked, 200, tasks=8).collect())
+        near = shuffled_rows(spark, lambda: semantic.nearest(vectors.filter("id % 1000 = 0"), vectors, "id", "v", 200, 2, 8).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    most = 20 * 8 * enough(200, 8)  # queries, parts
+    assert moved < most + 2000 and near < most + 2000  # and terms, blocks and questions
+
+
+def test_best_that_lie_in_one_part_are_all_found(spark):
+    texts = spark.range(4000, numPartitions=20).selectExpr("concat('d', lpad(id, 5, '0')) as key", "if(id < 200, concat('red blue ', repeat('red ', cast(id % 3 as int))), if(id % 2 = 0, 'red grey grey grey grey grey', 'grey')) as text")
+    asked = spark.createDataFrame([("a", "red"), ("b", "blue"), ("c", "grey")], "qid string, term string")
+    want = lexical.top(lexical.scores(lexical.built(texts, "key", "text"), "key", asked), "key", 150)
+    got = lexical.best(lexical.built_blocks(texts, "key", "text"), "key", asked, 150, tasks=10)
+    rows = lambda df: sorted(map(tuple, df.select("qid", "key", "score", "rank").collect()))
+    assert rows(got) == rows(want)
+    vectors = spark.range(4000, numPartitions=20).selectExpr("id", "array(if(id < 200, 1.0, 0.1), 1.0 - id / 8000, 0.3)").toDF("id", "v")
+    few = vectors.filter("id in (0, 3, 3000)")
+    near = lambda tasks: sorted(map(tuple, semantic.nearest(few, vectors, "id", "v", 150, 3, tasks).select("qid", "id", "score", "rank").collect()))
+    assert len(near(10)) == 450 and near(10) == near(None)
+
+
+def test_dropped_rows_stand_behind_a_marked_one():
+    rng = np.random.default_rng(5)
+    scores, keys = rng.integers(0, 9, (3, 300)).astype(float), [f"k{i:03d}" for i in rng.permutation(300)]
+    for most in (1, 40, 10_000):
+        best, rows = Best(6, most, marked=True), []
+        for at in range(0, 300, 30):
+            rows += best.add(b"0", pa.array(range(3)), pa.array(keys[at : at + 30]), scores[:, at : at + 30])
+        rows += best.rest()
+        found = [r for q, k, s, last in rows for r in zip(q.to_pylist(), s.to_pylist(), k.to_pylist(), last.to_pylist())]
+        for q in range(3):
+            given, marked = {k for n, s, k, last in found if n == q}, [(-s, k) for n, s, k, last in found if n == q and last]
+            assert min(marked) < min((-s, k) for s, k in zip(scores[q], keys) if k not in given)

@@ -3,29 +3,39 @@
 A task that scores blocks of rows against blocks of queries holds ``k`` rows per
 query and the least score that still counts, so that what it gives on grows with
 the queries and not with the rows it has seen.
+
+Where rows are spread over parts by a hash, the best of all are spread over them too,
+and each part needs to give little more than its share (``enough``).  The last row that
+a part gave of a query is marked: where it is among the best of all, the part may hold
+more of them, and that query is asked once more in full (``in_rounds``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+from ..sources.tables import kept
 
 
 class Best:
     """The ``k`` highest scores per query of one task; ties go to the smaller key.
 
     More than ``most`` held rows are given on as they are: whoever ranks the rows
-    of all tasks drops what is too much.
+    of all tasks drops what is too much.  ``marked``: what is given has a fourth array, true in the
+    ``k``-th row of a query; every row that was dropped stands behind such a row.
     """
 
-    def __init__(self, k: int, most: int = 1_500_000):
-        self.k, self.most, self.held = k, most, 0
+    def __init__(self, k: int, most: int = 1_500_000, marked: bool = False):
+        self.k, self.most, self.marked, self.held = k, most, marked, 0
         self.groups: dict[bytes, dict] = {}
 
-    def add(self, group: bytes, queries: pa.Array, keys: pa.Array, scores: np.ndarray) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    def add(self, group: bytes, queries: pa.Array, keys: pa.Array, scores: np.ndarray) -> Iterator[tuple[pa.Array, ...]]:
         """Scores of the queries of a group (rows) and of some keys (columns), minus infinity where
         there is none.  Gives rows only where too many are held."""
         own = self.groups.setdefault(group, {"queries": queries, "least": np.full(len(queries), np.finfo(np.float64).min), "rows": [], "n": 0, "next": 0})
@@ -56,15 +66,59 @@ class Best:
         self.held -= own["n"] - len(rows)
         own |= {"rows": [rows], "n": len(rows), "next": 2 * len(rows) + 100_000}
 
-    def rest(self) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    def rest(self) -> Iterator[tuple[pa.Array, ...]]:
         """``query, key, score`` of all that is held; the least scores stay, as they hold for what follows."""
         for own in self.groups.values():
             if own["n"]:
                 self._cut(own)
                 rows = own["rows"][0]
+                q = rows["q"].to_numpy()
+                last = np.arange(len(q)) - np.searchsorted(q, q) == self.k - 1
                 for at in range(0, len(rows), 100_000):
                     part = rows.slice(at, 100_000).combine_chunks()
                     q, key, score = (part[c].combine_chunks() for c in ("q", "key", "score"))
-                    yield own["queries"].take(q), key, score
+                    yield own["queries"].take(q), key, score, *([pa.array(last[at : at + 100_000])] if self.marked else [])
             own |= {"rows": [], "n": 0, "next": 0}
         self.held = 0
+
+
+def compared(batches: Iterator[pa.RecordBatch], score: Callable, k: int, apart: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` per query of every part (``apart``; else of the whole task), in columns ``names``:
+    query, key, score, whether it is the ``k``-th.  ``batches``: those of ``meeting``; ``score``: from the
+    other columns of a row the group, the queries, the keys and their scores."""
+    rows = lambda given: (pa.RecordBatch.from_arrays(list(r), names) for r in given)
+    best, at = Best(k, marked=True), None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            part = batch.column(0)[i].as_py()
+            if apart and part != at:
+                yield from rows(best.rest())
+                best, at = Best(k, marked=True), part
+            yield from rows(best.add(*score(*(c[i] for c in batch.columns[1:]))))
+    yield from rows(best.rest())
+
+
+def enough(k: int, parts: int) -> int:
+    """How many of the best ``k`` one of ``parts`` rarely exceeds, where parts of equal rows differ
+    by half: six deviations above its share."""
+    share = 1.5 * k / parts
+    return min(k, math.ceil(share + 6 * math.sqrt(share) + 8))
+
+
+def in_rounds(asked: DataFrame, key: str, found: Callable[[DataFrame, int], DataFrame], k: int, parts: int | None) -> DataFrame:
+    """The best ``k`` per query, whatever the parts hold, kept.  ``found``: from queries (``key``) and
+    the rows that a part gives of each, the ranked ``qid, .., rank, last`` of all parts.  Without
+    ``parts`` each gives k rows, and nothing is kept.
+    """
+    per = enough(k, parts) if parts else k
+    first = found(asked, per)
+    if not parts:
+        return first.drop("last")
+    first = kept(first, "best")
+    if per == k:
+        return first.drop("last")
+    short = first.filter("last").select("qid").distinct()
+    if short.isEmpty():
+        return first.drop("last")
+    again = found(asked.join(short.withColumnRenamed("qid", key), key, "left_semi"), k)
+    return kept(first.join(short, "qid", "left_anti").unionByName(again).drop("last"), "best")

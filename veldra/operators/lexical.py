@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analyzer import placed_terms, terms
 from ..sources.tables import kept
-from .best import Best
+from .best import compared, in_rounds
 from .skew import every_salt, meeting, salt
 
 
@@ -204,7 +204,8 @@ def best(index: BlockIndex, key: str, asked: DataFrame, n: int, o: Bm25Options =
     """``qid, key, score, rank`` of the best ``n`` documents that share a term with a query: what
     ``top`` makes of ``scores``.  ``asked``: ``qid, term``, each pair once, ``qid`` a string.
 
-    Each of ``tasks`` (those of a shuffle where none is stated) gives n rows per query.
+    The blocks are spread over ``tasks`` parts, each of which gives little more than its share of n
+    rows per query; over those of a shuffle, which give n rows each, where none is stated.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,21 +222,25 @@ def best(index: BlockIndex, key: str, asked: DataFrame, n: int, o: Bm25Options =
                 block = _packed(qids=part.column(0), terms=spelled.dictionary, idf=pa.array(idf), starts=pa.array(starts), who=pa.array(np.repeat(np.arange(len(counts)), counts)[by_term]))
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), part.column(2).slice(0, 1)], ["asked", "mean_size"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, opened = Best(n), (b"", {})
-        rows = lambda given: (pa.RecordBatch.from_arrays(list(r), ["qid", key, "score"]) for r in given)
-        for batch in batches:
-            for packed, mean, block in zip(*(batch.column(c) for c in range(3))):
+    def found(asked: DataFrame, per: int) -> DataFrame:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            opened = (b"", {})
+
+            def score(packed: pa.Scalar, mean: pa.Scalar, block: pa.Scalar) -> tuple:
+                nonlocal opened
                 packed = packed.as_py()
                 if opened[0] != packed:
                     own = _unpacked(packed)
                     opened = packed, own | {c: own[c].to_numpy() for c in ("idf", "starts", "who")}
                 own, held = opened[1], _unpacked(block.as_py())
-                yield from rows(found.add(packed, own["qids"], held["keys"], _scored(own, held, mean.as_py(), o)))
-        yield from rows(found.rest())
-
-    known = asked.join(index.terms.select("term", "df"), "term").crossJoin(index.collection)  # one row
-    words = known.groupBy("qid", "mean_size").agg(F.collect_list(F.struct("term", F.log(F.col("n") / F.col("df")).alias("idf"))).alias("words"))
-    questions = words.select("qid", "words", "mean_size").mapInArrow(pack, "asked binary, mean_size double")
-    scored = meeting(questions, index.blocks.select("block"), "block", tasks).mapInArrow(compare, f"qid string, {key} string, score double")
-    return top(scored, key, n)
+                return packed, own["qids"], held["keys"], _scored(own, held, mean.as_py(), o)
+
+            yield from compared(batches, score, per, tasks is not None, ["qid", key, "score", "last"])
+
+        known = asked.join(index.terms.select("term", "df"), "term").crossJoin(index.collection)  # one row
+        words = known.groupBy("qid", "mean_size").agg(F.collect_list(F.struct("term", F.log(F.col("n") / F.col("df")).alias("idf"))).alias("words"))
+        questions = words.select("qid", "words", "mean_size").mapInArrow(pack, "asked binary, mean_size double")
+        scored = meeting(questions, index.blocks.select("block"), "block", tasks).mapInArrow(compare, f"qid string, {key} string, score double, last boolean")
+        return top(scored, key, n)
+
+    return in_rounds(asked, "qid", found, n, tasks)

@@ -1,9 +1,9 @@
 """Semantic channel: exact nearest vectors of a stated query set, in blocks.
 
 Rows and queries are packed into blocks; every block of queries goes to every
-partition of the blocks of rows (an equi-join on a partition number, nothing is
-broadcast), where each pair of blocks is one matrix product and a task keeps the best
-``k`` per query, so what is shuffled is ``k`` rows per query and task.  Null vectors, vectors of
+part of the blocks of rows (an equi-join on a part number, nothing is
+broadcast), where each pair of blocks is one matrix product and a part keeps the best
+per query, so what is shuffled grows with queries and parts.  Null vectors, vectors of
 another length and zero vectors take no part.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .best import Best
+from .best import compared, in_rounds
 from .skew import meeting
 
 
@@ -54,20 +54,25 @@ def cosine(a: Column, b: Column, dimensions: int) -> Column:
 def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, dimensions: int = 64, tasks: int | None = None) -> DataFrame:
     """``qid, key, score, rank``: the k rows of the highest cosine per query, itself left out.
 
-    Each of ``tasks`` (those of a shuffle where none is stated) gives k rows per query.
+    The blocks are spread over ``tasks`` parts, each of which gives little more than its share of k
+    rows per query; over those of a shuffle, which give k rows each, where none is stated.
     """
+    held = blocks(rows, key, vector, dimensions, 4096, "r")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(k)
-        rows = lambda found: (pa.RecordBatch.from_arrays(list(r), ["qid", "key", "score"]) for r in found)
-        for batch in batches:
-            for q_ids, q_vectors, r_ids, r_vectors in zip(*(c.to_pylist() for c in batch.columns)):
+    def found(asked: DataFrame, per: int) -> DataFrame:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def score(*packed: pa.Scalar) -> tuple:
+                q_ids, q_vectors, r_ids, r_vectors = (x.as_buffer() for x in packed)
                 asked, held = np.frombuffer(q_ids, np.int64), np.frombuffer(r_ids, np.int64)
                 cosines = np.round(_unit(asked, q_vectors, dimensions) @ _unit(held, r_vectors, dimensions).T, 6)
                 cosines[asked[:, None] == held[None, :]] = -np.inf
-                yield from rows(best.add(q_ids, pa.array(asked), pa.array(held), cosines))
-        yield from rows(best.rest())
+                return bytes(q_ids), pa.array(asked), pa.array(held), cosines
 
-    found = meeting(blocks(queries, key, vector, dimensions, 512, "q"), blocks(rows, key, vector, dimensions, 4096, "r"), "rids", tasks).mapInArrow(compare, "qid long, key long, score double")
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("key", key)
+            yield from compared(batches, score, per, tasks is not None, ["qid", "key", "score", "last"])
+
+        met = meeting(blocks(asked, key, vector, dimensions, 512, "q"), held, "rids", tasks)
+        scored = met.mapInArrow(compare, "qid long, key long, score double, last boolean")
+        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    return in_rounds(queries, key, found, k, tasks).withColumnRenamed("key", key)

@@ -24,14 +24,14 @@ def every_salt(salts: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
 
 
-def meeting(asked: DataFrame, held: DataFrame, by: str, tasks: int | None = None) -> DataFrame:
-    """Every row of ``asked`` with every row of ``held``, which are spread by the hash of ``by``
-    and move once; both hold blocks of many rows.  ``tasks``: so many and no more."""
-    parts = 4 * tasks if tasks else int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def meeting(asked: DataFrame, held: DataFrame, by: str, parts: int | None = None) -> DataFrame:
+    """Every row of ``asked`` with every row of ``held``, which are spread over ``parts`` (as many as
+    a shuffle has where none is stated) by the hash of ``by`` and move once; both hold blocks of
+    many rows.  ``_part`` is the first column: the rows of a part come one after another, and a task
+    holds as many parts as Spark gives it."""
+    parts = parts or int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     a, b = asked.withColumn("_part", every_salt(parts)), held.withColumn("_part", salt(parts, by))
-    if tasks:
-        a, b = a.repartition(tasks, "_part"), b.repartition(tasks, "_part")
-    return a.join(b.hint("merge"), "_part").drop("_part")
+    return a.join(b.hint("merge"), "_part")
 
 
 def split_join(many: DataFrame, few: DataFrame, keys: list[str], by: list[str], how: str = "inner", salts: int = 32, share: int = 1000) -> DataFrame:

@@ -21,7 +21,7 @@ from .lexical_queries import TOKENS, made_once
 DIMENSIONS = 64
 #: Questions of even number are scored by sections, the others by documents.
 EVERY = 50
-#: A channel takes the best of every task, so tasks are large: 64 thousand chunks each.
+#: A channel takes the best of every part, so parts are large: 64 thousand chunks each.
 LEAST_TASKS, ROWS_A_TASK = 8, 1 << 16
 
 
@@ -74,7 +74,7 @@ class Searched:
         self.questions = kept(_questions(spark, folder), "questions")
         owners, n = self.questions.select("qid", "principal"), o.channel_k * o.overfetch
         words = self.questions.select("qid", F.explode(terms(F.col("query"))).alias("term")).distinct()
-        lex = kept(lexical.best(store.index, "chunk_id", words, n, tasks=store.tasks), "lexical")
+        lex = lexical.best(store.index, "chunk_id", words, n, tasks=store.tasks)
         heads = self.chunks.filter(F.col("chunk_id").endswith("::0")).select("chunk_id", "number", "vec")
         first = kept(self.questions.select("qid", F.concat("qid", F.lit("::0")).alias("chunk_id")).join(heads, "chunk_id"), "first")
         self.vectors = first.select("qid", F.col("vec").alias("asked"))
