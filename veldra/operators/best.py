@@ -41,9 +41,10 @@ class Best:
         own = self.groups.setdefault(group, {"queries": queries, "least": np.full(len(queries), np.finfo(np.float64).min), "rows": [], "n": 0, "next": 0})
         passing = scores >= own["least"][:, None]
         many = np.flatnonzero(passing.sum(axis=1) > self.k)
-        if len(many):
-            valued = np.where(passing[many], scores[many], -np.inf)
-            passing[many] &= scores[many] >= np.partition(valued, -self.k, axis=1)[:, -self.k][:, None]
+        for at in range(0, len(many), 64):  # few at a time, for the copies
+            some = many[at : at + 64]
+            valued = np.where(passing[some], scores[some], -np.inf)
+            passing[some] &= scores[some] >= np.partition(valued, -self.k, axis=1)[:, -self.k][:, None]
         row, column = np.nonzero(passing)
         own["rows"].append(pa.table({"q": pa.array(row.astype(np.int32)), "score": pa.array(scores[row, column]), "key": keys.take(pa.array(column))}))
         own["n"] += len(row)

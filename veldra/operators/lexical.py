@@ -195,7 +195,7 @@ def _scored(asked: dict, held: dict, mean: float, o: Bm25Options) -> np.ndarray:
         else:
             total[who[:, None], documents] += weight
     lacking = np.signbit(total)
-    total = np.round(total, 6)
+    np.round(total, 6, out=total)
     total[lacking] = -np.inf
     return total
 

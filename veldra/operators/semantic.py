@@ -65,7 +65,8 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
             def score(*packed: pa.Scalar) -> tuple:
                 q_ids, q_vectors, r_ids, r_vectors = (x.as_buffer() for x in packed)
                 asked, held = np.frombuffer(q_ids, np.int64), np.frombuffer(r_ids, np.int64)
-                cosines = np.round(_unit(asked, q_vectors, dimensions) @ _unit(held, r_vectors, dimensions).T, 6)
+                cosines = _unit(asked, q_vectors, dimensions) @ _unit(held, r_vectors, dimensions).T
+                np.round(cosines, 6, out=cosines)
                 cosines[asked[:, None] == held[None, :]] = -np.inf
                 return bytes(q_ids), pa.array(asked), pa.array(held), cosines
 
