@@ -2,10 +2,13 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from veldra.operators import lexical, semantic
 from veldra.operators.best import Best, enough
+from veldra.operators.skew import gathered
 from veldra.plans.registry import queries
+from veldra.plans.search_queries import parts_of
 
 
 def shuffled_rows(spark, run):
@@ -103,3 +106,33 @@ def test_dropped_rows_stand_behind_a_marked_one():
         for q in range(3):
             given, marked = {k for n, s, k, last in found if n == q}, [(-s, k) for n, s, k, last in found if n == q and last]
             assert min(marked) < min((-s, k) for s, k in zip(scores[q], keys) if k not in given)
+
+
+def test_rows_of_a_batch_do_not_grow_where_spark_cuts_partitions(spark):
+    texts = spark.range(24_000, numPartitions=48).selectExpr("concat('d', id) as key", "concat_ws(' ', 'all', repeat('red ', cast(1 + id % 9 as int)), concat('x', id % 50)) as text")
+    index = lexical.built_blocks(texts, "key", "text")
+    asked = spark.createDataFrame([(f"q{i}", t) for i in range(20) for t in ("red", f"x{i}")], "qid string, term string")
+    cut = {"adaptive.enabled": "true", "adaptive.advisoryPartitionSizeInBytes": "4k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "adaptive.skewJoin.skewedPartitionFactor": "1.0", "shuffle.partitions": "12"}
+    old = {c: spark.conf.get(f"spark.sql.{c}") for c in cut}
+    for c, value in cut.items():
+        spark.conf.set(f"spark.sql.{c}", value)
+    try:
+        moved = shuffled_rows(spark, lambda: lexical.best(index, "key", asked, 200, tasks=3).collect())
+    finally:
+        for c, value in old.items():
+            spark.conf.set(f"spark.sql.{c}", value)
+    assert moved < 20 * 3 * enough(200, 3) + 2000  # questions, parts; terms, blocks and questions
+
+
+def test_a_part_takes_each_block_once_and_asks_after(spark):
+    asked, held = spark.range(7).toDF("a"), spark.range(100, numPartitions=9).selectExpr("id as h")
+    rows = gathered(asked, held, "h", 4).withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 4 * 7 + 100 and sorted(r.h for r in rows if not r._asks) == list(range(100))
+    for part in range(4):
+        own = [r for r in rows if r._part == part]
+        assert len({r.task for r in own}) == 1 and sorted(r.a for r in own if r._asks) == list(range(7))
+        assert [r._asks for r in own] == sorted(r._asks for r in own)
+
+
+def test_parts_are_as_many_until_they_are_too_large():
+    assert [parts_of(n) for n in (0, 20_000, 100_000, 250_000, 1_500_000, 3_000_000)] == [1, 1, 6, 12, 12, 23]

@@ -83,22 +83,38 @@ class Best:
         self.held = 0
 
 
-def compared(batches: Iterator[pa.RecordBatch], score: Callable, k: int, apart: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The best ``k`` per query of every part (``apart``; else of the whole task), in columns ``names``:
-    query, key, score, whether it is the ``k``-th.  ``batches``: those of ``meeting``; ``score``: from the
-    other columns of a row the group, the queries, the keys and their scores."""
+def compared(batches: Iterator[pa.RecordBatch], score: Callable, k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` per query of a task, in columns ``names``: query, key, score, whether it is the
+    ``k``-th.  ``batches``: those of ``meeting``; ``score``: from the columns of a row the group, the
+    queries, the keys and their scores."""
     rows = lambda given: (pa.RecordBatch.from_arrays(list(r), names) for r in given)
-    best, at = Best(k, marked=True), None
+    best = Best(k, marked=True)
     for batch in batches:
         for i in range(batch.num_rows):
-            part = batch.column(0)[i].as_py()
-            if apart and part != at:
-                yield from rows(best.rest())
-                best, at = Best(k, marked=True), part
-            yield from rows(best.add(*score(*(c[i] for c in batch.columns[1:]))))
+            yield from rows(best.add(*score(*(c[i] for c in batch.columns))))
     yield from rows(best.rest())
 
 
+def compared_parts(batches: Iterator[pa.RecordBatch], score: Callable, k: int, asked: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """As ``compared``, the best ``k`` per query of every part.  ``batches``: those of ``gathered``, the
+    first ``asked`` columns after the two of its own are a query's.  A task holds the rows of one
+    part, whose number is bounded, and the queries of one row."""
+    rows = lambda given: (pa.RecordBatch.from_arrays(list(r), names) for r in given)
+    held, at = [], None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            part, asks, *row = (c[i] for c in batch.columns)
+            if part.as_py() != at:
+                held, at = [], part.as_py()
+            if not asks.as_py():
+                held.append(row[asked:])
+                continue
+            best = Best(k, marked=True)
+            for other in held:
+                yield from rows(best.add(*score(*row[:asked], *other)))
+            yield from rows(best.rest())
+
+
 def enough(k: int, parts: int) -> int:
     """How many of the best ``k`` one of ``parts`` rarely exceeds, where parts of equal rows differ
     by half: six deviations above its share."""

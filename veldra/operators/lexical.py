@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.analyzer import placed_terms, terms
 from ..sources.tables import kept
-from .best import compared, in_rounds
-from .skew import every_salt, meeting, salt
+from .best import compared, compared_parts, in_rounds
+from .skew import every_salt, gathered, meeting, salt
 
 
 @dataclass(frozen=True)
@@ -235,12 +235,15 @@ def best(index: BlockIndex, key: str, asked: DataFrame, n: int, o: Bm25Options =
                 own, held = opened[1], _unpacked(block.as_py())
                 return packed, own["qids"], held["keys"], _scored(own, held, mean.as_py(), o)
 
-            yield from compared(batches, score, per, tasks is not None, ["qid", key, "score", "last"])
+            names = ["qid", key, "score", "last"]
+            yield from compared_parts(batches, score, per, 2, names) if tasks else compared(batches, score, per, names)
 
         known = asked.join(index.terms.select("term", "df"), "term").crossJoin(index.collection)  # one row
         words = known.groupBy("qid", "mean_size").agg(F.collect_list(F.struct("term", F.log(F.col("n") / F.col("df")).alias("idf"))).alias("words"))
         questions = words.select("qid", "words", "mean_size").mapInArrow(pack, "asked binary, mean_size double")
-        scored = meeting(questions, index.blocks.select("block"), "block", tasks).mapInArrow(compare, f"qid string, {key} string, score double, last boolean")
+        held = index.blocks.select("block")
+        met = gathered(questions, held, "block", tasks) if tasks else meeting(questions, held, "block").select("asked", "mean_size", "block")
+        scored = met.mapInArrow(compare, f"qid string, {key} string, score double, last boolean")
         return top(scored, key, n)
 
     return in_rounds(asked, "qid", found, n, tasks)

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .best import compared, in_rounds
-from .skew import meeting
+from .best import compared, compared_parts, in_rounds
+from .skew import gathered, meeting
 
 
 def blocks(rows: DataFrame, key: str, vector: str, dimensions: int, size: int, prefix: str) -> DataFrame:
@@ -70,9 +70,11 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
                 cosines[asked[:, None] == held[None, :]] = -np.inf
                 return bytes(q_ids), pa.array(asked), pa.array(held), cosines
 
-            yield from compared(batches, score, per, tasks is not None, ["qid", "key", "score", "last"])
+            names = ["qid", "key", "score", "last"]
+            yield from compared_parts(batches, score, per, 2, names) if tasks else compared(batches, score, per, names)
 
-        met = meeting(blocks(asked, key, vector, dimensions, 512, "q"), held, "rids", tasks)
+        packed = blocks(asked, key, vector, dimensions, 512, "q")
+        met = gathered(packed, held, "rids", tasks) if tasks else meeting(packed, held, "rids")
         scored = met.mapInArrow(compare, "qid long, key long, score double, last boolean")
         return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -24,14 +24,23 @@ def every_salt(salts: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
 
 
-def meeting(asked: DataFrame, held: DataFrame, by: str, parts: int | None = None) -> DataFrame:
-    """Every row of ``asked`` with every row of ``held``, which are spread over ``parts`` (as many as
-    a shuffle has where none is stated) by the hash of ``by`` and move once; both hold blocks of
-    many rows.  ``_part`` is the first column: the rows of a part come one after another, and a task
-    holds as many parts as Spark gives it."""
-    parts = parts or int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def meeting(asked: DataFrame, held: DataFrame, by: str) -> DataFrame:
+    """Every row of ``asked`` with every row of ``held``, which are spread over the partitions of a
+    shuffle by the hash of ``by`` and move once; both hold blocks of many rows."""
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     a, b = asked.withColumn("_part", every_salt(parts)), held.withColumn("_part", salt(parts, by))
-    return a.join(b.hint("merge"), "_part")
+    return a.join(b.hint("merge"), "_part").drop("_part")
+
+
+def gathered(asked: DataFrame, held: DataFrame, by: str, parts: int) -> DataFrame:
+    """The rows of ``held``, spread over ``parts`` by the hash of ``by``, and after those of a part all
+    rows of ``asked``: ``_part, _asks``, the columns of ``asked``, those of ``held``, null where the row
+    has none.  Nothing is paired, so each part takes either side once, and no part is cut or stands
+    with another in a task."""
+    a = asked.withColumn("_part", every_salt(parts)).withColumn("_asks", F.lit(True))
+    b = held.withColumn("_part", salt(parts, by)).withColumn("_asks", F.lit(False))
+    both = a.unionByName(b, allowMissingColumns=True).select("_part", "_asks", *asked.columns, *held.columns)
+    return both.repartitionById(parts, F.col("_part")).sortWithinPartitions("_part", "_asks")
 
 
 def split_join(many: DataFrame, few: DataFrame, keys: list[str], by: list[str], how: str = "inner", salts: int = 32, share: int = 1000) -> DataFrame:

@@ -21,8 +21,9 @@ from .lexical_queries import TOKENS, made_once
 DIMENSIONS = 64
 #: Questions of even number are scored by sections, the others by documents.
 EVERY = 50
-#: A channel takes the best of every part, so parts are large: 64 thousand chunks each.
-LEAST_TASKS, ROWS_A_TASK = 8, 1 << 16
+#: A channel takes the best of every part, so that its parts are few: 12, more where one would hold
+#: over 128 thousand chunks, fewer where one would hold less than 16 thousand.
+TASKS, LEAST_ROWS, MOST_ROWS = 12, 1 << 14, 1 << 17
 
 
 def _number(column, digits: int):
@@ -48,6 +49,11 @@ def _questions(spark: SparkSession, folder: str) -> DataFrame:
     return docs.crossJoin(F.broadcast(who)).select(F.col("path").alias("qid"), F.col("title").alias("query"), F.element_at("names", turn).alias("principal"), "number")  # one row
 
 
+def parts_of(rows: int) -> int:
+    """Over how many parts a search spreads so many chunks."""
+    return max(1, min(TASKS, rows // LEAST_ROWS), -(-rows // MOST_ROWS))
+
+
 class Store:
     """What an ingest leaves of a folder's tables: chunks of documents, their groups, links and index."""
 
@@ -58,7 +64,7 @@ class Store:
         self.links = kept(ingest.document_links(ingest.resolved_links(_docs(spark, folder))), "links")
         self.place = self.chunks.select("chunk_id", "path")
         self.index = lexical.built_blocks(self.chunks.select("chunk_id", "index_text"), "chunk_id", "index_text")
-        self.tasks = max(LEAST_TASKS, -(-self.chunks.count() // ROWS_A_TASK))
+        self.tasks = parts_of(self.chunks.count())
 
 
 def store_of(spark: SparkSession, folder: str) -> Store:
