@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from veldra.operators import lexical, semantic
+from veldra.operators import lexical, search, semantic
 from veldra.operators.best import Best, enough
 from veldra.operators.skew import gathered
 from veldra.plans.registry import queries
@@ -136,3 +136,15 @@ def test_a_part_takes_each_block_once_and_asks_after(spark):
 
 def test_parts_are_as_many_until_they_are_too_large():
     assert [parts_of(n) for n in (0, 20_000, 100_000, 250_000, 1_500_000, 3_000_000)] == [1, 1, 6, 12, 12, 23]
+
+
+def test_channels_in_one_pass_are_counted_apart(spark):
+    raw = spark.createDataFrame([("q", name, f"c{i}", 1.0 / i, i) for name, n in (("lexical", 3), ("semantic", 4)) for i in range(1, n + 1)], "qid string, channel string, chunk_id string, score double, rank int")
+    place = spark.createDataFrame([(f"c{i}", "open" if i == 3 else "shut") for i in range(1, 5)], "chunk_id string, path string")
+    documents = spark.createDataFrame([("open", ["g"]), ("shut", ["h"])], "path string, groups array<string>")
+    principals = spark.createDataFrame([("p", ["g"], False)], "principal string, groups array<string>, admin boolean")
+    hits = search.placed(raw, spark.createDataFrame([("q", "p")], "qid string, principal string"), place)
+    ranked = search.readable(hits, documents, principals)
+    assert sorted((r.channel, r.chunk_id, r.rank) for r in ranked.collect()) == [("lexical", "c3", 1), ("semantic", "c3", 1)]
+    got = search.counted(hits, ranked, search.SearchOptions(channel_k=2, overfetch=2)).collect()
+    assert sorted(map(tuple, got)) == [("q", "lexical", 3, 1, False), ("q", "semantic", 4, 1, True)]

@@ -42,6 +42,25 @@ class SearchOptions:
             raise ValueError("final_k must be from 1 to 50")
 
 
+def placed(raw: DataFrame, owners: DataFrame, place: DataFrame) -> DataFrame:
+    """Raw hits with the principal of their query and the document of their chunk."""
+    return raw.select("qid", "channel", "chunk_id", "score", "rank").join(owners, "qid").join(place, "chunk_id")
+
+
+def readable(hits: DataFrame, documents: DataFrame, principals: DataFrame) -> DataFrame:
+    """Placed hits as their principal may see them, ranked after the filter in each channel."""
+    order = Window.partitionBy("qid", "channel").orderBy("rank")
+    return access.readable_hits(hits, documents, principals).withColumn("rank", F.row_number().over(order))
+
+
+def counted(hits: DataFrame, ranked: DataFrame, o: SearchOptions) -> DataFrame:
+    """Counts per query and channel of placed hits and of the readable ones among them."""
+    each = lambda df, name: df.groupBy("qid", "channel").agg(F.count(F.lit(1)).alias(name))
+    counts = each(hits, "raw_hits").join(each(ranked, "after_acl"), ["qid", "channel"], "left")
+    starved = (F.col("raw_hits") >= o.channel_k * o.overfetch) & (F.col("after_acl") < o.channel_k)
+    return counts.select("qid", "channel", "raw_hits", F.coalesce("after_acl", F.lit(0)).alias("after_acl")).withColumn("starved", starved)
+
+
 def channel(raw: DataFrame, name: str, owners: DataFrame, place: DataFrame, documents: DataFrame, principals: DataFrame, o: SearchOptions) -> tuple[DataFrame, DataFrame]:
     """Hits of one channel as their principal may see them, and counts per query.
 
@@ -50,13 +69,9 @@ def channel(raw: DataFrame, name: str, owners: DataFrame, place: DataFrame, docu
     filter; the first ``channel_k`` are candidates.  Starved: as many hits as could
     be fetched, and fewer candidates than asked for.
     """
-    hits = raw.select("qid", "chunk_id", "score", "rank").join(owners, "qid").join(place, "chunk_id")
-    passed = access.readable_hits(hits, documents, principals)
-    ranked = passed.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).withColumn("channel", F.lit(name))
-    counts = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("raw_hits")).join(passed.groupBy("qid").agg(F.count(F.lit(1)).alias("after_acl")), "qid", "left")
-    counts = counts.select("qid", F.lit(name).alias("channel"), "raw_hits", F.coalesce("after_acl", F.lit(0)).alias("after_acl"))
-    starved = (F.col("raw_hits") >= o.channel_k * o.overfetch) & (F.col("after_acl") < o.channel_k)
-    return ranked, counts.withColumn("starved", starved)
+    hits = placed(raw.withColumn("channel", F.lit(name)), owners, place)
+    ranked = readable(hits, documents, principals)
+    return ranked, counted(hits, ranked, o)
 
 
 def fused(ranked: DataFrame, o: SearchOptions) -> DataFrame:

@@ -87,9 +87,10 @@ class Searched:
         near = semantic.nearest(first.select("number", "vec"), self.chunks.select("number", "vec"), "number", "vec", n, DIMENSIONS, store.tasks)
         near = kept(near.withColumnRenamed("qid", "q").join(first.select(F.col("number").alias("q"), "qid"), "q").drop("q"), "semantic")
         sem = near.join(self.chunks.select("number", "chunk_id"), "number")
-        parts = [search.channel(hits, name, owners, self.place, self.documents, self.principals, o) for name, hits in (("lexical", lex), ("semantic", sem))]
-        self.ranked = kept(parts[0][0].unionByName(parts[1][0]), "ranked")
-        self.counts = parts[0][1].unionByName(parts[1][1])
+        both = [hits.select("qid", F.lit(name).alias("channel"), "chunk_id", "score", "rank") for name, hits in (("lexical", lex), ("semantic", sem))]
+        hits = kept(search.placed(both[0].unionByName(both[1]), owners, self.place), "hits")  # both channels meet places and groups once
+        self.ranked = kept(search.readable(hits, self.documents, self.principals), "ranked")
+        self.counts = search.counted(hits, self.ranked, o)
 
     def variants(self, variants: dict[str, search.SearchOptions]) -> DataFrame:
         """Candidates of every variant in their final order, in one pass: the variant is part of the
